@@ -89,7 +89,7 @@ def await_outcome(
         hot_rows=hot_rows,
     )
     limit = timeout_seconds if isinstance(timeout_seconds, Column) else F.lit(timeout_seconds)
-    met = F.coalesce(F.col("_next.us") <= F.col("_us") + (limit * 1_000_000).cast("bigint"), F.lit(False))
+    met = F.coalesce(F.col("_next.us") <= F.col("_us") + (limit.cast("double") * 1_000_000).cast("bigint"), F.lit(False))
     return ahead.where(F.col("_turn") == 1).select(
         *key, *keep, "requested", F.when(met, F.col("_next.ts")).alias("confirmed"), met.alias("met")
     )

@@ -138,6 +138,7 @@ def owners_of(servers: DataFrame, server_id: str, links: DataFrame, child_kind:
         F.when(stored, 0).otherwise(rank).alias("b"),
         F.col("cluster_id").alias("c"),
         F.col("pos").alias("d"),
+        rank.alias("e"),
     )
     best = (
         links.where(F.col("child_kind") == child_kind)

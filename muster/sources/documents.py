@@ -43,7 +43,7 @@ def read_documents(
     parallelism.  ``seq`` orders the documents of one file and ``file`` names it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    texts = spark.read.option("wholetext", True).text([resolve_path(p, root) for p in paths])
+    texts = spark.read.text([resolve_path(p, root) for p in paths], wholetext=True)
     file = F.col("_metadata.file_path")
     return (
         texts.select(file.alias("file"), F.posexplode(_array_items(F.col("value"), schema, file)).alias("seq", "_d"))

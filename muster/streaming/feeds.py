@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,6 +35,12 @@ def follow_log(spark: SparkSession, path: str, out: str, checkpoint: str, **trig
     )
 
 
+def _last_batch(written: DataFrame, where: Column | None = None) -> int:
+    """The highest batch number: one value, made a literal so that the scan after it is pruned to folders."""
+    found = (written if where is None else written.where(where)).agg(F.max("batch")).first()[0]
+    return -1 if found is None else int(found)
+
+
 def follow_intervals(
     activity: DataFrame,
     server: str,
@@ -57,9 +63,9 @@ def follow_intervals(
     def step(batch: DataFrame, batch_id: int) -> None:
         records = batch.select(server, ts, seq, op)
         if batch_id > 0:
-            earlier = batch.sparkSession.read.parquet(out)
-            last = earlier.where(F.col("batch") < batch_id).agg(F.max("batch").alias("batch"))
-            open_starts = earlier.where("pending").join(F.broadcast(last), "batch").select(
+            earlier = _written_intervals(batch.sparkSession, out)
+            last = _last_batch(earlier.where(F.col("batch") < batch_id))
+            open_starts = earlier.where(F.col("pending") & (F.col("batch") == last)).select(
                 server, F.col("started").alias(ts), F.col("started_seq").alias(seq), F.lit(start).alias(op)
             )
             records = records.unionByName(open_starts)
@@ -74,12 +80,15 @@ def follow_intervals(
     )
 
 
+def _written_intervals(spark: SparkSession, out: str) -> DataFrame:
+    """Both folder columns come back as text or numbers."""
+    return spark.read.parquet(out).withColumn("pending", F.col("pending").cast("boolean"))
+
+
 def read_intervals(spark: SparkSession, out: str) -> DataFrame:
     """Ended intervals of all batches and the starts the last batch left pending."""
-    written = spark.read.parquet(out)
-    last = written.agg(F.max("batch").alias("_last"))
-    current = written.join(F.broadcast(last), ~F.col("pending") | (F.col("batch") == F.col("_last")))
-    return current.drop("batch", "_last")
+    written = _written_intervals(spark, out)
+    return written.where(~F.col("pending") | (F.col("batch") == _last_batch(written))).drop("batch")
 
 
 def await_outcome_stream(
@@ -151,13 +160,12 @@ def status_feed(
 
 
 def _current_rows(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
-    """Rows since the last whole table; both columns compared are folders, so older ones are not read."""
+    """Rows since the last whole table; older folders are not read."""
     written = spark.read.parquet(out)
     if before is not None:
         written = written.where(F.col("batch") < before)
-    whole = F.col("whole").cast("string") == "true"
-    since = written.agg(F.coalesce(F.max(F.when(whole, F.col("batch"))), F.lit(0)).alias("_since"))
-    return written.join(F.broadcast(since), F.col("batch") >= F.col("_since")).drop("whole", "batch", "_since")
+    since = _last_batch(written, F.col("whole").cast("string") == "true")
+    return written.where(F.col("batch") >= since).drop("whole", "batch")
 
 
 def read_latest(spark: SparkSession, out: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
