@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from muster.functions.durations import humanise_seconds, micros, seconds_between
 from muster.functions.text import first_rule
 from muster.operators.lookup import pick_first, top_rows
-from muster.operators.ordered import HOT_ROWS, ordered_concat
+from muster.operators.ordered import PART_ROWS, ordered_concat
 
 # fixed values: states whose lag is reported, and the texts looked for in errors, in order
 LAG_STATES = ["STARTUP2", "SECONDARY", "RECOVERING"]
@@ -198,7 +198,8 @@ def status_documents(
     group: Sequence[str],
     order: Sequence[str],
     split: Sequence[Column],
-    part_rows: int = HOT_ROWS,
+    part_rows: int = PART_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """JSON status per cluster: the leader block and the other members in order.
 
@@ -206,7 +207,7 @@ def status_documents(
     """
     fields = [c for c in report.columns if c not in group and c not in order]
     listed = ordered_concat(
-        report, group, order, split, F.to_json(F.struct(*fields)), "members", part_rows=part_rows
+        report, group, order, split, F.to_json(F.struct(*fields)), "members", part_rows=part_rows, hot=hot
     )
     block = leaders.select(
         *group, F.to_json(F.struct(*[c for c in leaders.columns if c not in group])).alias("primary")

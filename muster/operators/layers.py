@@ -26,23 +26,32 @@ def layer_documents(layers: Sequence[DataFrame], key: str, seq: str | None = Non
     return stacked.groupBy(key).agg(winner).select(key, "_doc.*")
 
 
+def _empty_settings() -> Column:
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+
 def merge_settings(current: Column, declared: Column) -> Column:
-    """Declared settings laid over current ones; null where nothing is declared."""
-    base = F.coalesce(current, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    """Declared settings laid over current ones; null where nothing is declared.
+
+    Declared values are wrapped before the maps are zipped, so that one declared as null still wins.
+    """
+    wrapped = F.transform_values(declared, lambda k, v: F.struct(v.alias("v")))
     merged = F.map_zip_with(
-        base, declared, lambda k, old, new: F.when(F.map_contains_key(declared, k), new).otherwise(old)
+        F.coalesce(current, _empty_settings()),
+        wrapped,
+        lambda k, old, new: F.when(new.isNotNull(), new["v"]).otherwise(old),
     )
     return F.when(F.size(declared) > 0, merged)
 
 
 def override_options(options: Column, override: Column) -> Column:
     """As a map update: the override wins, and either side may be missing."""
-    return F.when(F.size(override) > 0, merge_settings(options, override)).otherwise(options)
+    return F.coalesce(merge_settings(options, override), options)
 
 
 def settings_text(settings: Column) -> Column:
     """``k=v`` pairs sorted by key, for display and comparison."""
-    pairs = F.array_sort(F.map_entries(settings))
+    pairs = F.sort_array(F.map_entries(settings))
     return F.array_join(
         F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ","
     )

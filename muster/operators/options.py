@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions.versions import at_least
+from muster.functions.versions import key_at_least, version_key
 from muster.operators.layers import merge_settings
 
 
@@ -35,50 +35,82 @@ STANDALONE_DROPS = ("replSet", "keyFile")
 FALSY = ("", "false", "0", "0.0", "[]", "{}")
 
 
-def without(options: Column, names: Sequence[str]) -> Column:
-    return F.map_filter(options, lambda k, v: ~k.isin(*names))
-
-
 def with_option(options: Column, name: str, value: Column | str) -> Column:
     extra = F.create_map(F.lit(name), F.lit(value) if isinstance(value, str) else value)
     return merge_settings(options, extra)
 
 
-def gate_options(options: Column, version: Column, gates: Sequence[Gate]) -> Column:
-    """Apply the gates in order; an unknown version (null) passes everything through."""
-    for gate in gates:
-        if gate.below is not None:
-            options = F.when(~at_least(version, gate.below), without(options, [gate.option])).otherwise(options)
-        if gate.since is not None:
-            taken = [gate.option] + ([gate.unless] if gate.unless else [])
-            given = F.coalesce(F.exists(F.map_keys(options), lambda k: k.isin(*taken)), F.lit(False))
-            options = F.when(
-                at_least(version, gate.since) & ~given, with_option(options, gate.option, gate.value)
-            ).otherwise(options)
-    return options
+def _apply(options: Column, drops: dict[str, Column], adds: dict[str, tuple[Column, Column | str]]) -> Column:
+    """Drop and add options in one pass; an added option never replaces one that is there.
+
+    ``drops`` maps a name to the condition to drop it, ``adds`` a name to (condition, value).  Dropping
+    also undoes an addition.  Options without a value (null) are left out.
+    """
+    no, nothing = F.lit(False), (F.lit(False), "")
+
+    def change(name: str) -> Column:
+        when, value = adds.get(name, nothing)
+        text = F.lit(value) if isinstance(value, str) else value.cast("string")
+        return F.struct(
+            F.coalesce(drops.get(name, no), no).alias("drop"), F.when(F.coalesce(when, no), text).alias("value")
+        )
+
+    names = list(dict.fromkeys([*drops, *adds]))
+    # both maps are arguments of the zip, so their conditions are worked out once per row
+    changes = F.create_map(*[c for n in names for c in (F.lit(n), change(n))])
+    merged = F.map_zip_with(
+        options,
+        changes,
+        lambda k, old, new: F.when(new["drop"], F.lit(None).cast("string")).otherwise(F.coalesce(old, new["value"])),
+    )
+    return F.map_filter(merged, lambda k, v: v.isNotNull())
+
+
+def gate_options(
+    df: DataFrame, options: str, version: str, gates: Sequence[Gate], name: str | None = None
+) -> DataFrame:
+    """Apply the gates to each row's options; an unknown version (null) passes everything through."""
+    current = F.col(options)
+
+    def given(gate: Gate) -> Column:
+        names = [gate.option] + ([gate.unless] if gate.unless else [])
+        return F.exists(F.map_keys(current), lambda k: k.isin(*names))
+
+    key = F.col("_version_key")
+    drops = {g.option: ~key_at_least(key, g.below) for g in gates if g.below is not None}
+    adds = {
+        g.option: (key_at_least(key, g.since) & ~given(g), g.value) for g in gates if g.since is not None
+    }
+    return (
+        df.withColumn("_version_key", version_key(F.col(version)))
+        .withColumn(name or options, _apply(current, drops, adds))
+        .drop("_version_key")
+    )
 
 
 def role_options(
-    options: Column,
+    df: DataFrame,
+    options: str,
     replica_set: Column | None = None,
     standalone: Column | None = None,
     config_server: Column | None = None,
     shard_server: Column | None = None,
-) -> Column:
+    name: str | None = None,
+) -> DataFrame:
     """Options that follow from a server's role; a cache size that is no whole number is dropped."""
-
-    def when(condition: Column | None, changed: Column, otherwise: Column) -> Column:
-        return otherwise if condition is None else F.when(F.coalesce(condition, F.lit(False)), changed).otherwise(otherwise)
-
+    no = F.lit(False)
+    current = F.col(options)
+    adds: dict[str, tuple[Column, Column | str]] = {}
     if replica_set is not None:
-        unset = ~F.map_contains_key(options, "replSet")
-        options = when(replica_set.isNotNull() & unset, with_option(options, "replSet", replica_set), options)
-    options = when(standalone, without(options, STANDALONE_DROPS), options)
-    options = when(config_server, with_option(options, "configsvr", "true"), options)
-    options = when(shard_server, with_option(options, "shardsvr", "true"), options)
-    return F.map_filter(
-        options, lambda k, v: (k != "wiredTigerCacheSizeGB") | F.coalesce(v.rlike(r"^-?[0-9]+$"), F.lit(False))
-    )
+        adds["replSet"] = (replica_set.isNotNull(), replica_set)
+    if config_server is not None:
+        adds["configsvr"] = (config_server, "true")
+    if shard_server is not None:
+        adds["shardsvr"] = (shard_server, "true")
+    drops = {k: standalone for k in STANDALONE_DROPS} if standalone is not None else {}
+    cache = F.try_element_at(current, F.lit("wiredTigerCacheSizeGB"))
+    drops["wiredTigerCacheSizeGB"] = ~F.coalesce(cache.rlike(r"^-?[0-9]+$"), no)
+    return df.withColumn(name or options, _apply(current, drops, adds))
 
 
 def option_arguments(options: Column, allowed: Sequence[str] | None = None) -> Column:
@@ -103,7 +135,7 @@ def option_arguments(options: Column, allowed: Sequence[str] | None = None) -> C
             .otherwise(F.array(flag, entry["value"]))
         )
 
-    return F.flatten(F.transform(F.array_sort(F.map_entries(kept)), render))
+    return F.flatten(F.transform(F.sort_array(F.map_entries(kept)), render))
 
 
 def option_inventory(df: DataFrame, options: str, keep: Sequence[str], allowed: Sequence[str] | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 HOT_GROUPS = 50_000
+PART_ROWS = 100_000  # rows in one text cell
 
 
 def time_pieces(ts_micros: Column, seconds: int = 3600) -> Column:
@@ -53,15 +54,21 @@ def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -
 
 
 def cut_hot_groups(
-    df: DataFrame, group: Sequence[str], split: Sequence[Column], hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    group: Sequence[str],
+    split: Sequence[Column],
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Add the piece columns: null in ordinary groups, the split expressions in hot ones.
 
     The list of hot groups has a row bound known to the planner, so it is broadcast only while that
-    bound is below ``spark.sql.autoBroadcastJoinThreshold``.
+    bound is below ``spark.sql.autoBroadcastJoinThreshold``.  Where ``df`` is a plan with joins, pass
+    ``hot`` from ``hot_groups`` of the table it starts from: the rows are then counted where they are read.
     """
     keys = [f"_hot_{i}" for i in range(len(group))]
-    hot = hot_groups(df, group, hot_rows).toDF(*keys).withColumn("_hot", F.lit(True))
+    listed = hot if hot is not None else hot_groups(df, group, hot_rows)
+    hot = listed.select(*group).toDF(*keys).withColumn("_hot", F.lit(True))
     pieces = [f"_piece_{i}" for i in range(len(split))]
     marked = df.join(hot, _same(df, hot, list(zip(group, keys))), "left").select(
         *[df[c] for c in df.columns],
@@ -91,10 +98,11 @@ def running_total(
     value: Column,
     name: str,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the group's rows up to and including each row."""
     group, order = list(group), list(order)
-    marked, pieces = cut_hot_groups(df.withColumn("_value", value.cast("bigint")), group, split, hot_rows)
+    marked, pieces = cut_hot_groups(df.withColumn("_value", value.cast("bigint")), group, split, hot_rows, hot)
     keys = group + pieces
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = (
@@ -121,9 +129,10 @@ def with_position(
     split: Sequence[Column],
     name: str = "pos",
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Zero-based position of each row in its group."""
-    counted = running_total(df, group, order, split, F.lit(1), name, hot_rows)
+    counted = running_total(df, group, order, split, F.lit(1), name, hot_rows, hot)
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -138,6 +147,7 @@ def nearest(
     after: bool = False,
     inclusive: bool = False,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Struct of ``value`` from the closest row for which ``where`` holds, before or after each row.
 
@@ -145,7 +155,7 @@ def nearest(
     """
     group, order = list(group), list(order)
     found = F.when(where, F.struct(*value))
-    marked, pieces = cut_hot_groups(df.withColumn("_found", found), group, split, hot_rows)
+    marked, pieces = cut_hot_groups(df.withColumn("_found", found), group, split, hot_rows, hot)
     keys = group + pieces
 
     def directed(names: Sequence[str]) -> list[Column]:
@@ -186,7 +196,8 @@ def ordered_concat(
     value: Column,
     name: str,
     separator: str = ",",
-    part_rows: int = 100_000,
+    part_rows: int = PART_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The group's values in order, joined to one text.
 
@@ -195,7 +206,7 @@ def ordered_concat(
     """
     group, order = list(group), list(order)
     kept = df.select(*dict.fromkeys(group + order), value.cast("string").alias("_text"))
-    marked, pieces = cut_hot_groups(kept, group, split, part_rows)
+    marked, pieces = cut_hot_groups(kept, group, split, part_rows, hot)
     keys = group + pieces
     by_order = ", ".join(f"`{c}`" for c in order)
     texts = marked.groupBy(*keys).agg(

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import versions
-from muster.functions.address import is_member_address
+from muster.functions.address import host_of, is_member_address, port_of
 from muster.functions.text import gib_to_bytes
 from muster.operators.addresses import address_keys, match_addresses
 from muster.operators.layers import merge_settings
 from muster.operators.lookup import top_rows
-from muster.operators.ordered import HOT_ROWS, running_total
+from muster.operators.ordered import HOT_ROWS, hot_groups, running_total
 
 # fixed values
 ALLOWED_ENVIRONMENT = ["TCMALLOC_AGGRESSIVE_DECOMMIT"]
@@ -91,25 +91,37 @@ def find_conflicts(
     members that clash with the same first one clash with each other.  Id 0 counts as absent unless
     ``strict``.
     """
-    keyed: DataFrame | None = None
+    ways: list[Column] = []
 
-    def add(kind: str, rows: DataFrame) -> None:
-        nonlocal keyed
-        tagged = rows.select(cluster_id, pos, F.lit(kind).alias("kind"), "key", "port")
-        keyed = tagged if keyed is None else keyed.unionByName(tagged)
+    def way(kind: str, key: Column, port: Column | None = None, counts: Column | None = None) -> Column:
+        named = F.struct(
+            F.lit(kind).alias("kind"),
+            key.cast("string").alias("key"),
+            F.coalesce(port, F.lit("")).alias("port") if port is not None else F.lit("").alias("port"),
+        )
+        return F.when(key.isNotNull() if counts is None else counts, named)
 
     if member_id is not None:
         counted = member_id.isNotNull() if strict else F.coalesce(member_id != 0, F.lit(False))
-        add("id", members.where(counted).select(
-            cluster_id, pos, member_id.cast("string").alias("key"), F.lit("").alias("port")))
+        ways.append(way("id", member_id, counts=counted))
     if server is not None:
-        add("server", members.where(server.isNotNull()).select(
-            cluster_id, pos, server.cast("string").alias("key"), F.lit("").alias("port")))
+        ways.append(way("server", server))
     if address is not None:
-        add("address", address_keys(members, [cluster_id, pos], address, hosts).select(
-            cluster_id, pos, F.concat_ws(":", "key_kind", "key").alias("key"), F.coalesce("port", F.lit("")).alias("port")))
-    if keyed is None:
+        ways.append(way("address", F.concat(F.lit("host:"), host_of(address)), port_of(address)))
+    if not ways:
         raise ValueError("name at least one of member_id, server and address")
+    # one pass over the members: each row becomes one row per key it can clash by
+    keyed = (
+        members.select(cluster_id, pos, F.explode(F.array(*ways)).alias("_way"))
+        .where(F.col("_way").isNotNull())
+        .select(cluster_id, pos, "_way.*")
+    )
+    if address is not None and hosts is not None:
+        by_ip = address_keys(members, [cluster_id, pos], address, hosts).where(F.col("key_kind") == "ip")
+        keyed = keyed.unionByName(by_ip.select(
+            cluster_id, pos, F.lit("address").alias("kind"), F.concat(F.lit("ip:"), F.col("key")).alias("key"),
+            F.coalesce("port", F.lit("")).alias("port"),
+        ))
     by = [cluster_id, "kind", "key", "port"]
     firsts = (
         keyed.groupBy(*by)
@@ -189,6 +201,7 @@ def assign_ids(
     hosts: DataFrame | None = None,
     name: str = "member_id",
     configured: DataFrame | None = None,
+    hot: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give every member an id.
@@ -217,7 +230,8 @@ def assign_ids(
         out = out.join(matches, [cluster_id, pos], "left").join(starts, cluster_id, "left")
     needs = F.col(given).isNull() & F.col("_matched").isNull()
     counted = running_total(
-        out, [cluster_id], [pos], split, needs.cast("bigint"), "_used", hot_rows=hot_rows
+        out, [cluster_id], [pos], split, needs.cast("bigint"), "_used", hot_rows=hot_rows,
+        hot=hot if hot is not None else hot_groups(members, [cluster_id], hot_rows),
     )
     fresh = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_used") - 1
     return counted.withColumn(

@@ -26,9 +26,10 @@ def member_listing(
     order: Sequence[str],
     split: Sequence[Column],
     label: Column,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Clusters with their members as ``[ a, b ]``; a very large cluster comes in several parts."""
-    texts = ordered_concat(members, [member_cluster], order, split, label, "members", separator=", ")
+    texts = ordered_concat(members, [member_cluster], order, split, label, "members", separator=", ", hot=hot)
     named = texts.withColumnRenamed(member_cluster, "_cluster")
     joined = clusters.join(named, clusters[cluster_id] == named["_cluster"], "left").drop("_cluster")
     return joined.withColumns(
@@ -67,13 +68,14 @@ def cluster_uri(
     connects: Column,
     database: str | None = None,
     auth: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Connection template per cluster: the non-arbiter addresses in member order.
 
     ``auth`` has ``(cluster_id, auth)``.  A very large cluster comes in parts that join with a comma: the
     first carries the beginning, the last the end.
     """
-    hosts = ordered_concat(members.where(connects), [cluster_id], order, split, address, "hosts")
+    hosts = ordered_concat(members.where(connects), [cluster_id], order, split, address, "hosts", hot=hot)
     if auth is not None:
         hosts = hosts.join(auth.select(cluster_id, "auth"), cluster_id, "left")
     flag = F.coalesce(F.col("auth"), F.lit(False)) if auth is not None else F.lit(False)
@@ -93,10 +95,15 @@ def cluster_uri(
 
 
 def replica_addresses(
-    members: DataFrame, cluster_id: str, order: Sequence[str], split: Sequence[Column], address: Column
+    members: DataFrame,
+    cluster_id: str,
+    order: Sequence[str],
+    split: Sequence[Column],
+    address: Column,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``id/h1,h2``: the form a shard or a config replica is named by."""
-    hosts = ordered_concat(members, [cluster_id], order, split, address, "hosts")
+    hosts = ordered_concat(members, [cluster_id], order, split, address, "hosts", hot=hot)
     name = F.concat(F.col(cluster_id).cast("string"), F.lit("/"))
     return hosts.select(
         cluster_id,

@@ -12,8 +12,8 @@ from muster.functions.versions import (
     COMMUNITY_SSL,
     EDITIONS,
     ENTERPRISE,
-    at_least,
     edition_of,
+    key_at_least,
     version_key,
 )
 
@@ -154,13 +154,13 @@ def version_inventory(installs: DataFrame, version: str, edition: str, path: str
     )
 
 
-def storage_default(version: Column, engine: Column) -> Column:
+def storage_default(df: DataFrame, version: str, engine: Column, name: str = "newer_engine") -> DataFrame:
     """Whether the newer storage engine is in use; null before 3.0."""
-    chosen = engine == "wiredTiger"
+    key = F.col("_version_key")
+    chosen = F.coalesce(engine == "wiredTiger", F.lit(False))
     unset = F.coalesce(engine, F.lit("")) == ""
-    return F.when(at_least(version, "3.2.0"), unset | F.coalesce(chosen, F.lit(False))).when(
-        at_least(version, "3.0.0"), F.coalesce(chosen, F.lit(False))
-    )
+    used = F.when(key_at_least(key, "3.2.0"), unset | chosen).when(key_at_least(key, "3.0.0"), chosen)
+    return df.withColumn("_version_key", version_key(F.col(version))).withColumn(name, used).drop("_version_key")
 
 
 def platform_spec(os_name: Column, bits: Column, edition: Column) -> Column:
@@ -179,19 +179,25 @@ def platform_spec(os_name: Column, bits: Column, edition: Column) -> Column:
 
 
 def artifact_url(
-    version: Column, edition: Column, os_name: Column, bits: Column, dist: Column, dist_version: Column
+    version: Column,
+    key: Column,
+    edition: Column,
+    os_name: Column,
+    bits: Column,
+    dist: Column,
+    dist_version: Column,
 ) -> Column:
-    """Where an artifact is found; null where none exists."""
+    """Where an artifact is found, by version text and version key; null where none exists."""
     spec = platform_spec(os_name, bits, edition)
     plain_dist = F.concat(dist, F.replace(dist_version, F.lit("."), F.lit("")))
     tail = F.concat(F.lit("-"), version, F.lit(".tgz"))
     optional_dist = F.when(dist.isNotNull(), F.concat(F.lit("-"), plain_dist)).otherwise("")
-    modern = at_least(version, "2.6.1")
+    modern = key_at_least(key, "2.6.1")
     # fixed values: hosts and names by edition and version
     name = (
         F.when(edition == COMMUNITY, F.concat(F.lit("mongodb-"), spec, tail))
         .when(
-            (edition == COMMUNITY_SSL) & at_least(version, "3.0"),
+            (edition == COMMUNITY_SSL) & key_at_least(key, "3.0"),
             F.concat(F.lit("mongodb-"), spec, optional_dist, tail),
         )
         .when(
@@ -234,12 +240,15 @@ def artifact_catalog(
 
     targets = F.array(*[target(*p, e) for p in platforms for e in editions])
     url = artifact_url(
-        F.col(version), F.col("edition"), F.col("os_name"), F.col("bits"), F.col("dist"), F.col("dist_version")
+        F.col(version), F.col("_version_key"), F.col("edition"), F.col("os_name"), F.col("bits"), F.col("dist"),
+        F.col("dist_version"),
     )
     return (
-        versions.select("*", F.explode(targets).alias("_t"))
-        .select(*versions.columns, "_t.*")
+        versions.withColumn("_version_key", version_key(F.col(version)))
+        .select("*", F.explode(targets).alias("_t"))
+        .select(*versions.columns, "_version_key", "_t.*")
         .withColumn("url", url)
+        .drop("_version_key")
         .where(F.col("url").isNotNull())
         .withColumn("archive", F.try_element_at(F.split("url", "/"), F.lit(-1)))
     )

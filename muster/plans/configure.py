@@ -22,6 +22,7 @@ def configuration_plan(
     split: Sequence[Column],
     keep: Sequence[str] = (),
     hosts: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Desired members of every cluster with their ids; clusters whose members clash are left out.
 
@@ -33,5 +34,5 @@ def configuration_plan(
     sound = declared.join(clashes, cluster_id, "left_anti")
     desired = build_desired(sound, current, cluster_id, pos, host, [given_id, *keep])
     return assign_ids(
-        desired, current, cluster_id, pos, given_id, F.col("host"), current_address, split, hosts
+        desired, current, cluster_id, pos, given_id, F.col("host"), current_address, split, hosts, hot=hot
     ).drop("turn", given_id)

@@ -9,19 +9,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.operators.ordered import with_position
+from muster.operators.ordered import HOT_ROWS, hot_groups, with_position
 
 # total order of the members of a cluster
 ORDER = ["line", "part", "server", "price", "quantity", "optime"]
 
 
+# declared, so that opening a table starts no job to look at its files
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def split() -> list[Column]:
     """Monotone pieces of that order, used only inside very large clusters."""
     return [F.col("line"), F.floor(F.col("part") / 1000).cast("bigint")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +60,11 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hot_clusters(spark: SparkSession, sf_dir: str, rows: int = HOT_ROWS) -> DataFrame:
+    """Very large clusters, counted on the key column alone."""
+    return hot_groups(members(spark, sf_dir), ["cluster"], rows)
+
+
 def placed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members with their zero-based array position ``pos``."""
     return with_position(members(spark, sf_dir), ["cluster"], ORDER, split())

@@ -15,7 +15,7 @@ from muster.operators import activity as act
 from muster.operators import addresses as addr
 from muster.operators import health, layers, lookup, options, reconcile, refs, report, texts
 from muster.operators import versions as ver
-from muster.operators.ordered import count_pieces, ordered_concat, time_pieces
+from muster.operators.ordered import PART_ROWS, count_pieces, ordered_concat, time_pieces
 from muster.plans import fleet_view as fleet
 from muster.plans.configure import configuration_plan
 from muster.plans.export_source import export_sources
@@ -45,6 +45,11 @@ def text(value: Column) -> Column:
     return value.cast("string")
 
 
+def _large_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters whose members do not fit one text; a cluster has no more rows in a filtered table."""
+    return fleet.hot_clusters(spark, sf_dir, PART_ROWS)
+
+
 # ---- sources and sinks -------------------------------------------------------------------------
 
 def _document_files(spark: SparkSession, sf_dir: str) -> str:
@@ -61,7 +66,7 @@ def _document_files(spark: SparkSession, sf_dir: str) -> str:
         fleet.table(spark, sf_dir, "supplier")
         .select(F.floor(col("s_suppkey") / 1000).alias("file"), F.struct("s_suppkey", doc.alias("doc")).alias("d"))
         .groupBy("file")
-        .agg(F.array_sort(F.collect_list("d")).alias("docs"))
+        .agg(F.sort_array(F.collect_list("d")).alias("docs"))
         .select(
             "file",
             F.concat(
@@ -294,21 +299,24 @@ def merge_settings(spark, sf_dir):
     declared = F.when(
         col("o_totalprice") > 100000, F.create_map(F.lit("b"), F.lit("x"), F.lit("c"), col("o_orderstatus"))
     )
-    return fleet.table(spark, sf_dir, "orders").select(
+    docs = fleet.table(spark, sf_dir, "orders").select("o_orderkey", current.alias("now"), declared.alias("declared"))
+    return docs.select(
         "o_orderkey",
-        layers.settings_text(layers.merge_settings(current, declared)).alias("settings"),
-        layers.settings_text(layers.override_options(current, declared)).alias("options"),
+        layers.settings_text(layers.merge_settings(col("now"), col("declared"))).alias("settings"),
+        layers.settings_text(layers.override_options(col("now"), col("declared"))).alias("options"),
     )
 
 
 @query
 def gate_options(spark, sf_dir):
-    base = F.create_map(
-        F.lit("authenticationDatabase"), F.lit("admin"), F.lit("restoreDbUsersAndRoles"), F.lit("true")
-    )
-    given = F.when(col("edition") == "enterprise", options.with_option(base, "continueOnError", "true")).otherwise(base)
-    gated = options.gate_options(given, col("version"), options.IMPORT_GATES)
-    return fleet.installs(spark, sf_dir).select("path", layers.settings_text(gated).alias("options"))
+    base = {"authenticationDatabase": "admin", "restoreDbUsersAndRoles": "true"}
+    pairs = [F.lit(t) for kv in base.items() for t in kv]
+    given = F.when(
+        col("edition") == "enterprise", F.create_map(*pairs, F.lit("continueOnError"), F.lit("true"))
+    ).otherwise(F.create_map(*pairs))
+    docs = fleet.installs(spark, sf_dir).select("path", "version", given.alias("options"))
+    gated = options.gate_options(docs, "options", "version", options.IMPORT_GATES)
+    return gated.select("path", layers.settings_text(col("options")).alias("options"))
 
 
 @query
@@ -318,8 +326,11 @@ def role_options(spark, sf_dir):
         F.lit("port"), text(col("server") + 27000),
     )
     replica = F.when(~col("passive"), F.concat(F.lit("c"), col("cluster")))
-    chosen = options.role_options(given, replica, col("state") == "SECONDARY", col("config"), col("arbiter"))
-    return fleet.members(spark, sf_dir).select("cluster", "line", "part", layers.settings_text(chosen).alias("options"))
+    docs = fleet.members(spark, sf_dir).withColumn("options", given)
+    chosen = options.role_options(
+        docs, "options", replica, col("state") == "SECONDARY", col("config"), col("arbiter")
+    )
+    return chosen.select("cluster", "line", "part", layers.settings_text(col("options")).alias("options"))
 
 
 @query
@@ -407,7 +418,8 @@ def cluster_uri(spark, sf_dir):
     )
     auth = lookup.any_member(fleet.members(spark, sf_dir), ["cluster"], col("config"), "auth")
     return report.cluster_uri(
-        resolved, "cluster", fleet.ORDER, fleet.split(), col("server_address"), ~col("arbiter"), auth=auth
+        resolved, "cluster", fleet.ORDER, fleet.split(), col("server_address"), ~col("arbiter"), auth=auth,
+        hot=_large_texts(spark, sf_dir),
     )
 
 
@@ -547,7 +559,7 @@ def assign_ids(spark, sf_dir):
     )
     out = reconcile.assign_ids(
         declared, _current(spark, sf_dir), "cluster", "pos", "given", col("address"), col("host"),
-        [count_pieces(col("pos"))],
+        [count_pieces(col("pos"))], hot=fleet.hot_clusters(spark, sf_dir),
     )
     return out.select("cluster", "pos", "member_id")
 
@@ -565,7 +577,8 @@ def build_desired(spark, sf_dir):
     )
     item = F.concat(F.col("host"), F.lit("/"), F.coalesce(layers.settings_text(col("tags")), F.lit("")))
     return ordered_concat(
-        desired, ["cluster"], ["turn", "pos"], [col("turn"), count_pieces(col("pos"))], item, "members", " "
+        desired, ["cluster"], ["turn", "pos"], [col("turn"), count_pieces(col("pos"))], item, "members", " ",
+        hot=_large_texts(spark, sf_dir),
     )
 
 
@@ -590,7 +603,7 @@ def configuration_dry_run(spark, sf_dir):
     )
     return configuration_plan(
         declared, _current(spark, sf_dir), "cluster", "pos", "id", col("address"), col("server"), col("host"),
-        [count_pieces(col("pos"))], keep=["passive"],
+        [count_pieces(col("pos"))], keep=["passive"], hot=fleet.hot_clusters(spark, sf_dir),
     )
 
 
@@ -752,7 +765,9 @@ def cluster_documents(spark, sf_dir):
     )
     report_rows = others.withColumn("address", text(col("server"))).select("cluster", *fleet.ORDER, "address", "state")
     block = leaders.select("cluster", text(col("leader")).alias("address"), F.lit("PRIMARY").alias("stateStr"))
-    return health.status_documents(report_rows, block, ["cluster"], fleet.ORDER, fleet.split())
+    return health.status_documents(
+        report_rows, block, ["cluster"], fleet.ORDER, fleet.split(), hot=_large_texts(spark, sf_dir)
+    )
 
 
 @query
@@ -783,7 +798,8 @@ def cluster_listing(spark, sf_dir):
     )
     orders = fleet.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return report.member_listing(
-        orders, "o_orderkey", members, "cluster", fleet.ORDER, fleet.split(), col("label")
+        orders, "o_orderkey", members, "cluster", fleet.ORDER, fleet.split(), col("label"),
+        hot=_large_texts(spark, sf_dir),
     )
 
 
@@ -888,11 +904,11 @@ def small_columns(spark, sf_dir):
 
 @query
 def version_keys(spark, sf_dir):
-    key = vs.version_key(col("version"))
-    return fleet.installs(spark, sf_dir).select(
+    key = col("key")
+    return fleet.installs(spark, sf_dir).withColumn("key", vs.version_key(col("version"))).select(
         "path", key["major"].alias("major"), key["minor"].alias("minor"), key["patch"].alias("patch"),
         (key["stage"] < 3).alias("is_pre"), vs.is_supported(col("version")).alias("supported"),
-        vs.at_least(col("version"), "2.6.1").alias("modern"), vs.is_valid(col("version"), col("edition")).alias("valid"),
+        vs.key_at_least(key, "2.6.1").alias("modern"), vs.is_valid(col("version"), col("edition")).alias("valid"),
     )
 
 
@@ -943,9 +959,7 @@ def artifact_catalog(spark, sf_dir):
 @query
 def storage_default(spark, sf_dir):
     engine = F.when(col("edition") == "enterprise", "wiredTiger").when(col("edition") == "community", "mmapv1")
-    return fleet.installs(spark, sf_dir).select(
-        "path", ver.storage_default(col("version"), engine).alias("newer_engine")
-    )
+    return ver.storage_default(fleet.installs(spark, sf_dir), "version", engine).select("path", "newer_engine")
 
 
 # ---- activity and streams ----------------------------------------------------------------------

@@ -62,7 +62,8 @@ def main(argv):
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(
         "check", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+           "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf_dir)
