@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 # white space and comments before the first value of a file
 _LEADING = r"\A(?:\s++|//[^\n]*+(?:\n|\z)|/\*[\s\S]*?\*/)*+"
@@ -22,16 +22,10 @@ def resolve_path(path: str, root: str | None = None) -> str:
 
 def _array_items(text: Column, schema: str, label: Column) -> Column:
     """The documents of a JSON array; anything but an array is an error."""
+    kind = ArrayType(StructType.fromDDL(schema))
     body = F.regexp_replace(text, _LEADING, "")
     wrong = F.raise_error(F.concat(F.lit("not a JSON array of documents: "), label))
-    return F.when(body.startswith("["), F.from_json(text, f"array<struct<{_flat(schema)}>>", _JSON)).otherwise(
-        wrong.cast(f"array<struct<{_flat(schema)}>>")
-    )
-
-
-def _flat(ddl: str) -> str:
-    """A table schema in DDL (``a int, b string``) as the inside of a struct type."""
-    return StructType.fromDDL(ddl).simpleString()[len("struct<"):-1]
+    return F.when(body.startswith("["), F.from_json(text, kind, _JSON)).otherwise(wrong.cast(kind))
 
 
 def read_documents(
