@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.durations import micros
-from muster.operators.ordered import HOT_ROWS, nearest, time_pieces
+from muster.operators.ordered import nearest, time_pieces
+from muster.operators.skew import HOT_ROWS
 
 
 def lifecycle_intervals(

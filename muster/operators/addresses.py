@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.address import host_of, port_of
+from muster.operators.skew import join_per_key
 
 
 def host_ips(hosts: DataFrame, host: str = "host", ips: str = "ips") -> DataFrame:
@@ -61,8 +62,7 @@ def match_addresses(
         .agg(F.min(F.struct(order.alias("_order"), F.struct(*right_value).alias("_value"))).alias("_first"))
     )
     return (
-        address_keys(left, scope + ids, left_address, hosts)
-        .join(firsts, by)
+        join_per_key(address_keys(left, scope + ids, left_address, hosts), firsts, by)
         .groupBy(*scope, *ids)
         .agg(F.min("_first")["_value"].alias("match"))
     )

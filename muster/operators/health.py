@@ -11,6 +11,7 @@ from muster.functions.durations import humanise_seconds, micros, seconds_between
 from muster.functions.text import first_rule
 from muster.operators.lookup import pick_first, top_rows
 from muster.operators.ordered import PART_ROWS, ordered_concat
+from muster.operators.skew import join_per_key
 
 # fixed values: states whose lag is reported, and the texts looked for in errors, in order
 LAG_STATES = ["STARTUP2", "SECONDARY", "RECOVERING"]
@@ -69,9 +70,10 @@ def lag_to_leader(
     leader_optime: str,
     where: Column,
     name: str = "lag",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Lag of the members that meet ``where``; clusters without a leader drop out."""
-    return members.where(where).join(leaders, list(group)).withColumn(
+    return join_per_key(members.where(where), leaders, group, hot=hot).withColumn(
         name, lag_seconds(F.col(optime), F.col(leader_optime))
     )
 
@@ -141,13 +143,14 @@ def member_report(
     status: DataFrame,
     config: DataFrame | None = None,
     cluster_id: str = "cluster_id",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One row per member other than the leader: address, state, lag in three states, and its settings.
 
     Expects ``MEMBER_STATUS`` columns; the leader of a cluster is the row that reports on itself.
     """
     leaders = status.where("is_self").groupBy(cluster_id).agg(F.max("optimeDate").alias("_leader_optime"))
-    others = status.where(~F.coalesce(F.col("is_self"), F.lit(False))).join(leaders, cluster_id)
+    others = join_per_key(status.where(~F.coalesce(F.col("is_self"), F.lit(False))), leaders, [cluster_id], hot=hot)
     lag = F.when(F.col("stateStr").isin(LAG_STATES), lag_seconds(F.col("optimeDate"), F.col("_leader_optime")))
     report = others.select(
         cluster_id,
@@ -170,6 +173,7 @@ def cluster_status(
     leader_optime: str,
     is_leader: Column,
     spans: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One flat row per cluster: its leader, how many others, their newest optime, how many are behind.
 
@@ -179,7 +183,7 @@ def cluster_status(
     ahead = micros(F.col(leader_optime))
     own = micros(F.col(optime))
     lag = lag_seconds(F.col(optime), F.col(leader_optime))
-    joined = members.join(leaders, list(group)).withColumn("_leader", F.coalesce(is_leader, F.lit(False)))
+    joined = join_per_key(members, leaders, group, hot=hot).withColumn("_leader", F.coalesce(is_leader, F.lit(False)))
     other = ~F.col("_leader")
     carried = [c for c in leaders.columns if c not in group]
     out = joined.groupBy(*group).agg(

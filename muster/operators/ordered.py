@@ -5,9 +5,6 @@ enough are treated so.  A hot group is cut into pieces along its order (the call
 monotone form of the leading order columns); each piece gets its own window, and a small table with one
 row per piece of a hot group carries totals and boundary rows over to the next piece.  The result is the
 same as that of the plain window.
-
-What is broadcast is the list of hot groups.  It holds at most ``HOT_GROUPS`` rows, whatever the size of
-the input: groups beyond that many are each no larger than 1/HOT_GROUPS of all rows.
 """
 
 from __future__ import annotations
@@ -17,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-HOT_GROUPS = 50_000
+from muster.operators.skew import HOT_ROWS, hot_groups
+
 PART_ROWS = 100_000  # rows in one text cell
 
 
@@ -32,20 +29,6 @@ def count_pieces(position: Column, rows: int = 100_000) -> Column:
     return F.floor(position / F.lit(rows)).cast("bigint")
 
 
-def hot_groups(
-    df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS, most: int = HOT_GROUPS
-) -> DataFrame:
-    """The groups with at least ``hot_rows`` rows, largest first, no more than ``most`` of them."""
-    return (
-        df.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
-        .orderBy(F.col("_rows").desc(), *[F.col(c).asc() for c in group])
-        .limit(most)
-        .drop("_rows")
-    )
-
-
 def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     condition = F.lit(True)
     for a, b in pairs:

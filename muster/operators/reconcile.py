@@ -13,7 +13,8 @@ from muster.functions.text import gib_to_bytes
 from muster.operators.addresses import address_keys, match_addresses
 from muster.operators.layers import merge_settings
 from muster.operators.lookup import top_rows
-from muster.operators.ordered import HOT_ROWS, hot_groups, running_total
+from muster.operators.ordered import running_total
+from muster.operators.skew import HOT_GROUPS, HOT_ROWS, hot_groups, join_per_key
 
 # fixed values
 ALLOWED_ENVIRONMENT = ["TCMALLOC_AGGRESSIVE_DECOMMIT"]
@@ -125,12 +126,17 @@ def find_conflicts(
     by = [cluster_id, "kind", "key", "port"]
     firsts = (
         keyed.groupBy(*by)
-        .agg(F.min(pos).alias("first_pos"), F.max(pos).alias("_last"))
-        .where(F.col("first_pos") < F.col("_last"))
-        .drop("_last")
+        .agg(F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > 1)
+    )
+    # the same counts name the hot keys
+    hot = (
+        firsts.where(F.col("_rows") >= HOT_ROWS)
+        .orderBy(F.col("_rows").desc(), *by)
+        .limit(HOT_GROUPS)
     )
     return (
-        keyed.join(firsts, by)
+        join_per_key(keyed, firsts.drop("_rows"), by, hot=hot)
         .where(F.col(pos) > F.col("first_pos"))
         .groupBy(cluster_id, pos, "kind")
         .agg(F.min("first_pos").alias("first_pos"))
@@ -173,7 +179,7 @@ def find_drift(
     their_keys = address_keys(theirs, [cluster_id, "_id", "at"], F.col("_current"), hosts)
     by = [cluster_id, "key_kind", "key", "port"]
 
-    same_id = mine.join(theirs.drop("_current"), [cluster_id, "_id"])
+    same_id = join_per_key(mine, theirs.drop("_current"), [cluster_id, "_id"])
     agreeing = my_keys.join(their_keys.drop("at"), [*by, "_id"], "left_semi").select(cluster_id, pos).distinct()
     moved = same_id.join(agreeing, [cluster_id, pos], "left_anti").select(
         cluster_id, pos, "at", F.lit("id_moved").alias("kind"), F.col("_id").alias("current_id")
@@ -181,7 +187,7 @@ def find_drift(
 
     last_two = top_rows(their_keys, by, [F.col("at").desc()], 2).withColumnRenamed("_id", "current_id")
     renamed = (
-        my_keys.join(last_two, by)
+        join_per_key(my_keys, last_two, by)
         .where(F.col("_id") != F.col("current_id"))
         .select(cluster_id, pos, "at", F.lit("address_renamed").alias("kind"), "current_id")
     )
@@ -212,6 +218,7 @@ def assign_ids(
     need one, in array order; given ids are not reserved.
     """
     out = members.withColumn("_address", address)
+    hot = hot if hot is not None else hot_groups(members, [cluster_id], hot_rows)
     if current is None:
         out = out.withColumn("_matched", F.lit(None).cast("bigint")).withColumn("_start", F.lit(0).cast("bigint"))
     else:
@@ -227,11 +234,11 @@ def assign_ids(
         starts = known.groupBy(cluster_id).agg(
             (F.greatest(F.max("id"), F.lit(0)) + 1).cast("bigint").alias("_start")
         )
-        out = out.join(matches, [cluster_id, pos], "left").join(starts, cluster_id, "left")
+        out = join_per_key(out.join(matches, [cluster_id, pos], "left"), starts, [cluster_id], "left", hot)
     needs = F.col(given).isNull() & F.col("_matched").isNull()
     counted = running_total(
         out, [cluster_id], [pos], split, needs.cast("bigint"), "_used", hot_rows=hot_rows,
-        hot=hot if hot is not None else hot_groups(members, [cluster_id], hot_rows),
+        hot=hot,
     )
     fresh = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_used") - 1
     return counted.withColumn(

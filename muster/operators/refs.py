@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from muster import schemas
 from muster.functions.address import display_address, full_address, is_member_address
+from muster.operators.skew import hot_groups, join_per_key
 
 # fixed values: document types, the order of reverse lookup, and the text for a dangling reference
 SERVER_TYPES = {"Mongod": "server", "ConfigMongod": "server", "Mongos": "router", "mongod": "server", "mongos": "router"}
@@ -103,6 +104,7 @@ def resolve_refs(
     address: Column,
     host: str | None = None,
     port: Column | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``server_id``, ``server_address`` and ``label`` to members.
 
@@ -110,15 +112,15 @@ def resolve_refs(
     Server ids are unique in a catalog, so the join keeps one row per member.
     """
     catalog = servers.select(
-        F.col(server_id).alias("_sid"), full_address(address, port).alias("_address"),
+        F.col(server_id).alias(ref), F.col(server_id).alias("_sid"), full_address(address, port).alias("_address"),
     )
-    joined = members.join(catalog, members[ref] == catalog["_sid"], "left")
+    joined = join_per_key(members, catalog, [ref], "left", hot)
     found, found_address = F.col("_sid").cast("string"), F.col("_address")
     if host is not None:
-        built = F.when(members[ref].isNull() & is_member_address(members[host]), members[host])
+        built = F.when(F.col(ref).isNull() & is_member_address(F.col(host)), F.col(host))
         found, found_address = F.coalesce(found, built), F.coalesce(found_address, built)
     return joined.select(
-        *[members[c] for c in members.columns],
+        *members.columns,
         found.alias("server_id"),
         found_address.alias("server_address"),
         F.coalesce(found, F.lit(INVALID_MEMBER)).alias("label"),
@@ -227,14 +229,13 @@ def member_roles(
         )
     )
     by_cluster = used.where(F.col("child_kind") == "cluster").select(
-        F.col("child_id").alias("_c"), F.col("_config").alias("_c_config"), F.col("_shard").alias("_c_shard")
+        F.col("child_id").alias(cluster_id), F.col("_config").alias("_c_config"), F.col("_shard").alias("_c_shard")
     )
     by_server = used.where(F.col("child_kind") == "server").select(
-        F.col("child_id").alias("_s"), F.col("_config").alias("_s_config"), F.col("_shard").alias("_s_shard")
-    )
-    joined = out.join(by_cluster, out[cluster_id] == by_cluster["_c"], "left").join(
-        by_server, out[server_id] == by_server["_s"], "left"
+        F.col("child_id").alias(server_id), F.col("_config").alias("_s_config"), F.col("_shard").alias("_s_shard")
     )
+    joined = join_per_key(out, by_cluster, [cluster_id], "left", hot_groups(members, [cluster_id]))
+    joined = join_per_key(joined, by_server, [server_id], "left", hot_groups(members, [server_id]))
 
     def either(a: str, b: str) -> Column:
         return F.coalesce(F.col(a), F.lit(False)) | F.coalesce(F.col(b), F.lit(False))
@@ -242,7 +243,7 @@ def member_roles(
     return (
         joined.withColumn("is_config_server", own_flag | either("_c_config", "_s_config"))
         .withColumn("is_shard_server", either("_c_shard", "_s_shard"))
-        .drop("_c", "_s", "_c_config", "_c_shard", "_s_config", "_s_shard")
+        .drop("_c_config", "_c_shard", "_s_config", "_s_shard")
     )
 
 

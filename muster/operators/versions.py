@@ -16,6 +16,7 @@ from muster.functions.versions import (
     key_at_least,
     version_key,
 )
+from muster.operators.skew import join_per_key
 
 EXACT, MAJOR_GE, LATEST_STABLE = "EXACT", "MAJOR_GE", "LATEST_STABLE"
 EXACT_OR_MINOR, LATEST_MINOR, DEFAULT = "EXACT_OR_MINOR", "LATEST_MINOR", "DEFAULT"
@@ -56,11 +57,10 @@ def match_versions(
         {"_asked": version_key(F.col(version)), "_asked_edition": edition_of(F.col(edition))}
     )
     def joined(df: DataFrame, name: str, best: DataFrame, on: dict[str, Column]) -> DataFrame:
-        renamed = best.select(
-            *[F.col(c).alias(f"{name}{c}") for c in on], F.col("_hit").alias(name)
-        )
-        condition = [value == renamed[f"{name}{c}"] for c, value in on.items()]
-        return df.join(renamed, condition, "left").drop(*[f"{name}{c}" for c in on])
+        keys = [f"{name}{c}" for c in on]
+        renamed = best.select(*[F.col(c).alias(k) for c, k in zip(on, keys)], F.col("_hit").alias(name))
+        asked_for = df.withColumns({k: value for k, value in zip(keys, on.values())})
+        return join_per_key(asked_for, renamed, keys, "left").drop(*keys)
 
     # best of the whole table: one row per distinct version first, then a single row
     per_key = found.groupBy("_key").agg(F.min(F.struct("_path", "_version", "_edition")).alias("_hit"))

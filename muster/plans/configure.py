@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.operators.reconcile import assign_ids, build_desired, find_conflicts, first_conflict
+from muster.operators.skew import hot_groups, join_per_key
 
 
 def configuration_plan(
@@ -31,7 +32,8 @@ def configuration_plan(
     clashes = first_conflict(
         find_conflicts(declared, cluster_id, pos, F.col(given_id), server, host, hosts), cluster_id, pos
     )
-    sound = declared.join(clashes, cluster_id, "left_anti")
+    hot = hot if hot is not None else hot_groups(declared, [cluster_id])
+    sound = join_per_key(declared, clashes, [cluster_id], "left_anti", hot)
     desired = build_desired(sound, current, cluster_id, pos, host, [given_id, *keep])
     return assign_ids(
         desired, current, cluster_id, pos, given_id, F.col("host"), current_address, split, hosts, hot=hot

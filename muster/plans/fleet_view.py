@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.operators.ordered import HOT_ROWS, hot_groups, with_position
+from muster.operators.ordered import with_position
+from muster.operators.skew import HOT_ROWS, hot_groups
 
 # total order of the members of a cluster
 ORDER = ["line", "part", "server", "price", "quantity", "optime"]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.lookup import top_rows
-from muster.operators.ordered import HOT_ROWS, count_pieces, nearest
+from muster.operators.ordered import count_pieces, nearest
+from muster.operators.skew import HOT_ROWS
 
 # fixed values: "   LEVEL | 2024-01-01 00:00:00,123 | message", and how many lines a tail shows
 LINE = r"^ *([A-Z]+) \| (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \| (.*)$"

@@ -87,7 +87,6 @@ def test_ordered_concat(table, rows, part_rows):
     assert (max(r.parts for r in parts) > 1) == (part_rows == 10)
 
 
-def test_hot_list_is_bounded(table):
-    assert ordered.hot_groups(table, ["g"], hot_rows=1, most=3).count() == 3
+def test_no_pairs_are_compared(table):
     plan = ordered.with_position(table, ["g"], ["o"], split())._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
