@@ -10,27 +10,34 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 HOT_ROWS = 1_000_000
 HOT_GROUPS = 50_000
+NULL_SHARES = 1024
 
 
 def hot_groups(
     df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS, most: int = HOT_GROUPS
 ) -> DataFrame:
-    """The groups with at least ``hot_rows`` rows, largest first, no more than ``most`` of them."""
+    """The groups with at least ``hot_rows`` rows and their counts ``_rows``, no more than the ``most`` largest."""
     return (
         df.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") >= hot_rows)
         .orderBy(F.col("_rows").desc(), *[F.col(c).asc() for c in group])
         .limit(most)
-        .drop("_rows")
     )
 
 
+def _spread(df: DataFrame, parts: Column | int) -> Column:
+    """A share number that is the same whenever a task is run again."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, ArrayType, StructType))]
+    return F.pmod(F.xxhash64(*plain), F.lit(parts) if isinstance(parts, int) else parts)
+
+
 def join_per_key(
     left: DataFrame,
     right: DataFrame,
@@ -41,20 +48,32 @@ def join_per_key(
 ) -> DataFrame:
     """Join a table of any skew with one that has a row (or a few) per key; inner, left, left_semi or left_anti.
 
-    A skewed join can be split at run time only while both sides come straight from a shuffle.  A side that
-    was just aggregated by the key does not, and its hot key would be one task.  So rows of hot keys are
-    joined apart, with the few right rows of those keys broadcast: they stay where they were read.  Rows
-    with a null key, which match nothing, stay there too.  Where no key is hot that branch is empty and is
-    dropped at run time.  ``hot`` may be a list made for another table that has at least these rows.
+    A side that was aggregated by the key and is joined as it lies cannot be split at run time, and its hot
+    key would be one task.  So the rows of a hot key are dealt out to as many shares as they hold
+    ``hot_rows``, and the right rows of that key are repeated for each share: at most one row more per
+    ``hot_rows`` left rows in all.  Rows with a null key match nothing and are dealt out too.  The share is
+    part of the join key, which puts a shuffle under either side, so what is still uneven (many copies of
+    one row) is split by the adaptive skew rule.  ``hot`` may be a list made for another table that has at
+    least these rows.
     """
     keys = list(keys)
-    listed = (hot if hot is not None else hot_groups(left, keys, hot_rows)).select(*keys)
-    few = F.broadcast(right.join(F.broadcast(listed), keys, "left_semi"))
-    if how in ("inner", "left_semi"):
-        bulk = left.join(F.broadcast(listed), keys, "left_anti")
-        crowded = left.join(F.broadcast(listed), keys, "left_semi")
-    else:
-        marked = left.join(F.broadcast(listed.withColumn("_hot", F.lit(True))), keys, "left")
-        apart = F.col("_hot").isNotNull() | reduce(or_, [F.col(k).isNull() for k in keys])
-        bulk, crowded = marked.where(~apart).drop("_hot"), marked.where(apart).drop("_hot")
-    return bulk.join(right, keys, how).unionByName(crowded.join(few, keys, how))
+    listed = hot if hot is not None else hot_groups(left, keys, hot_rows)
+    shares = F.broadcast(listed.select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("bigint").alias("_shares")))
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    dealt = (
+        left.join(shares, keys, "left")
+        .withColumn(
+            "_share",
+            F.when(no_key, _spread(left, NULL_SHARES))
+            .when(F.col("_shares").isNotNull(), _spread(left, F.col("_shares")))
+            .otherwise(F.lit(0).cast("bigint")),
+        )
+        .drop("_shares")
+    )
+    last = F.coalesce(F.col("_shares"), F.lit(1).cast("bigint")) - 1
+    repeated = (
+        right.join(shares, keys, "left")
+        .withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .drop("_shares")
+    )
+    return dealt.join(repeated, [*keys, "_share"], how).drop("_share")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from muster.operators.reconcile import assign_ids, build_desired, find_conflicts, first_conflict
 from muster.operators.skew import hot_groups, join_per_key
+from muster.session import materialise
 
 
 def configuration_plan(
@@ -27,13 +28,15 @@ def configuration_plan(
 ) -> DataFrame:
     """Desired members of every cluster with their ids; clusters whose members clash are left out.
 
-    ``first_conflict`` over ``find_conflicts`` says why a cluster is missing.
+    ``first_conflict`` over ``find_conflicts`` says why a cluster is missing.  The declared members and the
+    sound ones are each read by several steps, so they are written once.
     """
+    declared = materialise(declared, "declared")
     clashes = first_conflict(
         find_conflicts(declared, cluster_id, pos, F.col(given_id), server, host, hosts), cluster_id, pos
     )
     hot = hot if hot is not None else hot_groups(declared, [cluster_id])
-    sound = join_per_key(declared, clashes, [cluster_id], "left_anti", hot)
+    sound = materialise(join_per_key(declared, clashes, [cluster_id], "left_anti", hot), "sound")
     desired = build_desired(sound, current, cluster_id, pos, host, [given_id, *keep])
     return assign_ids(
         desired, current, cluster_id, pos, given_id, F.col("host"), current_address, split, hosts, hot=hot

@@ -19,7 +19,7 @@ from muster.operators.ordered import PART_ROWS, count_pieces, ordered_concat, ti
 from muster.plans import fleet_view as fleet
 from muster.plans.configure import configuration_plan
 from muster.plans.export_source import export_sources
-from muster.session import scratch_path, tune
+from muster.session import materialise, scratch_path, tune
 from muster.sources import activity as activity_source
 from muster.sources import documents, logs, snapshots
 from muster.streaming import feeds
@@ -542,23 +542,23 @@ def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def find_drift(spark, sf_dir):
-    declared = fleet.placed_members(spark, sf_dir).where(~col("config")).select(
+    declared = materialise(fleet.placed_members(spark, sf_dir).where(~col("config")).select(
         "cluster", "pos", col("line").alias("id"), F.concat(F.lit("s"), col("server"), F.lit(":1")).alias("address")
-    )
+    ), "declared")
     out = reconcile.find_drift(
-        declared, _current(spark, sf_dir), "cluster", "pos", "id", col("address"), col("host")
+        declared, materialise(_current(spark, sf_dir), "current"), "cluster", "pos", "id", col("address"), col("host")
     )
     return out.select("cluster", "pos", "kind", "current_id")
 
 
 @query
 def assign_ids(spark, sf_dir):
-    declared = fleet.placed_members(spark, sf_dir).select(
+    declared = materialise(fleet.placed_members(spark, sf_dir).select(
         "cluster", "pos", F.when(col("line") > 4, col("line")).alias("given"),
         F.concat(F.lit("s"), col("server"), F.lit(":1")).alias("address"),
-    )
+    ), "declared")
     out = reconcile.assign_ids(
-        declared, _current(spark, sf_dir), "cluster", "pos", "given", col("address"), col("host"),
+        declared, materialise(_current(spark, sf_dir), "current"), "cluster", "pos", "given", col("address"), col("host"),
         [count_pieces(col("pos"))], hot=fleet.hot_clusters(spark, sf_dir),
     )
     return out.select("cluster", "pos", "member_id")
@@ -602,7 +602,8 @@ def configuration_dry_run(spark, sf_dir):
         F.concat(F.lit("s"), col("server"), F.lit(":1")).alias("address"), "passive",
     )
     return configuration_plan(
-        declared, _current(spark, sf_dir), "cluster", "pos", "id", col("address"), col("server"), col("host"),
+        declared, materialise(_current(spark, sf_dir), "current"), "cluster", "pos", "id", col("address"), col("server"),
+        col("host"),
         [count_pieces(col("pos"))], keep=["passive"], hot=fleet.hot_clusters(spark, sf_dir),
     )
 
