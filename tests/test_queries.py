@@ -8,6 +8,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
+from muster.plans.oracle import ORACLE  # noqa: E402
+from muster.plans.queries import QUERIES  # noqa: E402
 from tests.check_oracle import compare, oracle_connection  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -18,13 +20,14 @@ def con():
     return oracle_connection(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, SF_DIR, name) is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
