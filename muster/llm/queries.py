@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, licenses, shards, simhash, topk
+from muster.llm import bpe, licenses, pii, shards, simhash, topk
 from muster.llm.common import ready, table
 from muster.session import tune
 
@@ -63,6 +63,19 @@ FROM s QUALIFY rank <= 5
 """
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in pii.BASE], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(table(spark, sf_dir, "documents"))
