@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, decontaminate, licenses, pii, shards, simhash, topk, toxicity
+from muster.llm import bpe, decontaminate, licenses, pii, quality, shards, simhash, topk, toxicity
 from muster.llm.common import ready, table
 from muster.session import tune
 
@@ -88,6 +88,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def held_out():
+        return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return quality.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(table(spark, sf_dir, "documents"))
