@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, decontaminate, licenses, pii, quality, shards, simhash, topk, toxicity
+from muster.llm import bpe, decontaminate, licenses, lm, pii, quality, shards, simhash, topk, toxicity
 from muster.llm.common import ready, table
 from muster.session import tune
 
@@ -53,6 +53,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("rejected", "toxic")
 
 
+@query
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 @query
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
