@@ -13,7 +13,7 @@ stays exact.  Only the windows that pass are shuffled, never the documents.
 
 Null and empty texts have no windows.  Items of fewer than ``SPAN`` words never match.  Overlaps are followed up to
 ``AROUND`` words beyond the outermost hits.  Items with equal texts are each reported.  Rows that share an id are one
-document; rows without an id are reported under the null id.
+document; documents and items without an id are reported under the null id.
 """
 
 from __future__ import annotations
@@ -192,9 +192,11 @@ def overlaps(
         .select("region", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
     )
     known = items.select(
-        F.col(item_id).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("item")
+        F.col(item_id).cast("bigint").alias("known_id"), F.coalesce(F.col(item_text), F.lit("")).alias("item")
+    )
+    pairs = diagonals.join(near.select("region", "doc_id", "start", "words"), "region").join(
+        known, F.col("item_id").eqNullSafe(F.col("known_id"))
     )
-    pairs = diagonals.join(near.select("region", "doc_id", "start", "words"), "region").join(known, "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "matched", "overlap", "doc_word", "item_word"]

@@ -222,10 +222,11 @@ def sampled_masks() -> list[list[int]]:
 def similar_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``doc_id, h1, h2, node, root`` of every row: its text's hash and node, and the smallest node of its group.
+    """``doc_id, h1, h2, root, first``: of every row its text's hash, its group, and whether it is the group's first.
 
-    A text's node is the smallest id of the rows that hold it (the text's hash if none has an id).  Texts are linked if
-    the Jaccard similarity of their sets of ``shingle``-word shingles is at least ``similarity``.
+    Texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least ``similarity``;
+    texts without words are alike.  The first of a group is the text with the smallest id, and of its rows the one with
+    that id; a text of which no row has an id comes after all others.
     """
     rows = df.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
@@ -249,7 +250,7 @@ def similar_groups(
     words = ["w0", "w1", "w2", "w3"]
     nodes = materialise(
         marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *[F.first(w).alias(w) for w in words])
-        .select("h1", "h2", F.coalesce("least", "h1").alias("node"), *words), "nodes",
+        .select("h1", "h2", F.col("h1").alias("node"), "least", *words), "nodes",
     )
     keys = [
         F.xxhash64(F.lit(at), *[F.col(w).bitwiseAND(F.lit(m).cast("bigint")) for w, m in zip(words, masks, strict=True)])
@@ -292,8 +293,15 @@ def similar_groups(
     common = F.size(F.array_intersect("sa", "sb"))
     linked = both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     roots = components(linked, "a", "b")
-    placed = nodes.join(roots, "node", "left").select("h1", "h2", "node", F.coalesce("root", "node").alias("root"))
-    return marked.select("doc_id", "h1", "h2").join(materialise(placed, "roots"), ["h1", "h2"])
+    placed = nodes.join(roots, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("least").isNull().alias("unnamed"), "least", "h1", "h2")
+    firsts = placed.groupBy("root").agg(F.min(order).alias("best"))
+    chosen = placed.join(firsts, "root").select(
+        "h1", "h2", "least", "root", ((F.col("h1") == F.col("best.h1")) & (F.col("h2") == F.col("best.h2"))).alias("leads")
+    )
+    return marked.select("doc_id", "h1", "h2").join(materialise(chosen, "roots"), ["h1", "h2"]).select(
+        "doc_id", "h1", "h2", "root", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("least"))).alias("first")
+    )
 
 
 def drop_near_duplicates(
@@ -301,13 +309,9 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``df`` with one row of each group of similar texts: the one with the smallest id, repeated rows once."""
     rows = materialise(similar_groups(df, id_col, text_col, shingle, similarity), "groups")
-    stays = (F.col("node") == F.col("root")) & (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("node")))
-    keys = rows.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays"))
-    keys = materialise(keys, "decisions")
-    # a row without an id stays only where no copy of its text has one: then the node is the text's own hash
-    unnamed = keys.where("doc_id is null and stays").join(
-        keys.where("doc_id is not null").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi"
-    ).select("h1", "h2")
+    keys = materialise(
+        rows.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("stays")), "decisions"
+    )
     key = ["_d_id", "_d_1", "_d_2"]
     named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
                       F.col(id_col).cast("bigint").alias("_d_id"),
@@ -318,10 +322,7 @@ def drop_near_duplicates(
         same = F.col("_d_id").eqNullSafe(F.col("_o0")) & (F.col("_d_1") == F.col("_o1")) & (F.col("_d_2") == F.col("_o2"))
         return left.join(other, same, how)
 
-    gone = keys.where(~F.col("stays")).select("doc_id", "h1", "h2").unionByName(
-        unnamed.select(F.lit(None).cast("bigint").alias("doc_id"), "h1", "h2")
-    )
-    kept = on(gone, "left_anti", named)
+    kept = on(keys.where(~F.col("stays")), "left_anti", named)
     repeated = keys.where("stays and n > 1")
     if not repeated.isEmpty():
         once = on(repeated, "left_semi", kept).dropDuplicates(key)
