@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: what is searched for, and what takes its place
-URI_CREDENTIALS = (r"(mongodb://)[^\s/@:]+:[^\s/@]*@", r"$1*****:*****@")
-URI_PASSWORD = (r"(mongodb://[^\s/@:]+:)[^\s/@]*@", r"$1****@")
+URI_CREDENTIALS = (r"(mongodb://)[^\s/@:]+(?::[^\s/@]*)?@", r"$1*****:*****@")
+URI_PASSWORD = (r"(mongodb://[^\s/@:]+)(?::[^\s/@]*)?@", r"$1:****@")
 LOGIN_ARGUMENT = (r"((?:^|\s)-[up]\s+)(?!-)\S+", r"$1****")
 PASSWORD_OPTION = (r"(--(?:sslPEMKeyPassword|sslClusterPassword|servicePassword)\s+)\S+", r"$1****")
 

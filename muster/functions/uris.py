@@ -51,6 +51,16 @@ def is_fleet_uri(uri: Column) -> Column:
     return F.coalesce((parsed["scheme"] == SCHEME) & hosts_set, F.lit(False))
 
 
+def member_uris(parsed: Column) -> Column:
+    """One URI per node: the user kept, the password hidden, the slash always there."""
+    login = F.when(parsed["username"].isNotNull(), F.concat(parsed["username"], F.lit(":****@"))).otherwise("")
+    tail = F.concat(F.lit("/"), F.coalesce(parsed["database"], F.lit("")))
+    return F.transform(
+        parsed["nodes"],
+        lambda n: F.concat(parsed["scheme"], F.lit("://"), login, F.concat_ws(":", n["host"], n["port"]), tail),
+    )
+
+
 def masked_uri(parsed: Column) -> Column:
     """The URI with user and password hidden, every port written out."""
     hosts = F.array_join(F.transform(parsed["nodes"], lambda n: F.concat_ws(":", n["host"], n["port"])), ",")

@@ -207,7 +207,7 @@ def status_documents(
 ) -> DataFrame:
     """JSON status per cluster: the leader block and the other members in order.
 
-    ``members`` lists the other members as JSON objects; a very large cluster comes in several parts.
+    Every ``part_rows`` members are a part; the parts of a cluster joined by a comma are the whole document.
     """
     fields = [c for c in report.columns if c not in group and c not in order]
     listed = ordered_concat(
@@ -216,11 +216,14 @@ def status_documents(
     block = leaders.select(
         *group, F.to_json(F.struct(*[c for c in leaders.columns if c not in group])).alias("primary")
     )
+    head = F.concat(F.lit('{"primary":'), F.col("primary"), F.lit(',"otherMembers":['))
     return listed.join(block, list(group)).select(
         *group,
         "part",
         "parts",
         F.concat(
-            F.lit('{"primary":'), F.col("primary"), F.lit(',"otherMembers":['), F.col("members"), F.lit("]}")
+            F.when(F.col("part") == 0, head).otherwise(""),
+            F.col("members"),
+            F.when(F.col("part") == F.col("parts") - 1, "]}").otherwise(""),
         ).alias("status"),
     )

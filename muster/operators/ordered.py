@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from muster.operators.skew import HOT_ROWS, hot_groups
 
-PART_ROWS = 100_000  # rows in one text cell
+PART_ROWS = 100_000  # values in one text
 
 
 def time_pieces(ts_micros: Column, seconds: int = 3600) -> Column:
@@ -182,35 +182,18 @@ def ordered_concat(
     part_rows: int = PART_ROWS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """The group's values in order, joined to one text.
+    """The group's values in order, joined to texts of ``part_rows`` values each.
 
-    A group of ``part_rows`` rows or more comes as several rows: ``part`` counts from 0 to ``parts`` - 1,
-    and the parts joined in that order by the separator are the whole text.
+    Every group is cut in the same way, at the multiples of ``part_rows``: ``part`` counts from 0 to ``parts`` - 1, and
+    the parts joined in that order by the separator are the whole text.  A group of ``part_rows`` rows or fewer is one
+    part.  ``hot`` only saves counting the groups again; it has no influence on the result.
     """
     group, order = list(group), list(order)
     kept = df.select(*dict.fromkeys(group + order), value.cast("string").alias("_text"))
-    marked, pieces = cut_hot_groups(kept, group, split, part_rows, hot)
-    keys = group + pieces
-    by_order = ", ".join(f"`{c}`" for c in order)
-    texts = marked.groupBy(*keys).agg(
-        F.expr(f"listagg(_text, '{separator}') within group (order by {by_order})").alias(name)
-    )
-    whole = Window.partitionBy(*group)
-    numbers = (
-        marked.where(_is_cut(pieces))
-        .select(*keys)
-        .distinct()
-        .select(
-            *keys,
-            F.struct(
-                (F.row_number().over(whole.orderBy(*pieces)) - 1).cast("bigint").alias("part"),
-                F.count(F.lit(1)).over(whole).alias("parts"),
-            ).alias("_number"),
-        )
+    placed = with_position(kept, group, order, split, "_pos", hot=hot)
+    texts = placed.groupBy(*group, F.floor(F.col("_pos") / part_rows).cast("bigint").alias("part")).agg(
+        F.expr(f"listagg(_text, '{separator}') within group (order by _pos)").alias(name)
     )
-    return _attach(texts, numbers, keys, "_number").select(
-        *group,
-        F.coalesce(F.col("_number.part"), F.lit(0)).cast("bigint").alias("part"),
-        F.coalesce(F.col("_number.parts"), F.lit(1)).cast("bigint").alias("parts"),
-        name,
+    return texts.select(
+        *group, "part", F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("parts"), name
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.text import ascii_only, text_or_empty
 from muster.functions.uris import SCHEME
-from muster.operators.ordered import ordered_concat
+from muster.operators.ordered import PART_ROWS, ordered_concat
 
 
 def listing(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
@@ -27,17 +27,21 @@ def member_listing(
     split: Sequence[Column],
     label: Column,
     hot: DataFrame | None = None,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Clusters with their members as ``[ a, b ]``; a very large cluster comes in several parts."""
-    texts = ordered_concat(members, [member_cluster], order, split, label, "members", separator=", ", hot=hot)
+    """Clusters with their members as ``[ a, b ]``.
+
+    Every ``part_rows`` members are a part; the parts of a cluster joined by ``", "`` are the whole text.
+    """
+    texts = ordered_concat(
+        members, [member_cluster], order, split, label, "members", separator=", ", part_rows=part_rows, hot=hot
+    )
     named = texts.withColumnRenamed(member_cluster, "_cluster")
     joined = clusters.join(named, clusters[cluster_id] == named["_cluster"], "left").drop("_cluster")
+    part, parts = F.coalesce("part", F.lit(0).cast("bigint")), F.coalesce("parts", F.lit(1).cast("bigint"))
+    begin, end = F.when(part == 0, "[ ").otherwise(""), F.when(part == parts - 1, " ]").otherwise("")
     return joined.withColumns(
-        {
-            "part": F.coalesce("part", F.lit(0).cast("bigint")),
-            "parts": F.coalesce("parts", F.lit(1).cast("bigint")),
-            "members": F.concat(F.lit("[ "), F.coalesce("members", F.lit("")), F.lit(" ]")),
-        }
+        {"part": part, "parts": parts, "members": F.concat(begin, F.coalesce("members", F.lit("")), end)}
     )
 
 
@@ -72,8 +76,8 @@ def cluster_uri(
 ) -> DataFrame:
     """Connection template per cluster: the non-arbiter addresses in member order.
 
-    ``auth`` has ``(cluster_id, auth)``.  A very large cluster comes in parts that join with a comma: the
-    first carries the beginning, the last the end.
+    ``auth`` has ``(cluster_id, auth)``.  The parts of ``ordered_concat`` join with a comma: the first carries the
+    beginning, the last the end.
     """
     hosts = ordered_concat(members.where(connects), [cluster_id], order, split, address, "hosts", hot=hot)
     if auth is not None:

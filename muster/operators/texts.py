@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.address import is_member_address
 from muster.functions.text import MASKING_RULES, mask
-from muster.functions.uris import DEFAULT_DATABASE, is_fleet_uri, masked_uri, parse_uri
+from muster.functions.uris import DEFAULT_DATABASE, is_fleet_uri, masked_uri, member_uris, parse_uri
 
 
 def redact(
@@ -56,5 +56,13 @@ def uri_nodes(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).select(*keys, F.col("pos").cast("bigint").alias("pos"), F.concat_ws(":", "_n.host", "_n.port").alias("host"))
 
 
+def uris_per_member(df: DataFrame, uri: str, keys: Sequence[str], default_port: int | None = 27017) -> DataFrame:
+    """A masked URI for each node of each well-formed URI, in URI order."""
+    parsed = df.select(*keys, parse_uri(F.col(uri), default_port).alias("_u")).where(F.col("_u").isNotNull())
+    return parsed.select(*keys, F.posexplode(member_uris(F.col("_u"))).alias("pos", "member_uri")).withColumn(
+        "pos", F.col("pos").cast("bigint")
+    )
+
+
 def looks_like_address(value: Column) -> Column:
     return is_fleet_uri(value) | is_member_address(value)

@@ -529,11 +529,11 @@ ORACLE["redact"] = r"""
 WITH r AS (
   SELECT doc_id, text,
     regexp_replace(regexp_replace(regexp_replace(text, '(token = ")[0-9a-f]+(")', '\1****\2', 'g'),
-      '(mongodb://)[^\s/@:]+:[^\s/@]*@', '\1*****:*****@', 'g'), '((?:^|\s)-[up]\s+)([^\s-]\S*)', '\1****', 'g') AS redacted
+      '(mongodb://)[^\s/@:]+(?::[^\s/@]*)?@', '\1*****:*****@', 'g'), '((?:^|\s)-[up]\s+)([^\s-]\S*)', '\1****', 'g') AS redacted
   FROM documents)
 SELECT doc_id, md5(redacted) AS digest,
   CAST(len(regexp_extract_all(text, 'token = "[0-9a-f]+"')) AS BIGINT) AS hits_token,
-  CAST(len(regexp_extract_all(text, 'mongodb://[^\s/@:]+:[^\s/@]*@')) AS BIGINT) AS hits_uri,
+  CAST(len(regexp_extract_all(text, 'mongodb://[^\s/@:]+(?::[^\s/@]*)?@')) AS BIGINT) AS hits_uri,
   CAST(len(regexp_extract_all(text, '(?:^|\s)-[up]\s+[^\s-]\S*')) AS BIGINT) AS hits_login
 FROM r"""
 
@@ -571,6 +571,15 @@ SELECT c_custkey, CAST(0 AS BIGINT) AS pos, 'h' || c_custkey || ':' || (c_custke
 UNION ALL SELECT c_custkey, 1, 'h' || (c_custkey + 1) || ':27017' FROM uris WHERE several
 UNION ALL SELECT c_custkey, 2, 'h' || (c_custkey + 2) || ':5' FROM uris WHERE several"""
 
+ORACLE["member_uris"] = with_(_URIS) + """
+, n AS (
+  SELECT *, 0 AS pos, 'h' || c_custkey || ':' || (c_custkey + 1000) AS host FROM uris
+  UNION ALL SELECT *, 1, 'h' || (c_custkey + 1) || ':27017' FROM uris WHERE several
+  UNION ALL SELECT *, 2, 'h' || (c_custkey + 2) || ':5' FROM uris WHERE several)
+SELECT c_custkey, CAST(pos AS BIGINT) AS pos,
+  'mongodb://' || CASE WHEN login THEN 'u' || c_custkey || ':****@' ELSE '' END || host || '/' || coalesce(db, '') AS member_uri
+FROM n"""
+
 ORACLE["normalise_address"] = """
 WITH s AS (
   SELECT s_suppkey, CASE WHEN s_acctbal > 6000 THEN s_name || ':' || s_nationkey WHEN s_acctbal > 0 THEN s_name END AS a,

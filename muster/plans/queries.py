@@ -15,7 +15,7 @@ from muster.operators import activity as act
 from muster.operators import addresses as addr
 from muster.operators import health, layers, lookup, options, reconcile, refs, report, texts
 from muster.operators import versions as ver
-from muster.operators.ordered import PART_ROWS, count_pieces, ordered_concat, time_pieces
+from muster.operators.ordered import count_pieces, ordered_concat, time_pieces
 from muster.plans import fleet_view as fleet
 from muster.plans.configure import configuration_plan
 from muster.plans.export_source import export_sources
@@ -45,11 +45,6 @@ def text(value: Column) -> Column:
     return value.cast("string")
 
 
-def _large_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters whose members do not fit one text; a cluster has no more rows in a filtered table."""
-    return fleet.hot_clusters(spark, sf_dir, PART_ROWS)
-
-
 # ---- sources and sinks -------------------------------------------------------------------------
 
 def _document_files(spark: SparkSession, sf_dir: str) -> str:
@@ -419,7 +414,7 @@ def cluster_uri(spark, sf_dir):
     auth = lookup.any_member(fleet.members(spark, sf_dir), ["cluster"], col("config"), "auth")
     return report.cluster_uri(
         resolved, "cluster", fleet.ORDER, fleet.split(), col("server_address"), ~col("arbiter"), auth=auth,
-        hot=_large_texts(spark, sf_dir),
+        hot=fleet.hot_clusters(spark, sf_dir),
     )
 
 
@@ -578,7 +573,7 @@ def build_desired(spark, sf_dir):
     item = F.concat(F.col("host"), F.lit("/"), F.coalesce(layers.settings_text(col("tags")), F.lit("")))
     return ordered_concat(
         desired, ["cluster"], ["turn", "pos"], [col("turn"), count_pieces(col("pos"))], item, "members", " ",
-        hot=_large_texts(spark, sf_dir),
+        hot=fleet.hot_clusters(spark, sf_dir),
     )
 
 
@@ -767,7 +762,7 @@ def cluster_documents(spark, sf_dir):
     report_rows = others.withColumn("address", text(col("server"))).select("cluster", *fleet.ORDER, "address", "state")
     block = leaders.select("cluster", text(col("leader")).alias("address"), F.lit("PRIMARY").alias("stateStr"))
     return health.status_documents(
-        report_rows, block, ["cluster"], fleet.ORDER, fleet.split(), hot=_large_texts(spark, sf_dir)
+        report_rows, block, ["cluster"], fleet.ORDER, fleet.split(), hot=fleet.hot_clusters(spark, sf_dir)
     )
 
 
@@ -800,7 +795,7 @@ def cluster_listing(spark, sf_dir):
     orders = fleet.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return report.member_listing(
         orders, "o_orderkey", members, "cluster", fleet.ORDER, fleet.split(), col("label"),
-        hot=_large_texts(spark, sf_dir),
+        hot=fleet.hot_clusters(spark, sf_dir),
     )
 
 
@@ -822,7 +817,7 @@ def redact_commands(spark, sf_dir):
     name = col("c_name")
     command = F.concat(
         F.lit("export -u "), name, F.lit(" -p "), F.md5(name), F.lit(" --sslPEMKeyPassword k"), col("c_custkey"),
-        F.lit(" mongodb://"), name, F.lit(":pw@h:1/db"),
+        F.lit(" mongodb://"), name, F.when(col("c_acctbal") > 0, ":pw").otherwise(""), F.lit("@h:1/db"),
     )
     docs = fleet.table(spark, sf_dir, "customer").select("c_custkey", command.alias("command"))
     masked = texts.redact(docs, "command", name="masked")
@@ -867,6 +862,11 @@ def uri_nodes(spark, sf_dir):
     return texts.uri_nodes(texts.parse_uris(_fleet_uris(spark, sf_dir), "uri"), ["c_custkey"])
 
 
+@query
+def member_uris(spark, sf_dir):
+    return texts.uris_per_member(_fleet_uris(spark, sf_dir), "uri", ["c_custkey"])
+
+
 @query
 def normalise_address(spark, sf_dir):
     servers = fleet.table(spark, sf_dir, "supplier").select(

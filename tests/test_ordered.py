@@ -1,11 +1,14 @@
 """Hot groups are cut; the result must equal the plain window over the whole group."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from muster.operators import ordered
+from muster.operators.health import status_documents
+from muster.operators.report import member_listing
 
 
 @pytest.fixture(scope="module")
@@ -87,6 +90,27 @@ def test_ordered_concat(table, rows, part_rows):
     assert (max(r.parts for r in parts) > 1) == (part_rows == 10)
 
 
+def test_parts_join_to_the_whole(spark, table, rows):
+    """A listing and a status document in parts of 7 members, against the same in one part."""
+    groups_table = table.select("g").distinct()
+    whole, cut = (
+        member_listing(groups_table, "g", table, "g", ["o"], split(), F.col("v"), part_rows=n) for n in (10_000, 7)
+    )
+    assert _joined(cut, "members", ", ") == _joined(whole, "members", ", ")
+    leaders = groups_table.withColumn("leader", F.lit("x"))
+    whole, cut = (status_documents(table, leaders, ["g"], ["o"], split(), part_rows=n) for n in (10_000, 7))
+    texts = _joined(cut, "status", ",")
+    assert texts == _joined(whole, "status", ",")
+    assert all(len(json.loads(t)["otherMembers"]) == len(groups(rows)[g]) for g, t in texts.items())
+
+
+def _joined(df, name, separator):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r.part):
+        out.setdefault(r.g, []).append(r[name])
+    return {g: separator.join(parts) for g, parts in out.items()}
+
+
 def test_no_pairs_are_compared(table):
     plan = ordered.with_position(table, ["g"], ["o"], split())._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
