@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.functions.durations import humanise_seconds, micros, seconds_between
@@ -72,9 +72,16 @@ def lag_to_leader(
     name: str = "lag",
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Lag of the members that meet ``where``; clusters without a leader drop out."""
-    return join_per_key(members.where(where), leaders, group, hot=hot).withColumn(
-        name, lag_seconds(F.col(optime), F.col(leader_optime))
+    """Lag of the members that meet ``where``.
+
+    Members of a cluster without a leader stay, with ``missing_leader`` set and neither leader nor lag.
+    """
+    led = leaders.withColumn("_led", F.lit(True))
+    return (
+        join_per_key(members.where(where), led, group, "left", hot=hot)
+        .withColumn(name, lag_seconds(F.col(optime), F.col(leader_optime)))
+        .withColumn("missing_leader", F.col("_led").isNull())
+        .drop("_led")
     )
 
 
@@ -90,16 +97,27 @@ def rank_candidates(
 ) -> DataFrame:
     """The ``k`` best secondaries per cluster: passive ones first, then the least lag, then array order.
 
-    A lag equal to ``max_lag`` still counts; 0 and None mean no limit.
+    A lag equal to ``max_lag`` still counts; 0 and None mean no limit.  Where ``lagging`` says so in
+    ``missing_leader``, there is nothing to rank: such a cluster gives one row with the flag and nothing else.
     """
-    kept = lagging.where(F.col(lag) <= max_lag) if max_lag else lagging
+    flagged = "missing_leader" in lagging.columns
+    lost = F.col("missing_leader") if flagged else F.lit(False)
+    kept = lagging.where(lost | (F.col(lag) <= max_lag)) if max_lag else lagging
     turn = F.when(F.coalesce(passive, F.lit(False)), 0).otherwise(1)
     values = list(values or [c for c in lagging.columns if c not in group])
     if k == 1:
-        return pick_first(
+        best = pick_first(
             kept.withColumn("_turn", turn), group, ["_turn", lag, *order], F.lit(True), values
         )
-    return top_rows(kept, group, [turn, F.col(lag), *[F.col(c) for c in order]], k).select(*group, *values)
+    else:
+        place = Window.partitionBy(*group).orderBy(turn, F.col(lag), *[F.col(c) for c in order])
+        ranked = kept.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k)
+        best = ranked.where(~lost | (F.col("_place") == 1)).select(*group, *values)
+    if not flagged:
+        return best
+    return best.select(
+        *group, *[c if c == "missing_leader" else F.when(~lost, F.col(c)).alias(c) for c in values]
+    )
 
 
 def retention_span(log: DataFrame, group: Sequence[str], seconds: Column, keys: DataFrame | None = None) -> DataFrame:
@@ -144,13 +162,18 @@ def member_report(
     config: DataFrame | None = None,
     cluster_id: str = "cluster_id",
     hot: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per member other than the leader: address, state, lag in three states, and its settings.
 
-    Expects ``MEMBER_STATUS`` columns; the leader of a cluster is the row that reports on itself.
+    Expects ``MEMBER_STATUS`` columns; the leader of a cluster is the row that reports on itself.  Members of a
+    cluster without one have ``missing_leader`` set and no lag.  ``keep`` names further columns of ``status``.
     """
     leaders = status.where("is_self").groupBy(cluster_id).agg(F.max("optimeDate").alias("_leader_optime"))
-    others = join_per_key(status.where(~F.coalesce(F.col("is_self"), F.lit(False))), leaders, [cluster_id], hot=hot)
+    others = join_per_key(
+        status.where(~F.coalesce(F.col("is_self"), F.lit(False))), leaders.withColumn("_led", F.lit(True)),
+        [cluster_id], "left", hot=hot,
+    )
     lag = F.when(F.col("stateStr").isin(LAG_STATES), lag_seconds(F.col("optimeDate"), F.col("_leader_optime")))
     report = others.select(
         cluster_id,
@@ -159,6 +182,8 @@ def member_report(
         F.nullif("errmsg", F.lit("")).alias("errmsg"),
         lag.alias("lag"),
         humanise_seconds(lag).alias("lag_text"),
+        F.col("_led").isNull().alias("missing_leader"),
+        *keep,
     )
     if config is None:
         return report
@@ -177,13 +202,15 @@ def cluster_status(
 ) -> DataFrame:
     """One flat row per cluster: its leader, how many others, their newest optime, how many are behind.
 
-    The members of a cluster are aggregated, never gathered, so a cluster of any size is one row.
+    The members of a cluster are aggregated, never gathered, so a cluster of any size is one row.  A cluster
+    without a leader has ``missing_leader`` set, and all its members are others.
     ``is_leader`` compares a member with the joined leader columns.
     """
     ahead = micros(F.col(leader_optime))
     own = micros(F.col(optime))
     lag = lag_seconds(F.col(optime), F.col(leader_optime))
-    joined = join_per_key(members, leaders, group, hot=hot).withColumn("_leader", F.coalesce(is_leader, F.lit(False)))
+    led = leaders.withColumn("_led", F.lit(True))
+    joined = join_per_key(members, led, group, "left", hot=hot).withColumn("_leader", F.coalesce(is_leader, F.lit(False)))
     other = ~F.col("_leader")
     carried = [c for c in leaders.columns if c not in group]
     out = joined.groupBy(*group).agg(
@@ -192,6 +219,7 @@ def cluster_status(
         F.max(F.when(other, F.col(optime))).alias("newest_other"),
         F.count_if(other & (own < ahead)).alias("behind"),
         F.max(F.when(other, lag)).alias("largest_lag"),
+        F.first("_led").isNull().alias("missing_leader"),
     )
     return out.join(spans, list(group), "left") if spans is not None else out
 
@@ -207,17 +235,18 @@ def status_documents(
 ) -> DataFrame:
     """JSON status per cluster: the leader block and the other members in order.
 
-    Every ``part_rows`` members are a part; the parts of a cluster joined by a comma are the whole document.
+    Every ``part_rows`` members are a part; the parts of a cluster joined by a comma are the whole document.  The
+    leader block of a cluster without a leader is null, and ``missing_leader`` is set.
     """
-    fields = [c for c in report.columns if c not in group and c not in order]
+    fields = [c for c in report.columns if c not in (*group, *order, "missing_leader")]
     listed = ordered_concat(
         report, group, order, split, F.to_json(F.struct(*fields)), "members", part_rows=part_rows, hot=hot
     )
     block = leaders.select(
         *group, F.to_json(F.struct(*[c for c in leaders.columns if c not in group])).alias("primary")
     )
-    head = F.concat(F.lit('{"primary":'), F.col("primary"), F.lit(',"otherMembers":['))
-    return listed.join(block, list(group)).select(
+    head = F.concat(F.lit('{"primary":'), F.coalesce("primary", F.lit("null")), F.lit(',"otherMembers":['))
+    return listed.join(block, list(group), "left").select(
         *group,
         "part",
         "parts",
@@ -226,4 +255,5 @@ def status_documents(
             F.col("members"),
             F.when(F.col("part") == F.col("parts") - 1, "]}").otherwise(""),
         ).alias("status"),
+        F.col("primary").isNull().alias("missing_leader"),
     )

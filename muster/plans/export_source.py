@@ -25,7 +25,7 @@ def export_sources(
     k: int = 1,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Leader → lag → best candidate, for all clusters at once.
+    """Leader → lag → best candidate, for all clusters at once; a cluster without a leader is flagged.
 
     Leaders and candidates are reduced before their shuffles (one row per cluster and map task); only the
     secondaries are shuffled as they are, for the join with the leaders, and not those of hot clusters.
@@ -38,5 +38,5 @@ def export_sources(
     lagging = lag_to_leader(members, leaders, group, optime, "leader_optime", is_secondary, hot=hot)
     return rank_candidates(
         lagging, group, order, F.col(passive), max_lag=max_lag, k=k,
-        values=["leader", server, passive, "lag"],
+        values=["leader", server, passive, "lag", "missing_leader"],
     )

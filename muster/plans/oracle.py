@@ -463,15 +463,18 @@ FROM events"""
 
 _LAGGING = f"""
 lagging AS (
-  SELECT m.*, leader, abs(epoch_us(optime) - epoch_us(leader_optime)) / 1e6 AS lag
-  FROM members m JOIN leaders USING (cluster) WHERE state = 'SECONDARY' AND NOT arbiter)"""
-ORACLE["lag_to_leader"] = with_(MEMBERS, LEADERS, _LAGGING) + "SELECT cluster, line, part, lag FROM lagging"
-ORACLE["rank_candidates"] = with_(MEMBERS, LEADERS, _LAGGING) + f"""
-SELECT cluster, leader, server, passive, lag FROM lagging
+  SELECT m.*, leader, abs(epoch_us(optime) - epoch_us(leader_optime)) / 1e6 AS lag, leader IS NULL AS missing_leader
+  FROM members m LEFT JOIN leaders USING (cluster) WHERE state = 'SECONDARY' AND NOT arbiter)"""
+ORACLE["lag_to_leader"] = with_(MEMBERS, LEADERS, _LAGGING) + "SELECT cluster, line, part, lag, missing_leader FROM lagging"
+_CANDIDATES = """
+SELECT cluster, leader, CASE WHEN NOT missing_leader THEN server END AS server,
+  CASE WHEN NOT missing_leader THEN passive END AS passive, lag, missing_leader FROM lagging """
+ORACLE["rank_candidates"] = with_(MEMBERS, LEADERS, _LAGGING) + _CANDIDATES + f"""
 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY NOT passive, lag, {ORDER}) = 1"""
-ORACLE["rank_candidates_within_lag"] = with_(MEMBERS, LEADERS, _LAGGING) + f"""
-SELECT cluster, leader, server, passive, lag FROM lagging WHERE lag <= 365 * 86400
-QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY NOT passive, lag, {ORDER}) <= 2"""
+ORACLE["rank_candidates_within_lag"] = with_(MEMBERS, LEADERS, _LAGGING) + _CANDIDATES + f"""
+WHERE missing_leader OR lag <= 365 * 86400
+QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY NOT passive, lag, {ORDER})
+  <= CASE WHEN missing_leader THEN 1 ELSE 2 END"""
 
 ORACLE["retention_span"] = """
 WITH s AS (
@@ -481,31 +484,57 @@ SELECT c_custkey AS user_id, seconds, seconds // 3600 AS hours,
 FROM customer LEFT JOIN s ON user_id = c_custkey"""
 
 ORACLE["cluster_status"] = with_(MEMBERS, LEADERS) + f"""
-, j AS (SELECT m.*, l.* EXCLUDE (cluster), {IS_LEADER} AS own FROM members m JOIN leaders l USING (cluster))
+, j AS (
+  SELECT m.*, l.* EXCLUDE (cluster), coalesce({IS_LEADER}, false) AS own, leader IS NULL AS lost
+  FROM members m LEFT JOIN leaders l USING (cluster))
 SELECT cluster, min(leader) AS leader, count(*) FILTER (NOT own) AS others,
   strftime(max(optime) FILTER (NOT own), '%Y-%m-%d') AS newest_other,
   count(*) FILTER (NOT own AND optime < leader_optime) AS behind,
-  max(abs(epoch_us(optime) - epoch_us(leader_optime)) / 1e6) FILTER (NOT own) AS largest_lag
+  max(abs(epoch_us(optime) - epoch_us(leader_optime)) / 1e6) FILTER (NOT own) AS largest_lag, bool_or(lost) AS missing_leader
 FROM j GROUP BY cluster"""
 
-ORACLE["cluster_documents"] = with_(MEMBERS, LEADERS) + f"""
-SELECT cluster, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts,
-  '{{"primary":{{"address":"' || min(leader) || '","stateStr":"PRIMARY"}},"otherMembers":['
-  || string_agg('{{"address":"' || server || '","state":"' || state || '"}}', ',' ORDER BY {ORDER}) || ']}}' AS status
-FROM members m JOIN leaders l USING (cluster) WHERE NOT {IS_LEADER} GROUP BY cluster"""
-
-ORACLE["member_report"] = with_(MEMBERS) + """
-, top AS (SELECT cluster, max(optime) AS top_optime FROM members WHERE line = 1 GROUP BY cluster),
+_REPORT = """
+top AS (SELECT cluster, max(optime) AS top_optime FROM members WHERE line = 1 GROUP BY cluster),
 r AS (
-  SELECT cluster AS cluster_id, CAST(part AS VARCHAR) AS address,
+  SELECT members.*, cluster AS cluster_id, CAST(part AS VARCHAR) AS address, top_optime IS NULL AS missing_leader,
     CASE WHEN arbiter THEN 'ARBITER' ELSE state END AS "stateStr", CASE WHEN config THEN 'x' END AS errmsg,
-    CASE WHEN NOT arbiter AND state = 'SECONDARY' THEN abs(epoch_us(optime) - epoch_us(top_optime)) / 1e6 END AS lag
-  FROM members JOIN top USING (cluster) WHERE line <> 1),
-w AS (SELECT *, CAST(floor(lag) AS BIGINT) AS s FROM r)
-SELECT cluster_id, address, "stateStr", errmsg, lag, CASE WHEN s IS NULL THEN '' ELSE concat_ws(' ',
-  CASE WHEN s >= 86400 THEN (s // 86400) || ' day(s)' END, CASE WHEN s >= 3600 THEN (s // 3600 % 24) || ' hour(s)' END,
-  CASE WHEN s >= 60 THEN (s // 60 % 60) || ' minute(s)' END, (s % 60) || ' second(s)') END AS lag_text
-FROM w"""
+    CASE WHEN NOT arbiter AND state = 'SECONDARY' THEN abs(epoch_us(optime) - epoch_us(top_optime)) / 1e6 END AS lag,
+    CASE WHEN part % 11 = 0 THEN 60 END AS "slaveDelay", nullif(part % 3, 1) AS priority,
+    CASE WHEN part % 7 = 0 THEN 0 END AS votes, CASE WHEN part % 5 = 0 THEN true END AS hidden,
+    CASE WHEN part % 4 = 0 THEN '{"dc":"east"}' END AS tags
+  FROM members LEFT JOIN top USING (cluster) WHERE line <> 1),
+w AS (SELECT *, CAST(floor(lag) AS BIGINT) AS s FROM r),
+t AS (
+  SELECT *, CASE WHEN s IS NULL THEN '' ELSE concat_ws(' ',
+    CASE WHEN s >= 86400 THEN (s // 86400) || ' day(s)' END, CASE WHEN s >= 3600 THEN (s // 3600 % 24) || ' hour(s)' END,
+    CASE WHEN s >= 60 THEN (s // 60 % 60) || ' minute(s)' END, (s % 60) || ' second(s)') END AS lag_text FROM w)"""
+
+ORACLE["cluster_documents"] = with_(MEMBERS, _REPORT) + f"""
+, docs AS (
+  SELECT cluster_id, string_agg('{{"address":"' || address || '","stateStr":"' || "stateStr" || '"'
+    || CASE WHEN errmsg IS NULL THEN '' ELSE ',"errmsg":"x"' END
+    || CASE WHEN s IS NULL THEN '' ELSE ',"replLag":{{"value":' || s || ',"description":"' || lag_text || '"}}' END
+    || coalesce(',"slaveDelay":' || "slaveDelay", '') || coalesce(',"priority":' || priority, '')
+    || coalesce(',"votes":' || votes, '') || CASE WHEN hidden THEN ',"hidden":true' ELSE '' END
+    || coalesce(',"tags":' || tags, '') || '}}', ',' ORDER BY {ORDER}) AS others
+  FROM t GROUP BY cluster_id),
+spans AS (
+  SELECT user_id, max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000) AS seconds FROM events GROUP BY user_id),
+lead AS (
+  SELECT * FROM members WHERE line = 1 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY {ORDER}) = 1),
+block AS (
+  SELECT cluster, '{{"address":"' || part || '","stateStr":"PRIMARY","serverStatusSummary":{{"host":"' || s_name
+    || '","connection":' || CASE WHEN s_acctbal >= 0 THEN 'true' ELSE 'false' END || '}},"oplogLength":"'
+    || CASE WHEN seconds IS NULL THEN '' ELSE seconds || ' secs (' || (seconds // 3600) || ' hours)' END || '"}}' AS leads
+  FROM lead LEFT JOIN supplier ON s_suppkey = server LEFT JOIN spans ON user_id = server)
+SELECT cluster_id, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts,
+  '{{"primary":' || coalesce(leads, 'null') || ',"otherMembers":[' || others || ']}}' AS status, leads IS NULL AS missing_leader
+FROM docs LEFT JOIN block ON cluster = cluster_id"""
+
+ORACLE["member_report"] = with_(MEMBERS, _REPORT) + """
+SELECT cluster_id, address, "stateStr", errmsg, lag, lag_text, missing_leader, CAST("slaveDelay" AS BIGINT) AS "slaveDelay",
+  CAST(priority AS INTEGER) AS priority, votes, hidden, tags
+FROM t"""
 
 # ---- listings and texts
 

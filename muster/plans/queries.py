@@ -707,7 +707,7 @@ def lag_to_leader(spark, sf_dir):
         fleet.members(spark, sf_dir), _leaders(spark, sf_dir), ["cluster"], "optime", "leader_optime",
         (col("state") == "SECONDARY") & ~col("arbiter"),
     )
-    return out.select("cluster", "line", "part", "lag")
+    return out.select("cluster", "line", "part", "lag", "missing_leader")
 
 
 def _sources(spark: SparkSession, sf_dir: str, **kwargs) -> DataFrame:
@@ -749,32 +749,63 @@ def cluster_status(spark, sf_dir):
     )
     return out.select(
         "cluster", "leader", "others", F.date_format("newest_other", "yyyy-MM-dd").alias("newest_other"), "behind",
-        "largest_lag",
+        "largest_lag", "missing_leader",
+    )
+
+
+def _member_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.members(spark, sf_dir).select(
+        col("cluster").alias("cluster_id"), text(col("part")).alias("name"),
+        F.when(col("arbiter"), "ARBITER").otherwise(col("state")).alias("stateStr"),
+        (col("line") == 1).alias("is_self"), col("optime").cast("timestamp").alias("optimeDate"),
+        F.when(col("config"), "x").otherwise("").alias("errmsg"), *fleet.ORDER,
+    )
+
+
+def _member_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings that follow from the address, so that members listed twice have one config row."""
+    part = col("part")
+    return fleet.members(spark, sf_dir).select("cluster", "part").distinct().select(
+        col("cluster").alias("cluster_id"), text(part).alias("host"), (part % 3).cast("int").alias("priority"),
+        F.when(part % 7 == 0, 0).otherwise(1).alias("votes"), (part % 5 == 0).alias("hidden"),
+        F.when(part % 11 == 0, F.lit(60).cast("bigint")).alias("slaveDelay"),
+        F.when(part % 4 == 0, F.create_map(F.lit("dc"), F.lit("east"))).alias("tags"),
     )
 
 
 @query
 def cluster_documents(spark, sf_dir):
-    leaders = _leaders(spark, sf_dir)
-    others = fleet.members(spark, sf_dir).join(leaders, "cluster").where(~_is_leader()).select(
-        "cluster", "server", "state", *[c for c in fleet.ORDER if c != "server"]
+    """The whole report: the leader with its server summary and change-log length, the others with lag and settings."""
+    report_rows = health.member_report(
+        _member_status(spark, sf_dir), _member_config(spark, sf_dir), keep=fleet.ORDER
+    )
+    lag = F.struct(F.floor("lag").cast("bigint").alias("value"), col("lag_text").alias("description"))
+    report_rows = report_rows.withColumn("replLag", F.when(col("lag").isNotNull(), lag)).select(
+        "cluster_id", *fleet.ORDER, "address", "stateStr", "errmsg", "replLag", "slaveDelay", "priority", "votes",
+        "hidden", "tags",
     )
-    report_rows = others.withColumn("address", text(col("server"))).select("cluster", *fleet.ORDER, "address", "state")
-    block = leaders.select("cluster", text(col("leader")).alias("address"), F.lit("PRIMARY").alias("stateStr"))
-    return health.status_documents(
-        report_rows, block, ["cluster"], fleet.ORDER, fleet.split(), hot=fleet.hot_clusters(spark, sf_dir)
+    leader = lookup.pick_first(
+        fleet.members(spark, sf_dir), ["cluster"], fleet.ORDER, col("line") == 1, ["server", "part"]
     )
+    spans = health.retention_span(fleet.events(spark, sf_dir), ["user_id"], F.floor(micros(col("ts")) / 1000000))
+    servers = fleet.servers(spark, sf_dir)
+    summary = F.struct(col("name").alias("host"), (col("balance") >= 0).alias("connection"))
+    block = (
+        leader.join(servers, "server", "left").join(spans, col("server") == col("user_id"), "left")
+        .select(
+            col("cluster").alias("cluster_id"), text(col("part")).alias("address"),
+            F.lit("PRIMARY").alias("stateStr"), summary.alias("serverStatusSummary"),
+            F.coalesce("span", F.lit("")).alias("oplogLength"),
+        )
+    )
+    return health.status_documents(report_rows, block, ["cluster_id"], fleet.ORDER, fleet.split())
 
 
 @query
 def member_report(spark, sf_dir):
-    status = fleet.members(spark, sf_dir).select(
-        col("cluster").alias("cluster_id"), text(col("part")).alias("name"),
-        F.when(col("arbiter"), "ARBITER").otherwise(col("state")).alias("stateStr"),
-        (col("line") == 1).alias("is_self"), col("optime").cast("timestamp").alias("optimeDate"),
-        F.when(col("config"), "x").otherwise("").alias("errmsg"),
+    return health.member_report(_member_status(spark, sf_dir), _member_config(spark, sf_dir)).withColumn(
+        "tags", F.to_json("tags")
     )
-    return health.member_report(status)
 
 
 # ---- listings and texts ------------------------------------------------------------------------

@@ -31,4 +31,4 @@ def test_every_query_has_sql():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["cluster", "leader", "server", "passive", "lag"]
+    assert entry.entry(spark).columns == ["cluster", "leader", "server", "passive", "lag", "missing_leader"]
