@@ -105,7 +105,7 @@ log AS (
          k > 0 AS continued
   FROM events, (VALUES (0), (1), (2)) AS t(k) WHERE k = 0 OR event_type = 'error')"""
 ORACLE["parse_log"] = with_(_LOG) + "SELECT * FROM log"
-ORACLE["follow_log"] = with_(_LOG) + "SELECT level, ts, message FROM log WHERE NOT continued"
+ORACLE["follow_log"] = with_(_LOG) + "SELECT file, level, ts, message, continued, count(*) AS n FROM log GROUP BY ALL"
 
 ORACLE["tail"] = """
 SELECT conv_id, turn, role FROM conversations
@@ -729,9 +729,7 @@ o AS (
   GROUP BY ALL)
 """
 ORACLE["await_outcome"] = _AWAIT + "SELECT user_id, event_id, confirmed, confirmed IS NOT NULL AS met FROM o"
-ORACLE["await_outcome_stream"] = _AWAIT + """
-SELECT user_id, event_id, confirmed, confirmed IS NOT NULL AS met FROM o
-WHERE ts <= (SELECT least((SELECT max(ts) FROM r), (SELECT max(ts) FROM c)) - INTERVAL 24 HOUR)"""
+ORACLE["await_outcome_stream"] = ORACLE["await_outcome"]
 
 ORACLE["follow_activity"] = """
 SELECT CAST(user_id AS VARCHAR) AS server, event_type AS op, count(*) AS n FROM events GROUP BY ALL"""

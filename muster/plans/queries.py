@@ -1023,12 +1023,28 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", col("ts").cast("timestamp"))
 
 
+def _in_time_order(df: DataFrame, pieces: int = 4) -> list[DataFrame]:
+    """The table in stretches of time: each is written and read as a batch of its own before the next one."""
+    first, last = df.agg(F.min(micros(col("ts"))), F.max(micros(col("ts")))).first()
+    if first is None:
+        return [df]
+    step = (last - first) // pieces + 1
+    return [df.where(F.floor((micros(col("ts")) - first) / step) == i) for i in range(pieces)]
+
+
 @query
 def follow_log(spark, sf_dir):
-    lines, out = scratch_path(spark, "lines"), scratch_path(spark, "records")
-    _log_lines(spark, sf_dir).select("value").write.text(lines)
-    feeds.follow_log(spark, lines, out, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(out).select("level", F.date_format("ts", logs.TIME_FORMAT).alias("ts"), "message")
+    """The log of each user is a file; half of the files arrive after the first batch."""
+    lines, out, checkpoint = (scratch_path(spark, n) for n in ("lines", "records", "checkpoint"))
+    log = _log_lines(spark, sf_dir).withColumn("half", F.crc32("file") % 2)
+    for half in (0, 1):
+        ordered = log.where(col("half") == half).repartition("file").sortWithinPartitions("file", "line")
+        ordered.select("file", "value").write.mode("append").partitionBy("file").text(lines)
+        feeds.follow_log(spark, lines, out, checkpoint).awaitTermination()
+    file = F.regexp_extract("file", "file=([^/]+)/", 1)
+    return spark.read.parquet(out).select(
+        file.alias("file"), "level", F.date_format("ts", logs.TIME_FORMAT).alias("ts"), "message", "continued", "batch"
+    ).groupBy("file", "level", "ts", "message", "continued").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -1041,16 +1057,13 @@ def follow_activity(spark, sf_dir):
 
 @query
 def follow_intervals(spark, sf_dir):
-    """The activity arrives as one file per day, in order, one file per batch."""
-    src, out = scratch_path(spark, "days"), scratch_path(spark, "intervals")
+    """The activity arrives in four batches, in the order of time."""
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("days", "intervals", "checkpoint"))
     days = fleet.activity(spark, sf_dir)
-    days.withColumn("piece", time_pieces(micros(col("ts")), 86_400)).repartitionByRange("piece").sortWithinPartitions(
-        "ts"
-    ).drop("piece").write.parquet(src)
-    stream = spark.readStream.schema(days.schema).parquet(src)
-    feeds.follow_intervals(
-        stream, "server", "ts", "seq", "op", out, scratch_path(spark, "checkpoint")
-    ).awaitTermination()
+    for piece in _in_time_order(days):
+        piece.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(days.schema).parquet(src)
+        feeds.follow_intervals(stream, "server", "ts", "seq", "op", out, checkpoint).awaitTermination()
     return feeds.read_intervals(spark, out).select(
         "server", micros(col("started")).alias("started"), micros(col("stopped")).alias("stopped"), "pending"
     )
@@ -1058,11 +1071,13 @@ def follow_intervals(spark, sf_dir):
 
 @query
 def status_feed(spark, sf_dir):
-    out = scratch_path(spark, "status")
-    stream = _event_stream(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value")
-    feeds.status_feed(
-        stream, ["user_id"], ["ts", "event_id"], out, scratch_path(spark, "checkpoint")
-    ).awaitTermination()
+    """Four batches, of which the third writes the whole latest table."""
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("snapshots", "status", "checkpoint"))
+    rows = fleet.events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value")
+    for piece in _in_time_order(rows):
+        piece.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        feeds.status_feed(stream, ["user_id"], ["ts", "event_id"], out, checkpoint, merge_every=2).awaitTermination()
     return feeds.read_latest(spark, out, ["user_id"], ["ts", "event_id"]).select(
         "user_id", "event_id", "event_type", "value"
     )
@@ -1070,26 +1085,17 @@ def status_feed(spark, sf_dir):
 
 @query
 def await_outcome_stream(spark, sf_dir):
-    """Only requests whose deadline the last watermark has passed are sure to be there."""
-    out = scratch_path(spark, "outcomes")
-    stream = _event_stream(spark, sf_dir)
-    outcomes = feeds.await_outcome_stream(
-        stream.where(col("event_type") == "signup").select("user_id", "event_id", "ts"),
-        stream.where(col("event_type") == "purchase").select("user_id", "ts"),
-        ["user_id"], "ts", "ts", 20 * 3600, keep=["event_id"],
-    )
-    (
-        outcomes.writeStream.format("parquet")
-        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(out)
-        .awaitTermination()
-    )
-    passed = fleet.events(spark, sf_dir).where(col("event_type").isin("signup", "purchase")).groupBy("event_type").agg(
-        F.max("ts").alias("last")
-    ).agg((F.min("last") - F.expr("interval 24 hours")).alias("_sure"))
-    sure = spark.read.parquet(out).join(F.broadcast(passed), col("requested") <= col("_sure"))
-    return feeds.first_confirmation(sure, ["user_id", "event_id"]).select(
+    """Requests and confirmations arrive in four batches, in the order of time; no request is left out."""
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("requests", "outcomes", "checkpoint"))
+    rows = fleet.events(spark, sf_dir).where(col("event_type").isin("signup", "purchase")).select(
+        "user_id", "event_id", "ts", "event_type"
+    )
+    for piece in _in_time_order(rows):
+        piece.write.mode("append").parquet(src)
+        feeds.follow_outcomes(
+            spark.readStream.schema(rows.schema).parquet(src), ["user_id"], "ts", col("event_type") == "signup",
+            col("event_type") == "purchase", 20 * 3600, out, checkpoint, keep=["event_id"],
+        ).awaitTermination()
+    return feeds.read_outcomes(spark, out).select(
         "user_id", "event_id", micros(col("confirmed")).alias("confirmed"), "met"
     )

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.lookup import top_rows
-from muster.operators.ordered import count_pieces, nearest
+from muster.operators.ordered import count_pieces, nearest, with_position
 from muster.operators.skew import HOT_ROWS
+from muster.session import materialise
 
 # fixed values: "   LEVEL | 2024-01-01 00:00:00,123 | message", and how many lines a tail shows
 LINE = r"^ *([A-Z]+) \| (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \| (.*)$"
@@ -32,15 +33,27 @@ def format_line(level: Column, ts: Column, message: Column) -> Column:
     return F.concat(F.lpad(level, 8, " "), F.lit(" | "), F.date_format(ts, TIME_FORMAT), F.lit(" | "), message)
 
 
-def read_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Header lines of log files.
+def log_line_columns() -> list[Column]:
+    """What a text scan has to give for its lines to be numbered."""
+    return [
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value")
+    ]
+
+
+def number_lines(scanned: DataFrame) -> DataFrame:
+    """``file, line, value``: the lines of a text scan numbered from 0 in each file.
 
-    A text file has no line numbers in Spark, so continuation lines cannot be placed here; give them a
-    ``line`` column on ingest and use ``parse_log``.
+    A split of a file is read by one task in order, so the split's start and the order inside the task place a line; the
+    order is written down before it is used.  A long file is numbered split by split.
     """
+    placed = materialise(scanned.withColumn("at", F.monotonically_increasing_id()), "lines")
+    return with_position(placed, ["file"], ["block", "at"], [F.col("block")], "line").select("file", "line", "value")
+
+
+def read_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Every line of log files with the record it belongs to; see ``parse_log``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), "value")
-    return lines.withColumns(header_columns(F.col("value"))).where(F.col("level").isNotNull()).drop("value")
+    return parse_log(number_lines(spark.read.text(paths).select(*log_line_columns())))
 
 
 def parse_log(

@@ -1,8 +1,8 @@
 """Continuous forms: logs, activity intervals, awaited outcomes, latest status.
 
-State that must outlive a micro-batch is a table written by that batch under its id.  A batch that is run
-again after a failure overwrites its own folder, so results stay exact, and the work inside a batch is the
-same distributed plan as in the batch form, hot servers included.
+State that must outlive a micro-batch is a table written by that batch under its id, and the next batch reads that
+one folder only.  A batch that is run again after a failure overwrites its own folders, so results stay exact, and the
+work inside a batch is the same distributed plan as in the batch form, hot servers included.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from muster.operators.activity import lifecycle_intervals
+from muster.operators.activity import await_outcome, lifecycle_intervals
 from muster.operators.health import latest_snapshot
-from muster.sources.logs import header_columns
+from muster.session import materialise, remove_folder
+from muster.sources.logs import log_line_columns, number_lines, parse_log
 
 
 def _trigger(options: dict) -> dict:
@@ -23,18 +24,47 @@ def _trigger(options: dict) -> dict:
 
 
 def follow_log(spark: SparkSession, path: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Parse log files as they grow in number and append the record headers."""
-    lines = spark.readStream.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    records = lines.withColumns(header_columns(F.col("value"))).where(F.col("level").isNotNull()).drop("value")
+    """Parse log files as they grow in number; every line is kept with the record it belongs to.
+
+    A file belongs to one batch as a whole, so a continued record is never torn.
+    """
+    lines = spark.readStream.text(path).select(*log_line_columns())
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        parse_log(number_lines(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     return (
-        records.writeStream.format("parquet")
+        lines.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(**_trigger(trigger))
-        .start(out)
+        .start()
     )
 
 
+def _carried(spark: SparkSession, out: str, batch_id: int, schema: str) -> DataFrame | None:
+    """What the batch before left open; the folder is known by its name, so nothing is listed."""
+    if batch_id == 0:
+        return None
+    return spark.read.schema(schema).parquet(f"{out}/open/batch={batch_id - 1}")
+
+
+def _hand_on(result: DataFrame, still_open: Column, out: str, batch_id: int) -> None:
+    """Write what is settled and what stays open; state older than a rerun could need is removed."""
+    spark = result.sparkSession
+    kept = materialise(result.withColumn("_open", still_open), "batch")
+    kept.where("_open").drop("_open").write.mode("overwrite").parquet(f"{out}/open/batch={batch_id}")
+    kept.where("not _open").drop("_open").write.mode("overwrite").parquet(f"{out}/settled/batch={batch_id}")
+    if batch_id > 1:
+        remove_folder(spark, f"{out}/open/batch={batch_id - 2}")
+
+
+def _all_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Settled rows of all batches, and what the last batch left open."""
+    left = spark.read.parquet(f"{out}/open")
+    last = left.where(F.col("batch") == _last_batch(left)).drop("batch")
+    return spark.read.schema(last.schema).parquet(f"{out}/settled/*").unionByName(last)
+
+
 def _last_batch(written: DataFrame, where: Column | None = None) -> int:
     """The highest batch number: one value, made a literal so that the scan after it is pruned to folders."""
     found = (written if where is None else written.where(where)).agg(F.max("batch")).first()[0]
@@ -56,21 +86,20 @@ def follow_intervals(
 ) -> StreamingQuery:
     """Pair starts with stops over a stream whose batches come in time order.
 
-    Each batch adds the starts left pending by the one before and writes its intervals to
-    ``out/batch=<id>``; only the last batch's pending rows are still open.
+    Each batch adds the starts left pending by the one before.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         records = batch.select(server, ts, seq, op)
-        if batch_id > 0:
-            earlier = _written_intervals(batch.sparkSession, out)
-            last = _last_batch(earlier.where(F.col("batch") < batch_id))
-            open_starts = earlier.where(F.col("pending") & (F.col("batch") == last)).select(
+        fields = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+        schema = f"`{server}` {fields[server]}, started {fields[ts]}, started_seq {fields[seq]}, stopped {fields[ts]}, pending boolean"
+        earlier = _carried(batch.sparkSession, out, batch_id, schema)
+        if earlier is not None:
+            records = records.unionByName(earlier.select(
                 server, F.col("started").alias(ts), F.col("started_seq").alias(seq), F.lit(start).alias(op)
-            )
-            records = records.unionByName(open_starts)
+            ))
         intervals = lifecycle_intervals(records, server, ts, seq, op, start, stop, piece_seconds)
-        intervals.write.mode("overwrite").partitionBy("pending").parquet(f"{out}/batch={batch_id}")
+        _hand_on(intervals, F.col("pending"), out, batch_id)
 
     return (
         activity.writeStream.foreachBatch(step)
@@ -80,53 +109,58 @@ def follow_intervals(
     )
 
 
-def _written_intervals(spark: SparkSession, out: str) -> DataFrame:
-    """Both folder columns come back as text or numbers."""
-    return spark.read.parquet(out).withColumn("pending", F.col("pending").cast("boolean"))
-
-
 def read_intervals(spark: SparkSession, out: str) -> DataFrame:
     """Ended intervals of all batches and the starts the last batch left pending."""
-    written = _written_intervals(spark, out)
-    return written.where(~F.col("pending") | (F.col("batch") == _last_batch(written))).drop("batch")
+    return _all_rows(spark, out)
 
 
-def await_outcome_stream(
-    requests: DataFrame,
-    confirmations: DataFrame,
+def follow_outcomes(
+    records: DataFrame,
     key: Sequence[str],
-    request_ts: str,
-    confirmation_ts: str,
+    ts: str,
+    is_request: Column,
+    is_confirmation: Column,
     timeout_seconds: int,
-    delay: str = "1 hour",
+    out: str,
+    checkpoint: str,
     keep: Sequence[str] = (),
-) -> DataFrame:
-    """Requests with each confirmation inside their timeout, or with none once it has passed.
+    **trigger,
+) -> StreamingQuery:
+    """The first confirmation of each request over a stream whose batches come in time order.
 
-    A confirmation later than the watermark counts as not met.  Reduce the rows of one request with
-    ``first_confirmation``.
+    No pairs are made: each batch looks ahead from its requests and from those that are neither met nor past their
+    timeout.  A request stays ``open`` until the stream has come to its deadline.
     """
-    asked = requests.select(
-        *key, *keep, F.col(request_ts).cast("timestamp").alias("requested")
-    ).withWatermark("requested", delay)
-    told = confirmations.select(
-        *[F.col(k).alias(f"_{k}") for k in key], F.col(confirmation_ts).cast("timestamp").alias("confirmed")
-    ).withWatermark("confirmed", delay)
-    inside = (F.col("confirmed") > F.col("requested")) & (
-        F.col("confirmed") <= F.col("requested") + F.expr(f"interval {int(timeout_seconds)} seconds")
-    )
-    for k in key:
-        inside = inside & (F.col(k) == F.col(f"_{k}"))
-    return asked.join(told, inside, "left_outer").drop(*[f"_{k}" for k in key])
+    key, keep = list(key), list(keep)
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        asked = batch.where(is_request).select(*key, *keep, ts)
+        told = batch.where(is_confirmation).select(*key, ts)
+        fields = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+        schema = ", ".join([*[f"`{c}` {fields[c]}" for c in (*key, *keep)], f"requested {fields[ts]}",
+                            f"confirmed {fields[ts]}", "met boolean"])
+        earlier = _carried(batch.sparkSession, out, batch_id, schema)
+        if earlier is not None:
+            asked = asked.unionByName(earlier.select(*key, *keep, F.col("requested").alias(ts)))
+        now = batch.agg(F.max(ts)).first()[0]  # one value
+        outcomes = await_outcome(asked, told, key, ts, ts, timeout_seconds, keep)
+        deadline = F.col("requested") + F.expr(f"interval {int(timeout_seconds)} seconds")
+        still_open = ~F.col("met") & (F.lit(True) if now is None else deadline > F.lit(now))
+        _hand_on(outcomes, still_open, out, batch_id)
 
-def first_confirmation(outcomes: DataFrame, request: Sequence[str]) -> DataFrame:
-    """One row per request: its earliest confirmation, and whether there was one."""
-    return outcomes.groupBy(*request).agg(
-        F.min("confirmed").alias("confirmed"), F.bool_or(F.col("confirmed").isNotNull()).alias("met")
+    return (
+        records.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(trigger))
+        .start()
     )
 
 
+def read_outcomes(spark: SparkSession, out: str) -> DataFrame:
+    """Every request with its outcome so far."""
+    return _all_rows(spark, out)
+
+
 def status_feed(
     snapshots: DataFrame,
     key: Sequence[str],
@@ -139,17 +173,18 @@ def status_feed(
     """Keep the newest row per key of a stream of snapshots.
 
     A batch writes only the newest rows it saw itself; every ``merge_every`` batches one writes the whole
-    latest table, so a reader has a bounded number of folders to look at.
+    latest table from the ``merge_every`` folders before it, whose names follow from its number.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         newest = latest_snapshot(batch, key, order)
         whole = batch_id > 0 and batch_id % merge_every == 0
         if whole:
-            newest = latest_snapshot(
-                _current_rows(batch.sparkSession, out, batch_id).unionByName(newest), key, order
-            )
-        newest.write.mode("overwrite").parquet(f"{out}/whole={str(whole).lower()}/batch={batch_id}")
+            since = range(batch_id - merge_every, batch_id)
+            folders = [_folder(out, b, merge_every) for b in since]
+            earlier = batch.sparkSession.read.schema(newest.schema).parquet(*folders)
+            newest = latest_snapshot(earlier.unionByName(newest), key, order)
+        newest.write.mode("overwrite").parquet(_folder(out, batch_id, merge_every))
 
     return (
         snapshots.writeStream.foreachBatch(step)
@@ -159,11 +194,14 @@ def status_feed(
     )
 
 
-def _current_rows(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+def _folder(out: str, batch_id: int, merge_every: int) -> str:
+    whole = batch_id > 0 and batch_id % merge_every == 0
+    return f"{out}/whole={str(whole).lower()}/batch={batch_id}"
+
+
+def _current_rows(spark: SparkSession, out: str) -> DataFrame:
     """Rows since the last whole table; older folders are not read."""
     written = spark.read.parquet(out)
-    if before is not None:
-        written = written.where(F.col("batch") < before)
     since = _last_batch(written, F.col("whole").cast("string") == "true")
     return written.where(F.col("batch") >= since).drop("whole", "batch")
 

@@ -86,7 +86,8 @@ def test_intervals_as_stream(spark, table, records, day_files, tmp_path):
     feeds.follow_intervals(
         stream_of(spark, table, day_files), "server", "ts", "seq", "op", out, str(tmp_path / "cp"), piece_seconds=7
     ).awaitTermination()
-    assert spark.read.parquet(out).select("batch").distinct().count() == 5
+    assert spark.read.parquet(f"{out}/settled").select("batch").distinct().count() == 5
+    assert spark.read.parquet(f"{out}/open").select("batch").distinct().count() <= 2
     assert as_set(feeds.read_intervals(spark, out)) == plain_intervals(records)
 
 
@@ -102,19 +103,19 @@ def test_status_feed(spark, table, day_files, tmp_path, merge_every):
 
 
 def test_await_as_stream(spark, table, records, day_files, tmp_path):
-    stream = stream_of(spark, table, day_files)
-    joined = feeds.await_outcome_stream(
-        stream.where("op = 'start'").select("server", "seq", "ts"), stream.where("op = 'stop'").select("server", "ts"),
-        ["server"], "ts", "ts", 5, delay="10 seconds", keep=["seq"])
+    """Over five batches the stream gives every request the outcome of the batch form."""
     out = str(tmp_path / "out")
-    joined.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(
-        availableNow=True).start(out).awaitTermination()
-    got = {r.seq: r.c for r in feeds.first_confirmation(spark.read.parquet(out), ["server", "seq"]).select(
-        "seq", F.unix_micros("confirmed").alias("c")).collect()}
+    feeds.follow_outcomes(
+        stream_of(spark, table, day_files), ["server"], "ts", F.col("op") == "start", F.col("op") == "stop", 5, out,
+        str(tmp_path / "cp"), keep=["seq"],
+    ).awaitTermination()
     batch = act.await_outcome(table.where("op = 'start'"), table.where("op = 'stop'"), ["server"], "ts", "ts", 5, ["seq"])
-    want = {r.seq: r.c for r in batch.where(F.col("requested") < ts(F.lit(170_000_000))).select(
-        "seq", F.unix_micros("confirmed").alias("c")).collect()}
-    assert {k: v for k, v in got.items() if k in want} == want
+
+    def rows(df):
+        return sorted((r.seq, r.c or 0, r.met) for r in df.select("seq", F.unix_micros("confirmed").alias("c"), "met").collect())
+
+    assert spark.read.parquet(f"{out}/settled").select("batch").distinct().count() == 5
+    assert rows(feeds.read_outcomes(spark, out)) == rows(batch)
 
 
 def test_activity_is_appended_by_day(spark, table, tmp_path):
