@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.operators.skew import HOT_ROWS, hot_groups
+from muster.operators.skew import HOT_ROWS, hot_groups, none_hot
 
 PART_ROWS = 100_000  # values in one text
 
@@ -43,7 +43,7 @@ def cut_hot_groups(
     hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Add the piece columns: null in ordinary groups, the split expressions in hot ones.
+    """Add the piece columns: null in ordinary groups, the split expressions in hot ones; none if no group is hot.
 
     The list of hot groups has a row bound known to the planner, so it is broadcast only while that
     bound is below ``spark.sql.autoBroadcastJoinThreshold``.  Where ``df`` is a plan with joins, pass
@@ -51,6 +51,8 @@ def cut_hot_groups(
     """
     keys = [f"_hot_{i}" for i in range(len(group))]
     listed = hot if hot is not None else hot_groups(df, group, hot_rows)
+    if none_hot(listed):
+        return df, []
     hot = listed.select(*group).toDF(*keys).withColumn("_hot", F.lit(True))
     pieces = [f"_piece_{i}" for i in range(len(split))]
     marked = df.join(hot, _same(df, hot, list(zip(group, keys))), "left").select(
@@ -88,6 +90,8 @@ def running_total(
     marked, pieces = cut_hot_groups(df.withColumn("_value", value.cast("bigint")), group, split, hot_rows, hot)
     keys = group + pieces
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not pieces:
+        return marked.withColumn(name, F.coalesce(F.sum("_value").over(window), F.lit(0))).drop("_value")
     earlier = (
         Window.partitionBy(*group).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -150,6 +154,8 @@ def nearest(
         .orderBy(*directed(order))
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
+    if not pieces:
+        return marked.withColumn(name, F.last("_found", ignorenulls=True).over(window)).drop("_found")
     passed = (
         Window.partitionBy(*group)
         .orderBy(*directed(pieces))

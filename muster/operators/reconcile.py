@@ -14,7 +14,8 @@ from muster.operators.addresses import address_keys, match_addresses
 from muster.operators.layers import merge_settings
 from muster.operators.lookup import top_rows
 from muster.operators.ordered import running_total
-from muster.operators.skew import HOT_GROUPS, HOT_ROWS, hot_groups, join_per_key
+from muster.operators.skew import HOT_GROUPS, HOT_ROWS, hot_groups, join_per_key, measured
+from muster.session import materialise
 
 # fixed values
 ALLOWED_ENVIRONMENT = ["TCMALLOC_AGGRESSIVE_DECOMMIT"]
@@ -124,13 +125,14 @@ def find_conflicts(
             F.coalesce("port", F.lit("")).alias("port"),
         ))
     by = [cluster_id, "kind", "key", "port"]
-    firsts = (
+    firsts = materialise(
         keyed.groupBy(*by)
         .agg(F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > 1)
+        .where(F.col("_rows") > 1),
+        "firsts",
     )
     # the same counts name the hot keys
-    hot = (
+    hot = measured(
         firsts.where(F.col("_rows") >= HOT_ROWS)
         .orderBy(F.col("_rows").desc(), *by)
         .limit(HOT_GROUPS)

@@ -1,11 +1,14 @@
 """Groups and joins in which one key may hold a large share of all rows.
 
-The list of hot keys is the only thing broadcast without a further check.  It holds at most ``HOT_GROUPS``
+Hot keys are measured once, before a plan is made: where there are none, windows and joins are the plain ones and
+nothing is counted, dealt out or repeated in them.  A list made for a table is handed to all that start from it.  It is the only thing broadcast without a further check.  It holds at most ``HOT_GROUPS``
 rows, whatever the size of the input: keys beyond that many have each no more than 1/HOT_GROUPS of all rows.
+The list decides how rows are dealt out, never what comes out.
 """
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -17,13 +20,17 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 HOT_ROWS = 1_000_000
 HOT_GROUPS = 50_000
 NULL_SHARES = 1024
+_NONE_HOT: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
 def hot_groups(
     df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS, most: int = HOT_GROUPS
 ) -> DataFrame:
-    """The groups with at least ``hot_rows`` rows and their counts ``_rows``, no more than the ``most`` largest."""
-    return (
+    """The groups with at least ``hot_rows`` rows and their counts ``_rows``, no more than the ``most`` largest.
+
+    They are counted now; the result holds the list itself.
+    """
+    return measured(
         df.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") >= hot_rows)
@@ -32,6 +39,20 @@ def hot_groups(
     )
 
 
+def measured(listed: DataFrame) -> DataFrame:
+    """A bounded list of hot groups, run now and held as a local table of known size."""
+    found = listed.toArrow()
+    held = listed.sparkSession.createDataFrame(found, listed.schema)
+    if not len(found):
+        _NONE_HOT.add(held)
+    return held
+
+
+def none_hot(listed: DataFrame) -> bool:
+    """Whether a list from ``hot_groups`` is known to be empty."""
+    return listed in _NONE_HOT
+
+
 def _spread(df: DataFrame, parts: Column | int) -> Column:
     """A share number that is the same whenever a task is run again."""
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, ArrayType, StructType))]
@@ -58,6 +79,8 @@ def join_per_key(
     """
     keys = list(keys)
     listed = hot if hot is not None else hot_groups(left, keys, hot_rows)
+    if none_hot(listed):
+        return left.join(right, keys, how)
     shares = F.broadcast(listed.select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("bigint").alias("_shares")))
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     dealt = (

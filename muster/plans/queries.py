@@ -15,7 +15,7 @@ from muster.operators import activity as act
 from muster.operators import addresses as addr
 from muster.operators import health, layers, lookup, options, reconcile, refs, report, texts
 from muster.operators import versions as ver
-from muster.operators.ordered import count_pieces, ordered_concat, time_pieces
+from muster.operators.ordered import count_pieces, ordered_concat
 from muster.plans import fleet_view as fleet
 from muster.plans.configure import configuration_plan
 from muster.plans.export_source import export_sources

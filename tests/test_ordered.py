@@ -112,5 +112,5 @@ def _joined(df, name, separator):
 
 
 def test_no_pairs_are_compared(table):
-    plan = ordered.with_position(table, ["g"], ["o"], split())._jdf.queryExecution().toString()
+    plan = ordered.with_position(table, ["g"], ["o"], split(), hot_rows=10)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
