@@ -197,6 +197,47 @@ def find_drift(
     return moved.unionByName(renamed).groupBy(cluster_id, pos).agg(last).select(cluster_id, pos, "_e.*")
 
 
+#: The checks of a configuration, in the order in which they are made.
+REJECT_REASONS = ["invalid_member", "conflict", "drift"]
+
+
+def configuration_rejects(
+    declared: DataFrame,
+    current: DataFrame | None,
+    cluster_id: str,
+    pos: str,
+    given_id: str,
+    server: Column,
+    address: Column,
+    current_address: Column | None,
+    errors: Column | None = None,
+    hosts: DataFrame | None = None,
+) -> DataFrame:
+    """One row per cluster that cannot be configured: ``reason``, the member's ``pos`` and a ``detail``.
+
+    First every member by itself (``errors``, an array of codes), then members against each other, then against the
+    current configuration; within a check the first member in order.
+    """
+    def found(df: DataFrame, reason: str, detail: Column) -> DataFrame:
+        turn = F.lit(REJECT_REASONS.index(reason))
+        return df.select(cluster_id, F.struct(turn.alias("turn"), F.col(pos).alias("pos"), detail.alias("detail")).alias("_r"))
+
+    clashes = first_conflict(
+        find_conflicts(declared, cluster_id, pos, F.col(given_id), server, address, hosts), cluster_id, pos
+    )
+    out = found(clashes, "conflict", F.col("kind"))
+    if errors is not None:
+        wrong = declared.withColumn("_errors", errors).where(F.size("_errors") > 0)
+        out = out.unionByName(found(wrong, "invalid_member", F.col("_errors")[0]))
+    if current is not None:
+        drift = find_drift(declared, current, cluster_id, pos, given_id, address, current_address, hosts)
+        out = out.unionByName(found(drift, "drift", F.col("kind")))
+    reasons = F.array(*[F.lit(r) for r in REJECT_REASONS])
+    return out.groupBy(cluster_id).agg(F.min("_r").alias("_r")).select(
+        cluster_id, F.element_at(reasons, F.col("_r.turn") + 1).alias("reason"), F.col("_r.pos").alias("pos"), "_r.detail"
+    )
+
+
 def assign_ids(
     members: DataFrame,
     current: DataFrame | None,

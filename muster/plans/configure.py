@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.operators.reconcile import assign_ids, build_desired, find_conflicts, first_conflict
+from muster.operators.reconcile import assign_ids, build_desired, configuration_rejects
 from muster.operators.skew import hot_groups, join_per_key
 from muster.session import materialise
 
@@ -25,19 +25,22 @@ def configuration_plan(
     keep: Sequence[str] = (),
     hosts: DataFrame | None = None,
     hot: DataFrame | None = None,
+    errors: Column | None = None,
+    header: DataFrame | None = None,
 ) -> DataFrame:
-    """Desired members of every cluster with their ids; clusters whose members clash are left out.
+    """Desired members of every cluster with their ids, beside the columns of ``header`` (from ``desired_header``).
 
-    ``first_conflict`` over ``find_conflicts`` says why a cluster is missing.  The declared members and the
-    sound ones are each read by several steps, so they are written once.
+    Clusters that fail a check of ``configuration_rejects`` are left out; that operator says why.  The declared
+    members and the sound ones are each read by several steps, so they are written once.
     """
     declared = materialise(declared, "declared")
-    clashes = first_conflict(
-        find_conflicts(declared, cluster_id, pos, F.col(given_id), server, host, hosts), cluster_id, pos
-    )
+    rejects = configuration_rejects(
+        declared, current, cluster_id, pos, given_id, server, host, current_address, errors, hosts
+    ).select(cluster_id)
     hot = hot if hot is not None else hot_groups(declared, [cluster_id])
-    sound = materialise(join_per_key(declared, clashes, [cluster_id], "left_anti", hot), "sound")
+    sound = materialise(join_per_key(declared, rejects, [cluster_id], "left_anti", hot), "sound")
     desired = build_desired(sound, current, cluster_id, pos, host, [given_id, *keep])
-    return assign_ids(
+    plan = assign_ids(
         desired, current, cluster_id, pos, given_id, F.col("host"), current_address, split, hosts, hot=hot
     ).drop("turn", given_id)
+    return plan if header is None else join_per_key(plan, header, [cluster_id], "left", hot)

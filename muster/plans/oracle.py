@@ -387,29 +387,49 @@ SELECT cluster, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts,
   string_agg(item, ' ' ORDER BY turn, pos) AS members
 FROM wanted GROUP BY cluster"""
 
-ORACLE["desired_header"] = """
-WITH c AS (SELECT l_orderkey AS k, count(*) AS n, max(l_linenumber) AS m FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey AS cluster, n + 1 AS version,
-  CASE WHEN o_totalprice > 250000 THEN concat_ws(',', 'a=' || m, 'b=' || o_orderstatus) END AS settings,
-  CASE WHEN o_orderstatus = 'F' THEN true END AS configsvr
-FROM orders LEFT JOIN c ON k = o_orderkey"""
-
-ORACLE["configuration_dry_run"] = with_(MEMBERS, CURRENT) + """
-, declared AS (
-  SELECT cluster, pos, CASE WHEN config THEN line END AS id, server, 's' || server || ':1' AS address, passive FROM placed),
+_HEADER = """
+c AS (SELECT l_orderkey AS k, count(*) AS n, max(l_linenumber) AS m FROM lineitem GROUP BY l_orderkey),
+header AS (
+  SELECT o_orderkey AS cluster, n + 1 AS version,
+    CASE WHEN o_totalprice > 250000 THEN concat_ws(',', 'a=' || m, 'b=' || o_orderstatus) END AS settings,
+    CASE WHEN o_orderstatus = 'F' THEN true END AS configsvr
+  FROM orders LEFT JOIN c ON k = o_orderkey)"""
+ORACLE["desired_header"] = with_(_HEADER) + "SELECT * FROM header"
+
+_TO_CONFIGURE = """
+declared AS (
+  SELECT cluster, pos, CASE WHEN config THEN line + CASE WHEN passive THEN 1 ELSE 0 END END AS id, server,
+    's' || server || ':1' AS address, passive,
+    CASE WHEN quantity >= 50 THEN 'no_server_or_host' WHEN quantity = 49 THEN 'bad_host'
+         WHEN s_acctbal < -900 THEN 'unresolved_server' END AS error
+  FROM placed LEFT JOIN supplier ON s_suppkey = server),
 clash AS (
-  SELECT DISTINCT a.cluster FROM declared a JOIN declared b ON a.cluster = b.cluster AND a.pos < b.pos
-  WHERE a.id = b.id OR a.server = b.server),
-sound AS (SELECT * FROM declared WHERE cluster NOT IN (SELECT cluster FROM clash)),
-matched AS (
+  SELECT a.cluster, b.pos, CASE WHEN a.id = b.id THEN 'id' ELSE 'server' END AS detail
+  FROM declared a JOIN declared b ON a.cluster = b.cluster AND a.pos < b.pos
+  WHERE a.id = b.id OR a.server = b.server
+  QUALIFY row_number() OVER (PARTITION BY a.cluster ORDER BY a.pos, b.pos) = 1),
+drift AS (
+  SELECT d.cluster, d.pos, CASE WHEN d.id = c.id THEN 'id_moved' ELSE 'address_renamed' END AS detail
+  FROM declared d JOIN current_config c ON c.cluster = d.cluster
+  WHERE (d.id = c.id) <> (d.address = c.host)
+  QUALIFY row_number() OVER (PARTITION BY d.cluster, d.pos ORDER BY c.place DESC) = 1),
+rejects AS (
+  SELECT cluster, reason, pos, detail FROM (
+    SELECT cluster, 0 AS turn, 'invalid_member' AS reason, pos, error AS detail FROM declared WHERE error IS NOT NULL
+    UNION ALL SELECT cluster, 1, 'conflict', pos, detail FROM clash
+    UNION ALL SELECT cluster, 2, 'drift', pos, detail FROM drift)
+  QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY turn, pos) = 1)"""
+ORACLE["configuration_rejects"] = with_(MEMBERS, CURRENT, _TO_CONFIGURE) + "SELECT * FROM rejects"
+ORACLE["configuration_dry_run"] = with_(MEMBERS, CURRENT, _TO_CONFIGURE, _HEADER) + """
+, matched AS (
   SELECT d.*, (SELECT c.id FROM current_config c WHERE c.cluster = d.cluster AND c.host = d.address
                ORDER BY c.place LIMIT 1) AS found,
     (SELECT max(c.id) + 1 FROM current_config c WHERE c.cluster = d.cluster) AS first_new
-  FROM sound d)
+  FROM declared d WHERE cluster NOT IN (SELECT cluster FROM rejects))
 SELECT cluster, pos, address AS host, passive, CAST(coalesce(id, found, coalesce(first_new, 0)
   + sum(CASE WHEN id IS NULL AND found IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY cluster ORDER BY pos) - 1)
-  AS BIGINT) AS member_id
-FROM matched"""
+  AS BIGINT) AS member_id, version, settings, configsvr
+FROM matched LEFT JOIN header USING (cluster)"""
 
 ORACLE["plan_additions"] = """
 SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""

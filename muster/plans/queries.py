@@ -577,8 +577,7 @@ def build_desired(spark, sf_dir):
     )
 
 
-@query
-def desired_header(spark, sf_dir):
+def _header(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = fleet.table(spark, sf_dir, "orders").select(
         col("o_orderkey").alias("cluster"), "o_orderstatus", "o_totalprice"
     )
@@ -591,15 +590,40 @@ def desired_header(spark, sf_dir):
 
 
 @query
-def configuration_dry_run(spark, sf_dir):
-    declared = fleet.placed_members(spark, sf_dir).select(
-        "cluster", "pos", F.when(col("config"), col("line")).alias("id"), "server",
-        F.concat(F.lit("s"), col("server"), F.lit(":1")).alias("address"), "passive",
+def desired_header(spark, sf_dir):
+    return _header(spark, sf_dir)
+
+
+def _to_configure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared members with the errors of each by itself; passive ones ask for another id than they have."""
+    quantity, server = col("quantity"), col("server")
+    members = fleet.placed_members(spark, sf_dir).select(
+        "cluster", "pos", F.when(col("config"), col("line") + F.when(col("passive"), 1).otherwise(0)).alias("id"),
+        "server", "passive", F.when(quantity < 49, server).alias("ref"),
+        F.when(quantity == 49, F.concat(F.lit("h"), server)).alias("named"),
+    )
+    known = fleet.servers(spark, sf_dir).where(col("balance") >= -900)
+    resolved = refs.resolve_refs(members, "ref", known, "server", col("address"), "named")
+    checked = reconcile.validate_members(resolved, col("ref"), col("named"), col("server_id"), col("server_address"))
+    return checked.select(
+        "cluster", "pos", "id", "server", F.concat(F.lit("s"), server, F.lit(":1")).alias("address"), "passive", "errors"
     )
+
+
+@query
+def configuration_dry_run(spark, sf_dir):
     return configuration_plan(
-        declared, materialise(_current(spark, sf_dir), "current"), "cluster", "pos", "id", col("address"), col("server"),
-        col("host"),
-        [count_pieces(col("pos"))], keep=["passive"], hot=fleet.hot_clusters(spark, sf_dir),
+        _to_configure(spark, sf_dir), materialise(_current(spark, sf_dir), "current"), "cluster", "pos", "id",
+        col("address"), col("server"), col("host"), [count_pieces(col("pos"))], keep=["passive"],
+        hot=fleet.hot_clusters(spark, sf_dir), errors=col("errors"), header=_header(spark, sf_dir),
+    )
+
+
+@query
+def configuration_rejects(spark, sf_dir):
+    return reconcile.configuration_rejects(
+        materialise(_to_configure(spark, sf_dir), "declared"), materialise(_current(spark, sf_dir), "current"),
+        "cluster", "pos", "id", col("server"), col("address"), col("host"), col("errors"),
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,16 +40,24 @@ def build_session(app: str = "muster", master: str | None = None, **settings: st
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table written between two steps.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a temporary folder: executors on other machines could not read it.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``, under the application's id, so that all a
+    finished application has written can be removed at once.  Only a local session without that setting gets a
+    temporary folder, which goes with the program: executors on other machines could not read it.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="muster-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _local_folder()
+    return f"{base.rstrip('/')}/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="muster-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
