@@ -1,20 +1,22 @@
 """Order-dependent columns over groups of any size.
 
 A window over ``partitionBy(group)`` sends a whole group to one task.  Here only groups that are small
-enough are treated so.  A hot group is cut into pieces along its order (the caller names a coarser,
-monotone form of the leading order columns); each piece gets its own window, and a small table with one
-row per piece of a hot group carries totals and boundary rows over to the next piece.  The result is the
-same as that of the plain window.
+enough are treated so.  The rows of hot groups are dealt out by ranges of group and order, of about
+``hot_rows`` rows each, and cut further where the caller's coarser form of the order changes; each piece
+gets its own window, and a small table with one row per piece of a hot group carries totals and boundary
+rows over to the next piece.  The result is the same as that of the plain window.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.operators.skew import HOT_ROWS, hot_groups, none_hot
+from muster.session import materialise
 
 PART_ROWS = 100_000  # values in one text
 
@@ -39,11 +41,16 @@ def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -
 def cut_hot_groups(
     df: DataFrame,
     group: Sequence[str],
+    order: Sequence[str],
     split: Sequence[Column],
     hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Add the piece columns: null in ordinary groups, the split expressions in hot ones; none if no group is hot.
+    """Add the piece columns: null in ordinary groups, range and split in hot ones; none if no group is hot.
+
+    The ranges come from Spark's range partitioning over the whole order, so no piece grows with its group, even where
+    the leading order columns or the split are the same in all rows.  They are written down, since another evaluation
+    might draw other bounds.
 
     The list of hot groups has a row bound known to the planner, so it is broadcast only while that
     bound is below ``spark.sql.autoBroadcastJoinThreshold``.  Where ``df`` is a plan with joins, pass
@@ -53,13 +60,18 @@ def cut_hot_groups(
     listed = hot if hot is not None else hot_groups(df, group, hot_rows)
     if none_hot(listed):
         return df, []
+    ranges = math.ceil((listed.agg(F.sum("_rows")).first()[0] or 0) / hot_rows) + 1
     hot = listed.select(*group).toDF(*keys).withColumn("_hot", F.lit(True))
-    pieces = [f"_piece_{i}" for i in range(len(split))]
+    coarse = [f"_piece_{i}" for i in range(len(split))]
     marked = df.join(hot, _same(df, hot, list(zip(group, keys))), "left").select(
         *[df[c] for c in df.columns],
-        *[F.when(F.col("_hot"), e).alias(p) for e, p in zip(split, pieces)],
+        *[F.when(F.col("_hot"), e).alias(p) for e, p in zip(split, coarse)],
+        "_hot",
     )
-    return marked, pieces
+    ordinary = marked.where(F.col("_hot").isNull()).withColumn("_range", F.lit(None).cast("int"))
+    dealt = marked.where("_hot").repartitionByRange(ranges, *[F.col(c) for c in dict.fromkeys([*group, *order])])
+    dealt = materialise(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    return ordinary.unionByName(dealt).drop("_hot"), ["_range", *coarse]
 
 
 def _attach(df: DataFrame, carried: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -71,7 +83,7 @@ def _attach(df: DataFrame, carried: DataFrame, keys: Sequence[str], value: str)
 
 
 def _is_cut(pieces: Sequence[str]) -> Column:
-    """Pieces come from not-null order columns, so a cut row has the first one set."""
+    """A row of a hot group has its range set."""
     return F.col(pieces[0]).isNotNull()
 
 
@@ -87,7 +99,9 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``value`` over the group's rows up to and including each row."""
     group, order = list(group), list(order)
-    marked, pieces = cut_hot_groups(df.withColumn("_value", value.cast("bigint")), group, split, hot_rows, hot)
+    marked, pieces = cut_hot_groups(
+        df.withColumn("_value", value.cast("bigint")), group, order, split, hot_rows, hot
+    )
     keys = group + pieces
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if not pieces:
@@ -142,7 +156,7 @@ def nearest(
     """
     group, order = list(group), list(order)
     found = F.when(where, F.struct(*value))
-    marked, pieces = cut_hot_groups(df.withColumn("_found", found), group, split, hot_rows, hot)
+    marked, pieces = cut_hot_groups(df.withColumn("_found", found), group, order, split, hot_rows, hot)
     keys = group + pieces
 
     def directed(names: Sequence[str]) -> list[Column]:

@@ -90,6 +90,15 @@ def test_ordered_concat(table, rows, part_rows):
     assert (max(r.parts for r in parts) > 1) == (part_rows == 10)
 
 
+def test_pieces_are_bounded(spark):
+    """One key, one day, one line: pieces stay near the set number of rows, and positions are right."""
+    df = spark.range(20_000).select(F.lit("one").alias("g"), F.lit(7).alias("line"), F.col("id").alias("o"))
+    cut, pieces = ordered.cut_hot_groups(df, ["g"], ["line", "o"], [F.col("line")], hot_rows=500)
+    assert cut.groupBy(*pieces).count().agg(F.max("count")).first()[0] < 1500
+    placed = ordered.with_position(df, ["g"], ["line", "o"], [F.col("line")], hot_rows=500)
+    assert placed.where("pos <> o").count() == 0
+
+
 def test_parts_join_to_the_whole(spark, table, rows):
     """A listing and a status document in parts of 7 members, against the same in one part."""
     groups_table = table.select("g").distinct()
