@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes handed to a Python worker at once: texts are long, and two workers share an executor's memory.
+ARROW_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers started from another folder import this package."""
+    """Let Python workers started from another folder import this package, and bound what they get at once."""
+    for name, value in ARROW_BATCH.items():
+        spark.conf.set(name, value)
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

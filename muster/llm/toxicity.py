@@ -193,16 +193,17 @@ def fit(
 def score(
     df: DataFrame, chain: Chain | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """The ``keep`` columns of every row with ``p_<category>`` and ``rejected``."""
+    """The ``keep`` columns of every row, the text among them if named, with ``p_<category>`` and ``rejected``."""
     names = chain.names if chain else [*FAMILIES, "toxic"]
     outputs = [f"p_{n}" for n in names]
-    rows = df.select(F.monotonically_increasing_id().alias("_at"), F.col(text_col).cast("string").alias("_text"),
-                     *[F.col(k) for k in keep])
+    others = [k for k in keep if k != text_col]
+    rows = df.select(F.lit(0).alias("_none"), F.col(text_col).cast("string").alias("_text"), *[F.col(k) for k in others])
+    place = {k: 1 if k == text_col else 2 + others.index(k) for k in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for ids, values in text_batches(iter([batch])):
+            for _, values in text_batches(iter([batch])):
                 if chain is None:
                     p = np.zeros((len(values), len(names)), np.float32)
                 else:
@@ -210,7 +211,7 @@ def score(
                     x = np.zeros((len(values), len(chain.chosen)), np.float32)
                     x[doc, feature] = values_of(count, sizes[doc])
                     p = chain.probabilities(x)
-                kept = [batch.column(2 + at).slice(done, len(values)) for at in range(len(keep))]
+                kept = [batch.column(place[k]).slice(done, len(values)) for k in keep]
                 done += len(values)
                 out = chain is not None and p[:, -1] >= chain.threshold
                 yield pa.RecordBatch.from_arrays(
@@ -219,5 +220,5 @@ def score(
                     names=[*keep, *outputs, "rejected"],
                 )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
+    fields = [f"`{k}` {rows.schema.fields[place[k]].dataType.simpleString()}" for k in keep]
     return rows.mapInArrow(run, ", ".join([*fields, *[f"`{o}` double" for o in outputs], "rejected boolean"]))
