@@ -105,10 +105,15 @@ def replica_addresses(
     split: Sequence[Column],
     address: Column,
     hot: DataFrame | None = None,
+    replica: Column | None = None,
 ) -> DataFrame:
-    """``id/h1,h2``: the form a shard or a config replica is named by."""
-    hosts = ordered_concat(members, [cluster_id], order, split, address, "hosts", hot=hot)
-    name = F.concat(F.col(cluster_id).cast("string"), F.lit("/"))
+    """``id/h1,h2``: the form a shard or a config replica is named by.
+
+    Where ``replica`` is false for a cluster's members, they are a list of servers or a single one: ``h1,h2,h3``.
+    """
+    named = members.withColumn("_replica", F.lit(True) if replica is None else F.coalesce(replica, F.lit(False)))
+    hosts = ordered_concat(named, [cluster_id, "_replica"], order, split, address, "hosts", hot=hot)
+    name = F.when(F.col("_replica"), F.concat(F.col(cluster_id).cast("string"), F.lit("/"))).otherwise("")
     return hosts.select(
         cluster_id,
         "part",

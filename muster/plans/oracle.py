@@ -191,6 +191,25 @@ SELECT o_orderkey,
        ELSE 'a=' || o_orderstatus || ',b=' || o_orderpriority END AS options
 FROM orders"""
 
+ORACLE["export_options"] = with_(INSTALLS) + """
+, v AS (SELECT *, major * 100 + minor AS mm FROM installs)
+SELECT path, concat_ws(',',
+  CASE WHEN mm > 204 OR (mm = 204 AND (patch > 0 OR stage = 3)) THEN 'authenticationDatabase=admin' END,
+  CASE WHEN mm > 206 OR (mm = 206 AND (patch > 0 OR stage = 3)) THEN 'dumpDbUsersAndRoles=true' END, 'out=/d') AS options
+FROM v"""
+
+ORACLE["restore_version"] = """
+SELECT c_custkey,
+  CASE WHEN c_custkey % 2 = 0 AND c_nationkey % 10 = 7 THEN '3.0.6'
+       ELSE '3.' || (c_custkey % 2) || '.' || (c_nationkey % 10) END AS version,
+  CASE WHEN c_custkey % 2 = 0 AND c_nationkey % 10 = 7 THEN 'EXACT' ELSE 'EXACT_OR_MINOR' END AS preference
+FROM customer"""
+
+ORACLE["config_addresses"] = with_(SERVERS) + """
+SELECT nation, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts,
+  CASE WHEN nation % 2 = 0 THEN nation || '/' ELSE '' END || string_agg(address, ',' ORDER BY server) AS replica_address
+FROM servers GROUP BY nation"""
+
 ORACLE["gate_options"] = with_(INSTALLS) + """
 , v AS (SELECT *, major * 100 + minor AS mm, coalesce(edition, '') = 'enterprise' AS go FROM installs),
 p AS (

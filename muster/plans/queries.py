@@ -314,6 +314,30 @@ def gate_options(spark, sf_dir):
     return gated.select("path", layers.settings_text(col("options")).alias("options"))
 
 
+@query
+def export_options(spark, sf_dir):
+    given = F.create_map(*[F.lit(t) for t in ("authenticationDatabase", "admin", "dumpDbUsersAndRoles", "true", "out", "/d")])
+    docs = fleet.installs(spark, sf_dir).select("path", "version", given.alias("options"))
+    gated = options.gate_options(docs, "options", "version", options.EXPORT_GATES)
+    return gated.select("path", layers.settings_text(col("options")).alias("options"))
+
+
+@query
+def restore_version(spark, sf_dir):
+    version = F.concat(F.lit("3."), col("c_custkey") % 2, F.lit("."), col("c_nationkey") % 10)
+    wanted, preference = ver.restore_request(version)
+    return fleet.table(spark, sf_dir, "customer").select("c_custkey", wanted.alias("version"), preference.alias("preference"))
+
+
+@query
+def config_addresses(spark, sf_dir):
+    """Config servers per nation: a replica in even nations, a plain list in odd ones."""
+    return report.replica_addresses(
+        fleet.servers(spark, sf_dir), "nation", ["server"], [count_pieces(col("server"))], col("address"),
+        replica=col("nation") % 2 == 0,
+    )
+
+
 @query
 def role_options(spark, sf_dir):
     given = F.create_map(
