@@ -1,6 +1,6 @@
 """Byte-level BPE: encoding and decoding by DuckDB queries inside each partition.
 
-A text is cut by the tokenizer's pattern.  Each distinct piece is coded once per worker: its bytes are token-position
+A text is cut by the tokenizer's pattern.  Each distinct piece is coded once: its bytes are token-position
 rows, which a recursive query joins to the merge table; in every round the pair of least rank in each piece is
 contracted, the leftmost first, until no piece holds a pair that merges.  Where no token of lower rank begins or ends
 with the merged token, contracting it can make no pair that goes before it, so all its places in a piece are taken in
@@ -9,8 +9,8 @@ one round (in a run of one token, every other pair from the left); otherwise onl
 Decoding joins the positions of the ids to the vocabulary and puts the bytes together by ordered aggregation.
 
 Null and empty texts have no tokens.  Ids that are null or not in the vocabulary are an error in decoding.  Pieces
-already coded are kept per worker up to ``MEMO`` of them, and texts are taken ``BATCH`` bytes at a time, which bounds
-a worker's memory; nothing is shuffled, so a lost executor costs its own partitions only.
+already coded are kept for the rest of a partition, up to ``MEMO`` of them, and texts are taken ``BATCH`` bytes at a
+time, which bounds a worker's memory; nothing is shuffled, so a lost executor costs its own partitions only.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from muster.llm.common import text_batches, texts
 
-MEMO = 1_000_000
+MEMO = 400_000
 BATCH = 2 << 20
 MEMORY = "200MB"
 #: White space before a blank or line end, or the byte that marks a text's first unit.
@@ -204,8 +204,7 @@ class Coder:
         import pyarrow.compute as pc
 
         if len(self.units) > MEMO or len(self.pieces) > MEMO:
-            self.units.clear()
-            self.pieces.clear()
+            self.forget()
         out = [b""] * len(values)
         whole = {at for at, v in enumerate(values) if DOUBLE.search(v)}
         for at in whole:
@@ -224,6 +223,11 @@ class Coder:
                 out[at] = bytes(packed[a:b])
         return out
 
+    def forget(self) -> None:
+        """Give the memo's memory back: a worker that waits for its next task shares the executor with others."""
+        self.units.clear()
+        self.pieces.clear()
+
     def decode(self, coded: list[bytes]) -> list[bytes]:
         flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
         doc = np.repeat(np.arange(len(coded), dtype=np.int32), [len(c) // 4 for c in coded])
@@ -239,7 +243,7 @@ class Coder:
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> Coder:
-    """Kept by a worker from task to task."""
+    """The vocabulary and merge table, kept by a worker from task to task."""
     return Coder(load_ranks(path), pattern)
 
 
@@ -262,6 +266,7 @@ def code_documents(
                 ],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
+        made.forget()
 
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
 

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z on UTF-8 bytes; bytes above 127 are never touched.
@@ -43,7 +43,7 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_batches(
-    batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20
+    batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20
 ) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """(ids, UTF-8 texts) in pieces of about ``most_bytes``, which bounds a worker's memory; null texts are empty."""
     for batch in batches:
@@ -59,6 +59,8 @@ def text_batches(
                 start, size = at + 1, 0
         if start < len(values):
             yield batch.column(0).slice(start), values[start:]
+        del values, column
+        pa.default_memory_pool().release_unused()
 
 
 def hash_words(words: list[bytes], seed: int) -> np.ndarray:
@@ -70,7 +72,3 @@ def hash_words(words: list[bytes], seed: int) -> np.ndarray:
         (xxhash.xxh3_64_intdigest(w, seed) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary)
     )
     return each[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.uint64)
-
-
-def least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]

@@ -18,8 +18,8 @@ into six bands again, of which three must agree in turn, and so once more.  Belo
 For near copies that differ in more than three bits, ``similar_groups`` takes 256 bits over the distinct shingles: keys are
 ``TABLES`` samples of 24 bits, pairs that differ in more than ``FAR`` bits are dropped, and the shingle sets of the rest
 are compared exactly.  A pair with a Jaccard similarity of 0.9 shares a key with a probability of 0.999 and one of 0.85
-with 0.97.  In a crowded key every member is compared with the key's smallest, so the pairs stay in proportion to the
-members.  Equal texts are grouped by a 128-bit hash whatever their fingerprints.
+with 0.97.  The members of a key are paired if there are ``PAIRED`` of them or fewer; in a larger key each is compared with
+the smallest, which differs from table to table, so the pairs stay in proportion to the members.  Equal texts are grouped by a 128-bit hash whatever their fingerprints.
 
 Rows with a null id take part, but have no id to give to a component: a component of such rows only is null.
 Repeated rows are copies.  An empty table gives an empty result.
@@ -44,6 +44,7 @@ RADIUS = 3
 TABLES = 96
 SAMPLED = 24
 FAR = 64
+PAIRED = 8
 BANDS = 6
 REFERENCES = 12
 CROWD = 64
@@ -259,9 +260,9 @@ def similar_groups(
     keyed = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
     shared = materialise(keyed.join(counts, "key"), "keyed")
-    small = shared.where(F.col("n") <= CROWD)
+    small = shared.where(F.col("n") <= PAIRED)
     small = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key")
-    crowded = shared.where(F.col("n") > CROWD).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    crowded = shared.where(F.col("n") > PAIRED).select(F.col("first").alias("a"), F.col("node").alias("b"))
     met = small.select("a", "b").unionByName(crowded).where("a < b").distinct()
     bits = [nodes.select(F.col("node").alias(end), *[F.col(w).alias(end + w) for w in words]) for end in "ab"]
     apart = reduce(
