@@ -17,7 +17,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     ends = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    edges = materialise(both.where("node <> other").distinct(), "links")
+    given = materialise(both.where("node <> other").distinct(), "links")
+    # Each node's larger neighbours go to its smallest one: what was connected stays so, and a dense group becomes a star.
+    smallest = given.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("to"))
+    star = given.where("other > node").join(smallest, "node").select(F.col("other").alias("node"), F.col("to").alias("other"))
+    star = star.distinct()
+    edges = materialise(
+        star.unionByName(star.select(F.col("other").alias("node"), F.col("node").alias("other"))), "star"
+    )
     labels = materialise(
         edges.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("root")), "labels"
     )
