@@ -15,11 +15,16 @@ A crowded key, with more than ``CROWD`` fingerprints, is not paired: what the fi
 into six bands again, of which three must agree in turn, and so once more.  Below the third cut a key has at most
 2**8 fingerprints, so the work is in proportion to their number however crowded a key is, and no link is lost.
 
-For near copies that differ in more than three bits, ``similar_groups`` takes 256 bits over the distinct shingles: keys are
-``TABLES`` samples of 24 bits, pairs that differ in more than ``FAR`` bits are dropped, and the shingle sets of the rest
-are compared exactly.  A pair with a Jaccard similarity of 0.9 shares a key with a probability of 0.999 and one of 0.85
-with 0.97.  The members of a key are paired if there are ``PAIRED`` of them or fewer; in a larger key each is compared with
-the smallest, which differs from table to table, so the pairs stay in proportion to the members.  Equal texts are grouped by a 128-bit hash whatever their fingerprints.
+For near copies, ``similar_groups`` joins the shingle sets exactly.  A set of n shingles is put in one global order, rare ones
+first, and its first ``n - ceil(similarity * n) + 1`` shingles are its keys: two sets that reach the similarity share a key
+(prefix filter).  Pairs are dropped by their sizes and by the places of the shared key, the rest are compared exactly.
+The order comes from a table of fixed size, which counts the texts per bucket of shingles; any order gives the same
+result, a good one keeps boilerplate out of the keys.
+
+The members of a key with more than ``PAIRED`` texts are compared with one of them, in each round with another one, as
+long as it has members of several groups and pairs of all of them were many; what is then left, all pairs of members of
+different groups, is compared pair by pair.  Members of one group need no link, so families of near copies cost about as
+many comparisons as they have members, and no link between groups is lost.  Equal texts are grouped by a 128-bit hash.
 
 Rows with a null id take part, but have no id to give to a component: a component of such rows only is null.
 Repeated rows are copies.  An empty table gives an empty result.
@@ -27,6 +32,7 @@ Repeated rows are copies.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -41,10 +47,12 @@ from muster.llm.components import components
 from muster.session import materialise
 
 RADIUS = 3
-TABLES = 96
-SAMPLED = 24
-FAR = 64
 PAIRED = 8
+#: Buckets of shingles in the table that orders them.
+BUCKET_BITS = 18
+#: Rounds of one comparison a member at most, and how many pairs a member end them.
+ROUNDS = 6
+FEW = 32
 BANDS = 6
 REFERENCES = 12
 CROWD = 64
@@ -197,27 +205,75 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64))
 
 
-def wide_fingerprint(values: np.ndarray) -> np.ndarray:
-    """256 bits as four numbers: the majority bits of four mixes of each shingle's hash."""
-    out = []
-    for factor in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
-        mixed = values * np.uint64(factor)
-        mixed ^= mixed >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for start in range(0, len(mixed), 1 << 16):
-            part = mixed[start : start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
-    return np.array(out)
+def shingle_classes(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Of each bucket of shingles, how often texts hold one: the bit length of the number; 2**BUCKET_BITS bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BUCKET_BITS, np.int64)
+        for _, values in text_batches(batches):
+            for value in values:
+                np.add.at(seen, (shingle_set(value, shingle) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        at = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
+
+    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for bucket, n in rows.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").sum("n").collect():
+        out[bucket] = n.bit_length()
+    return out
+
+
+def prefix(values: np.ndarray, classes: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the global order, one of which any set that reaches the similarity must share."""
+    if not len(values):
+        return np.zeros(1, np.uint64)
+    order = np.lexsort((values, classes[(values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
+    return values[order[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1]]
+
+
+def may_reach(similarity: float) -> Column:
+    """Whether sets ``a`` and ``b`` of known sizes that share a key at known places can reach the similarity."""
+    size, place = [F.col("a.size"), F.col("b.size")], [F.col("a.pos"), F.col("b.pos")]
+    most = F.least(*place) + 1 + F.least(size[0] - place[0] - 1, size[1] - place[1] - 1)
+    return (F.least(*size) >= similarity * F.greatest(*size) - 1e-9) & (
+        most >= similarity / (1 + similarity) * (size[0] + size[1]) - 1e-9
+    )
+
+
+class Alike:
+    """Exact comparison of candidate pairs by their shingle sets."""
 
+    def __init__(self, rows: DataFrame, marked: DataFrame, nodes: DataFrame, shingle: int, similarity: float):
+        self.rows, self.marked, self.nodes, self.shingle, self.similarity = rows, marked, nodes, shingle, similarity
 
-def sampled_masks() -> list[list[int]]:
-    """For each table the sampled bits, as masks of the four numbers."""
-    rng, masks = np.random.default_rng(24), []
-    for _ in range(TABLES):
-        bits = rng.choice(256, SAMPLED, replace=False).tolist()
-        masks.append([signed(sum(1 << (b % 64) for b in bits if b // 64 == word)) for word in range(4)])
-    return masks
+    def linked(self, met: DataFrame) -> DataFrame:
+        """``a, b``: the pairs of nodes that reach the similarity, among pairs of members of one key."""
+        met = met.where("a.node <> b.node").where(may_reach(self.similarity))
+        met = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+        pairs = materialise(met.distinct(), "pairs")
+
+        # the shingle sets of the texts in a pair only; one row stands for all copies of a text
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        holders = self.nodes.join(wanted, "node").select("node", "h1", "h2", F.col("least").alias("doc_id"))
+        same = F.col("r.h1") == F.col("k.h1")
+        picked = self.rows.alias("r").join(holders.alias("k"), same & (F.col("r.h2") == F.col("k.h2"))
+                                           & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")))
+        shingle = self.shingle
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, values in text_batches(batches):
+                found = [shingle_set(v, shingle).view(np.int64) for v in values]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+        known = materialise(
+            picked.select("k.node", "r.text").mapInArrow(sets, "node bigint, shingles array<bigint>")
+            .dropDuplicates(["node"]), "shingles",
+        )
+        both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+            known.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+        )
+        common = F.size(F.array_intersect("sa", "sb"))
+        found = both.where(common >= F.lit(self.similarity) * (F.size("sa") + F.size("sb") - common))
+        return materialise(found.select("a", "b"), "alike")
 
 
 def similar_groups(
@@ -234,66 +290,63 @@ def similar_groups(
         *text_key(F.col(text_col).cast("string")),
     )
 
+    classes = rows.sparkSession.sparkContext.broadcast(shingle_classes(rows.select("doc_id", "text"), shingle))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for ids, values in text_batches(iter([batch])):
-                bits = np.array([wide_fingerprint(shingle_set(v, shingle)) for v in values], np.int64).reshape(-1, 4)
+                sets = [shingle_set(v, shingle) for v in values]
+                keys = [prefix(v, classes.value, similarity).view(np.int64) for v in sets]
                 yield pa.RecordBatch.from_arrays(
                     [ids, *[batch.column(2 + at).slice(done, len(values)) for at in (0, 1)],
-                     *[pa.array(bits[:, at]) for at in range(4)]],
-                    names=["doc_id", "h1", "h2", "w0", "w1", "w2", "w3"],
+                     pa.array([len(v) for v in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "h1", "h2", "size", "keys"],
                 )
                 done += len(values)
 
-    schema = ", ".join(f"{c} bigint" for c in ("doc_id", "h1", "h2", "w0", "w1", "w2", "w3"))
-    marked = materialise(rows.mapInArrow(run, schema), "wide")
-    words = ["w0", "w1", "w2", "w3"]
+    marked = materialise(
+        rows.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, size bigint, keys array<bigint>"), "prefixes"
+    )
     nodes = materialise(
-        marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *[F.first(w).alias(w) for w in words])
-        .select("h1", "h2", F.col("h1").alias("node"), "least", *words), "nodes",
+        marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+        .select("h1", "h2", F.col("h1").alias("node"), "least", "size", "keys"), "nodes",
     )
-    keys = [
-        F.xxhash64(F.lit(at), *[F.col(w).bitwiseAND(F.lit(m).cast("bigint")) for w, m in zip(words, masks, strict=True)])
-        for at, masks in enumerate(sampled_masks())
-    ]
-    keyed = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(keyed.join(counts, "key"), "keyed")
-    small = shared.where(F.col("n") <= PAIRED)
-    small = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key")
-    crowded = shared.where(F.col("n") > PAIRED).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    met = small.select("a", "b").unionByName(crowded).where("a < b").distinct()
-    bits = [nodes.select(F.col("node").alias(end), *[F.col(w).alias(end + w) for w in words]) for end in "ab"]
-    apart = reduce(
-        lambda x, y: x + y, [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words]
-    )
-    near_pairs = met.join(bits[0], "a").join(bits[1], "b").where(apart <= FAR)
-    pairs = materialise(near_pairs.select("a", "b"), "pairs")
-
-    # the shingle sets of the texts in a pair only; one row stands for all copies of a text
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    holders = nodes.join(wanted, "node").select("node", "h1", "h2")
-    holders = marked.join(holders, ["h1", "h2"]).groupBy("node", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    same = F.col("r.h1") == F.col("k.h1")
-    picked = rows.alias("r").join(holders.alias("k"), same & (F.col("r.h2") == F.col("k.h2"))
-                                  & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, values in text_batches(batches):
-            found = [shingle_set(v, shingle).view(np.int64) for v in values]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    known = materialise(
-        picked.select("k.node", "r.text").mapInArrow(sets, "node bigint, shingles array<bigint>")
-        .dropDuplicates(["node"]), "shingles",
-    )
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        known.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
-    common = F.size(F.array_intersect("sa", "sb"))
-    linked = both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    alike = Alike(rows, marked, nodes, shingle, similarity)
+    small, crowded = shared.where(F.col("n") <= PAIRED), shared.where(F.col("n") > PAIRED)
+    one = F.min_by(F.struct("node", "size", "pos"), "node").alias("a")
+    hubs = crowded.groupBy("key").agg(one)
+    member = F.struct("node", "size", "pos")
+    starred = crowded.select("key", member.alias("b")).join(hubs, "key")
+    paired = small.select("key", member.alias("a")).join(small.select("key", member.alias("b")), "key")
+    linked = alike.linked(paired.select("a", "b").unionByName(starred.select("a", "b")))
     roots = components(linked, "a", "b")
+    for at in range(1, ROUNDS + 2):
+        rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part")).groupBy("key").agg(
+            F.sum("part").alias("all"), F.sum(F.col("part") * F.col("part")).alias("within")
+        ).where(F.col("all") * F.col("all") > F.col("within"))
+        crowded = materialise(rooted.join(mixed.select("key"), "key"), "open")
+        if crowded.isEmpty():
+            break
+        members = crowded.select("key", "root", member.alias("b"))
+        cross = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
+        last = at > ROUNDS or cross[0] <= FEW * cross[1]
+        if last:
+            others = crowded.select("key", F.col("root").alias("other"), member.alias("a"))
+        else:
+            others = crowded.groupBy("key").agg(
+                F.min_by(F.struct("root", member.alias("a")), F.xxhash64("node", F.lit(at))).alias("hub")
+            ).select("key", F.col("hub.root").alias("other"), F.col("hub.a").alias("a"))
+        met = members.join(others, "key").where("root < other" if last else "root <> other")
+        linked = linked.unionByName(alike.linked(met.select("a", "b")))
+        roots = components(linked, "a", "b")
+        if last:
+            break
+        crowded = crowded.drop("root")
     placed = nodes.join(roots, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("least").isNull().alias("unnamed"), "least", "h1", "h2")
     firsts = placed.groupBy("root").agg(F.min(order).alias("best"))

@@ -122,6 +122,37 @@ def test_near_copies_of_one_text(spark):
     assert kept == [0, *range(150, 170)]
 
 
+def test_families_of_near_copies(spark):
+    """Crowded keys whose smallest member is under 0.8 to true pairs: the groups are those of a comparison of all sets."""
+    def sets(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    made = np.random.default_rng(77)
+    family = []
+    for _ in range(3):
+        base = [f"b{x}" for x in made.integers(0, 10**6, 200)]
+        for _ in range(60):
+            copy = list(base)
+            for at in made.choice(200, int(made.integers(3, 9)), replace=False):
+                copy[at] = f"c{made.integers(0, 10**6)}"
+            family.append(copy)
+    boilerplate = [f"p{x}" for x in range(40)]
+    family += [boilerplate + [f"u{x}" for x in made.integers(0, 10**6, 30)] for _ in range(40)]
+    for _ in range(150):  # pairs at exactly 0.8: 80 of 100 shingles
+        base = [f"d{x}" for x in made.integers(0, 10**6, 94)]
+        family += [base, base[:84] + [f"e{x}" for x in made.integers(0, 10**6, 10)]]
+    shingles = [sets(f) for f in family]
+    group = list(range(len(family)))
+    near = [(i, j) for i in range(len(family)) for j in range(i)
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    while any(group[i] != group[j] for i, j in near):
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
+    df = spark.createDataFrame([(i, " ".join(f)) for i, f in enumerate(family)], "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect())
+    assert (len(kept), kept) == (len(set(group)), sorted(set(group)))
+
+
 def test_dropping_near_copies(docs):
     kept = collected(simhash.drop_near_duplicates(docs))
     assert set(kept[0]) == set(docs.columns)
