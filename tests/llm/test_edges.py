@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and columns whose names an operator uses itself."""
 
+import itertools
 import random
 
 import numpy as np
@@ -176,6 +177,30 @@ def test_decontamination(spark, docs):
     assert collected(decontaminate.overlaps(docs.limit(0), items)) == []
 
 
+def test_masks_hit_every_overlap_the_verification_accepts():
+    """All places of up to four substituted words in passages of 13 to 20 words, and every fifth word of 60."""
+    looked = [[at for at, look in enumerate(mask) if look == "1"] for mask in decontaminate.MASKS]
+    span = decontaminate.SPAN
+    accepted = 0
+    patterns = [(n, spoiled) for n in range(13, 21) for k in range(5) for spoiled in itertools.combinations(range(n), k)]
+    for n, spoiled in [*patterns, (60, tuple(range(4, 60, 5)))]:
+        same = [at not in spoiled for at in range(n)]
+        if decontaminate.best_segment(same)[2] >= 13:
+            accepted += 1
+            assert any(all(same[at + i] for i in places) for at in range(n - span + 1) for places in looked), (n, spoiled)
+    assert accepted > 500
+
+
+def test_substituted_words_are_found(spark):
+    passage = [f"p{x}" for x in range(60)]
+    fifth = ["x" if at % 5 == 4 else w for at, w in enumerate(passage)]
+    short = ["x" if at in (4, 9) else w for at, w in enumerate(passage[:15])]
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(passage[:15]))], "item_id bigint, text string")
+    given = spark.createDataFrame([(1, " ".join(fifth)), (2, " ".join(short))], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"], r["matched"]) for r in collected(decontaminate.overlaps(given, items))}
+    assert {(1, 1, 48), (2, 2, 13)} <= found
+
+
 def test_toxicity(docs, labels):
     chain = toxicity.fit(docs, labels)
     rows = collected(toxicity.score(docs, chain))
