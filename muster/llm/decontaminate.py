@@ -15,7 +15,8 @@ The masks lose no overlap.  Of the segment with the best sum every beginning has
 substituted word there are more than 3k matching ones: its first eight words hold at most one substituted word, which
 is none of the first four.  The masks are these four cases.
 
-Null and empty texts have no windows.  Items of fewer than ``SPAN`` words never match.  Overlaps are followed up to
+An item of fewer than ``SPAN`` words is hashed whole, by a mask of its own length that looks at every word, and must stand
+in a document word for word.  Null and empty texts have no windows.  Overlaps are followed up to
 ``AROUND`` words beyond the outermost hits.  Items with equal texts are each reported.  Rows that share an id are one
 document; documents and items without an id are reported under the null id.
 """
@@ -35,6 +36,8 @@ from muster.session import materialise
 #: Which of SPAN neighbouring words a mask looks at.
 MASKS = ("11110111", "11111011", "11111101", "11111110")
 SPAN = 8
+#: Every mask by number: those of SPAN words, then a full one for each length below.
+ALL_MASKS = (*MASKS, *("1" * n for n in range(1, SPAN)))
 AROUND = 64
 TABLE_BITS = 25
 #: Odd factors, one per place in the span.
@@ -50,7 +53,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 def window_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """The hash of each window's looked-at words."""
-    n = len(words) - SPAN + 1
+    n = len(words) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     total = np.zeros(n, np.uint64)
@@ -70,13 +73,15 @@ def bit_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``item_id, at, mask, hash`` of every window of every item."""
+    """``item_id, at, mask, hash`` of every window of every item; an item below ``SPAN`` words has one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, values in text_batches(batches):
             for item, text in zip(ids.to_pylist(), values, strict=True):
                 words = hash_words(words_of(text), 1)
-                for mask, pattern in enumerate(MASKS):
+                for mask, pattern in enumerate(ALL_MASKS):
+                    if len(pattern) < SPAN and len(pattern) != len(words):
+                        continue
                     found = window_hashes(words, pattern)
                     n = len(found)
                     yield pa.RecordBatch.from_arrays(
@@ -109,7 +114,7 @@ def bit_table(windows: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def regions(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray) -> DataFrame:
+def regions(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, masks: list[int]) -> DataFrame:
     """``doc_id, start, words, hits``: stretches of documents around windows whose hash may be a benchmark's."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 4 MB, whatever the tables hold
 
@@ -127,11 +132,12 @@ def regions(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray) -> D
             flat = [w for doc in tokens for w in doc]
             hashed = hash_words(flat, 1)
             found: dict[int, list[tuple[int, int, int]]] = {}
-            for mask, pattern in enumerate(MASKS):
+            for mask in masks:
+                pattern = ALL_MASKS[mask]
                 hashes = window_hashes(hashed, pattern)
                 at = known(hashes)
                 doc = np.searchsorted(ends, at, side="right") - 1
-                inside = at + SPAN <= ends[doc + 1]  # a window must not run into the next text
+                inside = at + len(pattern) <= ends[doc + 1]  # a window must not run into the next text
                 for d, p, h in zip(
                     doc[inside].tolist(), at[inside].tolist(), hashes[at[inside]].view(np.int64).tolist(), strict=True
                 ):
@@ -186,8 +192,9 @@ def overlaps(
     ``item_word`` of the item.
     """
     windows = materialise(item_windows(items, item_id, item_text), "windows")
+    used = sorted(r["mask"] for r in windows.select("mask").distinct().collect())  # as many as ALL_MASKS at most
     near = materialise(
-        regions(docs, doc_id, doc_text, bit_table(windows)).withColumn("region", F.monotonically_increasing_id()),
+        regions(docs, doc_id, doc_text, bit_table(windows), used).withColumn("region", F.monotonically_increasing_id()),
         "regions",
     )
     hits = near.select("region", F.inline("hits")).withColumnRenamed("at", "doc_at")

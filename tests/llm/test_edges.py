@@ -201,6 +201,19 @@ def test_substituted_words_are_found(spark):
     assert {(1, 1, 48), (2, 2, 13)} <= found
 
 
+def test_short_items_are_found_word_for_word(spark):
+    """Items of 1 to 12 words match verbatim, at the ends of a text too, and not with a word changed or left out."""
+    items = [(n, " ".join(f"s{n}x{i}" for i in range(n))) for n in range(1, 13)]
+    given = [(n, f"Some words before: {text.upper()}, and after.") for n, text in items]
+    given += [(100 + n, text) for n, text in items]
+    given += [(200 + n, "other " + text.replace(f"s{n}x{n - 1}", "changed")) for n, text in items]
+    given += [(300, "")]
+    found = collected(decontaminate.overlaps(
+        spark.createDataFrame(given, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    ))
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in found} == {(d + n, n, n) for n in range(1, 13) for d in (0, 100)}
+
+
 def test_toxicity(docs, labels):
     chain = toxicity.fit(docs, labels)
     rows = collected(toxicity.score(docs, chain))
