@@ -1,7 +1,8 @@
 """License notices in texts: an exact set-similarity join of text blocks with notice templates.
 
-A block is a line.  A template matches a block if at least ``threshold`` of the template's distinct words are in the
-block.  Words are put in the order of how many blocks of all documents hold them, rarest first; a block that reaches
+A block is a stretch of a text's words, across line ends, that is at most a fifth longer than the template (``SLACK``): a
+notice may be wrapped, and its words may not be gathered from far apart.  A template matches a block if at least
+``threshold`` of the template's distinct words are in the block; of blocks that overlap the best is taken.  Words are put in the order of how many blocks of all documents hold them, rarest first; a block that reaches
 the threshold must hold one of a template's first ``|T| - ceil(threshold * |T|) + 1`` words in that order (prefix
 filter), must have enough words (length filter), and enough words of the template must be left behind the first
 common one (positional filter).  The filters only drop blocks that cannot reach the threshold; what is left is
@@ -13,6 +14,8 @@ shuffled.  Null texts are empty, and an empty text has no words, blocks or label
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -51,6 +54,9 @@ BLANKED = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or c == 10 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 
+#: How much longer than its template a block may be.
+SLACK = 0.2
+
 SCHEMA = (
     "doc_id bigint, n_words bigint, places array<struct<word:bigint,label:string>>, "
     "blocks array<struct<block:bigint,word:bigint,label:string,containment:double>>"
@@ -91,6 +97,9 @@ class Matcher:
         for at, word in enumerate(sorted(frozenset().union(*sets.values()), key=lambda w: (counts.get(w, 0), w))):
             self.rank[word] = at
         self.needed, self.size, self.words = {}, {}, sets
+        self.width = {
+            label: math.floor((1 + SLACK) * sum(map(len, blocks_of(templates[label].encode())))) for label in sets
+        }
         self.index: dict[bytes, list[tuple[str, int]]] = {}
         for label, words in sets.items():
             ordered = sorted(words, key=self.rank.__getitem__)
@@ -120,14 +129,47 @@ class Matcher:
         return sorted(found)
 
 
+    def find(self, words: list[bytes]) -> list[tuple[int, str, float]]:
+        """(place of the first word, label, containment) of the best blocks of a text, in the order of their places."""
+        if self.prefixes.isdisjoint(words):
+            return []
+        places = [(at, w) for at, w in enumerate(words) if w in self.rank]
+        starts: dict[str, set[int]] = {}
+        for i, (at, word) in enumerate(places):
+            for label, _ in self.index.get(word, ()):
+                known, width, b = self.words[label], self.width[label], i
+                while b >= 0 and places[b][0] > at - width:
+                    if places[b][1] in known:
+                        starts.setdefault(label, set()).add(b)
+                    b -= 1
+        blocks = []
+        for label, firsts in starts.items():
+            known, size = self.words[label], self.size[label]
+            for b in firsts:
+                common, start, end = set(), places[b][0], 0
+                for at, word in itertools.islice(places, b, None):
+                    if at >= start + self.width[label]:
+                        break
+                    if word in known and word not in common:
+                        common.add(word)
+                        end = at + 1
+                if len(common) >= self.needed[label]:
+                    blocks.append((-len(common) / size, -len(common), end - start, start, label))
+        taken: list[tuple[int, int, str, float]] = []
+        for share, _, length, start, label in sorted(blocks):
+            if all(start + length <= a or b <= start or label != other for a, b, other, _ in taken):
+                taken.append((start, start + length, label, -share))
+        return [(start, label, share) for start, _, label, share in sorted(taken)]
+
+
 def scan_licenses(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
     threshold: float = 0.8, phrases: dict[str, str] | None = None,
 ) -> DataFrame:
     """A row per document: its words, every place of a phrase, and every block with every template it reaches.
 
-    ``places`` holds the word position and label of each phrase, ``blocks`` the line, the position of its first
-    word, the template and its containment.
+    ``places`` holds the word position and label of each phrase, ``blocks`` the line and the position of the block's
+    first word, the template and its containment.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
@@ -141,12 +183,11 @@ def scan_licenses(
             n_words, places, blocks = [], [], []
             for text in values:
                 lines = blocks_of(text)
-                start, hits = 0, []
-                for at, line in enumerate(lines):
-                    if matcher and line:
-                        for label, share in matcher.match(line):
-                            hits.append({"block": at, "word": start, "label": label, "containment": share})
-                    start += len(line)
+                ends = list(itertools.accumulate(map(len, lines)))
+                hits = [
+                    {"block": bisect.bisect_right(ends, at), "word": at, "label": label, "containment": share}
+                    for at, label, share in (matcher.find([w for line in lines for w in line]) if matcher else ())
+                ]
                 joined = b" %s " % b" ".join([b" ".join(x) for x in lines if x])
                 found = []
                 for phrase, label in wanted:
@@ -154,7 +195,7 @@ def scan_licenses(
                         {"word": joined.count(b" ", 0, m.start()), "label": label}
                         for m in re.finditer(b"(?=" + re.escape(phrase) + b")", joined)
                     ] if phrase in joined else []
-                n_words.append(start)
+                n_words.append(ends[-1])
                 places.append(found)
                 blocks.append(hits)
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -348,6 +349,20 @@ def test_licenses(docs):
     assert all(not r["blocks"] for r in collected(licenses.scan_licenses(docs, templates={})))
 
 
+def test_wrapped_notices(spark):
+    """Every template, wrapped at 72 and at 30 columns behind comment signs, within other words."""
+    rows, labels = [], list(licenses.TEMPLATES)
+    for at, label in enumerate(labels):
+        for more, columns in ((0, 72), (100, 30)):
+            lines = textwrap.wrap("Some file. " + licenses.TEMPLATES[label], columns)
+            rows.append((at + more, "first line\n" + "\n".join(" * " + x for x in lines) + "\n\nint main"))
+    found = collected(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for r in found:
+        label = labels[r["doc_id"] % 100]
+        assert (label, 1.0) in [(b["label"], b["containment"]) for b in r["blocks"]]
+        assert all(b["block"] >= 1 and b["word"] >= 4 for b in r["blocks"] if b["label"] == label)
+
+
 def test_license_join_against_all_pairs():
     """The filters lose no block that meets the threshold."""
     vocabulary = [f"w{i}".encode() for i in range(30)]
