@@ -2,7 +2,9 @@
 
 A block is a stretch of a text's words, across line ends, that is at most a fifth longer than the template (``SLACK``): a
 notice may be wrapped, and its words may not be gathered from far apart.  A template matches a block if at least
-``threshold`` of the template's distinct words are in the block; of blocks that overlap the best is taken.  Words are put in the order of how many blocks of all documents hold them, rarest first; a block that reaches
+``threshold`` of the template's distinct words are in the block; of blocks that overlap the best is taken, whatever
+their templates.  A block must hold the template's ``TELLING`` words and none of its ``BARRED`` ones, by which notices that
+share most of their words differ.  Words are put in the order of how many blocks of all documents hold them, rarest first; a block that reaches
 the threshold must hold one of a template's first ``|T| - ceil(threshold * |T|) + 1`` words in that order (prefix
 filter), must have enough words (length filter), and enough words of the template must be left behind the first
 common one (positional filter).  The filters only drop blocks that cannot reach the threshold; what is left is
@@ -54,6 +56,19 @@ BLANKED = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or c == 10 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 
+#: Words of a template without which a block is another licence's notice.
+TELLING = {
+    "apache-notice": {"apache"}, "mit-notice": {"mit"}, "gpl-notice": {"gnu", "general"}, "gpl-version": {"gnu", "general"},
+    "lgpl-notice": {"lesser"}, "mpl-notice": {"mozilla"}, "cc-by-nc": {"cc", "by", "nc"}, "cc-by-sa": {"cc", "by", "sa"},
+    "cc-by": {"creative", "commons", "attribution"}, "cc0": {"waived"}, "all-rights": {"rights", "reserved"},
+}
+
+#: Words that make a block another licence's notice.
+BARRED = {
+    "gpl-notice": {"lesser", "affero"}, "gpl-version": {"lesser", "affero"},
+    "cc-by": {"noncommercial", "sharealike", "noderivatives", "noderivs"},
+}
+
 #: How much longer than its template a block may be.
 SLACK = 0.2
 
@@ -91,7 +106,13 @@ def word_counts(df: DataFrame, templates: dict[str, str]) -> dict[bytes, int]:
 class Matcher:
     """Prefix index over the templates in global word order."""
 
-    def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: float):
+    def __init__(
+        self, templates: dict[str, str], counts: dict[bytes, int], threshold: float,
+        telling: dict[str, set[str]] | None = None, barred: dict[str, set[str]] | None = None,
+    ):
+        self.telling, self.barred = (
+            {label: {w.encode() for w in words} for label, words in (given or {}).items()} for given in (telling, barred)
+        )
         self.rank = {}
         sets = template_sets(templates)
         for at, word in enumerate(sorted(frozenset().union(*sets.values()), key=lambda w: (counts.get(w, 0), w))):
@@ -153,11 +174,14 @@ class Matcher:
                     if word in known and word not in common:
                         common.add(word)
                         end = at + 1
-                if len(common) >= self.needed[label]:
+                if (
+                    len(common) >= self.needed[label] and common >= self.telling.get(label, set())
+                    and self.barred.get(label, set()).isdisjoint(words[start:end])
+                ):
                     blocks.append((-len(common) / size, -len(common), end - start, start, label))
         taken: list[tuple[int, int, str, float]] = []
         for share, _, length, start, label in sorted(blocks):
-            if all(start + length <= a or b <= start or label != other for a, b, other, _ in taken):
+            if all(start + length <= a or b <= start for a, b, _, _ in taken):
                 taken.append((start, start + length, label, -share))
         return [(start, label, share) for start, _, label, share in sorted(taken)]
 
@@ -171,6 +195,7 @@ def scan_licenses(
     ``places`` holds the word position and label of each phrase, ``blocks`` the line and the position of the block's
     first word, the template and its containment.
     """
+    telling, barred = (TELLING, BARRED) if templates is None else ({}, {})
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
     rows = texts(df, id_col, text_col)
@@ -178,7 +203,7 @@ def scan_licenses(
     wanted = [(b" %s " % " ".join(p.split()).encode(), label) for p, label in phrases.items()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, counts, threshold) if templates else None
+        matcher = Matcher(templates, counts, threshold, telling, barred) if templates else None
         for ids, values in text_batches(batches):
             n_words, places, blocks = [], [], []
             for text in values:

@@ -363,6 +363,22 @@ def test_wrapped_notices(spark):
         assert all(b["block"] >= 1 and b["word"] >= 4 for b in r["blocks"] if b["label"] == label)
 
 
+def test_near_notices_are_told_apart(spark):
+    lesser = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+              "General Public License as published by the Free Software Foundation")
+    scattered = " word ".join(w for w in licenses.TEMPLATES["all-rights"].split())
+    cases = [
+        ("Licensed under CC BY-NC 4.0.", ["cc-by-nc"]), ("Licensed under CC BY-SA 4.0.", ["cc-by-sa"]),
+        ("Licensed under CC BY-ND 4.0.", []), ("Released under the BSD License", []), (lesser, ["lgpl-notice"]),
+        ("the GNU Lesser General Public License, version 3", []), (scattered, []),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", []),
+        *[(text, [label]) for label, text in licenses.TEMPLATES.items()],
+    ]
+    given = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id bigint, text string")
+    for r in collected(licenses.scan_licenses(given)):
+        assert [b["label"] for b in r["blocks"]] == cases[r["doc_id"]][1], cases[r["doc_id"]][0]
+
+
 def test_license_join_against_all_pairs():
     """The filters lose no block that meets the threshold."""
     vocabulary = [f"w{i}".encode() for i in range(30)]
