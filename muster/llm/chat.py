@@ -108,10 +108,11 @@ def windows(
         F.first("conv_id").alias("conv_id"), F.first("system").alias("system"), F.sort_array(F.collect_list(each)).alias("turns")
     )
 
-    def new(t: Column, longer: bool) -> Column:
-        return t["new"] & (t["at"] >= 0) & (t["long"] if longer else ~t["long"])
+    def new(t: Column) -> Column:
+        return t["new"] & (t["at"] >= 0)
 
-    plain, alone = (F.filter("turns", lambda t, x=x: new(t, x)) for x in (False, True))
+    plain = F.filter("turns", lambda t: new(t) & ~t["long"])
+    alone = F.filter("turns", lambda t: new(t) & t["long"])
     only_system = ~F.exists("turns", lambda t: t["at"] >= 0)
     sides = F.filter(F.array(plain, alone), lambda w: F.size(w) > 0)
     cut = met.withColumn("own", F.explode(F.when(only_system, F.array(plain)).otherwise(sides)))

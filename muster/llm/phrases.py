@@ -108,7 +108,7 @@ class Frequent:
         self.bits = min(max(int(16 * size - 1).bit_length(), FEWEST_BITS), MOST_BITS)
         slot = F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "phrase")), F.lit(1 << self.bits))
         words = counted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(
-            F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.pmod("slot", F.lit(32)).cast("int"))).alias("mask")
+            F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int))) AS mask")
         ).toArrow()  # at most 2**23 rows, whatever the number of phrases
         self.table = np.zeros((1 << self.bits) // 32, np.uint32)
         self.table[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
@@ -151,8 +151,8 @@ def extended(relation: DataFrame, frequent: Frequent) -> DataFrame:
 
 def counted(relation: DataFrame) -> DataFrame:
     """``lang, phrase, f`` of every phrase of a level."""
-    each = relation.select("lang", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("counts").alias("n"))))
-    return each.toDF("lang", "phrase", "n").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    each = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts"))).toDF("lang", "phrase", "n")
+    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def scored(candidates: DataFrame, counts: DataFrame) -> DataFrame:

@@ -196,14 +196,14 @@ WITH given AS (
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
 ), led AS (SELECT conv_id, cost AS system_cost, size AS system_size FROM summed WHERE nth = 1 AND role = 'system'),
 turns AS (
-  SELECT s.*, s.before - coalesce(system_cost, 0) AS at, coalesce(system_size, 0) AS system_size
+  SELECT s.*, s.before - coalesce(system_cost, 0) AS place, coalesce(system_size, 0) AS system_size
   FROM summed s LEFT JOIN led ON s.conv_id IS NOT DISTINCT FROM led.conv_id WHERE NOT (nth = 1 AND role = 'system')
 ), own AS (
-  SELECT conv_id, min(at) AS start, sum(size) AS size, any_value(system_size) AS system_size
-  FROM turns GROUP BY conv_id, at // 384, cost > 384
+  SELECT conv_id, min(place) AS start, sum(size) AS size, any_value(system_size) AS system_size
+  FROM turns GROUP BY conv_id, place // 384, cost > 384
 ), repeated AS (
   SELECT o.conv_id, o.start, sum(t.size) AS size
-  FROM own o JOIN turns t ON t.conv_id IS NOT DISTINCT FROM o.conv_id AND t.at < o.start AND t.at >= o.start - 256 GROUP BY ALL
+  FROM own o JOIN turns t ON t.conv_id IS NOT DISTINCT FROM o.conv_id AND t.place < o.start AND t.place >= o.start - 256 GROUP BY ALL
 ), formatted AS (
   SELECT o.conv_id, sum(o.size + o.system_size + coalesce(r.size, 0)) AS size
   FROM own o LEFT JOIN repeated r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.start = o.start GROUP BY o.conv_id

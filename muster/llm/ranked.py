@@ -231,7 +231,7 @@ def search(
     found = []
     for block in blocks(postings, block_bytes):
         counted = materialise(bags(rows, block), "bags")
-        n_docs, n_terms = counted.agg(F.count_if("n > 0"), F.sum("n")).first()
+        n_docs, n_terms = counted.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
         if not n_docs:
             continue
         weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(df) + 1))) for df in holding(counted, block)], np.int64)
