@@ -15,16 +15,7 @@ A crowded key, with more than ``CROWD`` fingerprints, is not paired: what the fi
 into six bands again, of which three must agree in turn, and so once more.  Below the third cut a key has at most
 2**8 fingerprints, so the work is in proportion to their number however crowded a key is, and no link is lost.
 
-For near copies, ``similar_groups`` joins the shingle sets exactly.  A set of n shingles is put in one global order, rare ones
-first, and its first ``n - ceil(similarity * n) + 1`` shingles are its keys: two sets that reach the similarity share a key
-(prefix filter).  Pairs are dropped by their sizes and by the places of the shared key, the rest are compared exactly.
-The order comes from a table of fixed size, which counts the texts per bucket of shingles; any order gives the same
-result, a good one keeps boilerplate out of the keys.
-
-The members of a key with more than ``PAIRED`` texts are compared with one of them, in each round with another one, as
-long as it has members of several groups and pairs of all of them were many; what is then left, all pairs of members of
-different groups, is compared pair by pair.  Members of one group need no link, so families of near copies cost about as
-many comparisons as they have members, and no link between groups is lost.  Equal texts are grouped by a 128-bit hash.
+``keep_one`` keeps one document of each component.
 
 Rows with a null id take part, but have no id to give to a component: a component of such rows only is null.
 Repeated rows are copies.  An empty table gives an empty result.
@@ -32,7 +23,6 @@ Repeated rows are copies.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -41,18 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from muster.llm.common import LOWER, text_batches, texts
 from muster.llm.components import components
+from muster.operators.skew import join_per_key
 from muster.session import materialise
 
 RADIUS = 3
-PAIRED = 8
-#: Buckets of shingles in the table that orders them.
-BUCKET_BITS = 18
-#: Rounds of one comparison a member at most, and how many pairs a member end them.
-ROUNDS = 6
-FEW = 32
 BANDS = 6
 REFERENCES = 12
 CROWD = 64
@@ -176,209 +162,41 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest id reachable over links."""
     rows = materialise(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    return rows.join(component_of(rows), "fp").select("doc_id", "fp", "component_id")
-
-
-def component_of(rows: DataFrame) -> DataFrame:
-    """``fp, component_id`` for every distinct fingerprint."""
-    first = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(first.select("fp")), "a", "b").withColumnRenamed("node", "fp")
-    linked = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = first.join(roots, "fp", "left").join(linked, "root", "left")
-    return materialise(joined.select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
-
-
-def text_key(text: Column) -> list[Column]:
-    """128 bits of a text, as two numbers."""
-    whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(1)).alias("h2")]
-
-
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct XXH64 values of the shingles; no words, no shingles."""
-    import xxhash
-
-    words = text.translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    parts = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64))
-
-
-def shingle_classes(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Of each bucket of shingles, how often texts hold one: the bit length of the number; 2**BUCKET_BITS bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BUCKET_BITS, np.int64)
-        for _, values in text_batches(batches):
-            for value in values:
-                np.add.at(seen, (shingle_set(value, shingle) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-        at = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
-
-    out = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for bucket, n in rows.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").sum("n").collect():
-        out[bucket] = n.bit_length()
-    return out
-
-
-def prefix(values: np.ndarray, classes: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in the global order, one of which any set that reaches the similarity must share."""
-    if not len(values):
-        return np.zeros(1, np.uint64)
-    order = np.lexsort((values, classes[(values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
-    return values[order[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1]]
-
-
-def may_reach(similarity: float) -> Column:
-    """Whether sets ``a`` and ``b`` of known sizes that share a key at known places can reach the similarity."""
-    size, place = [F.col("a.size"), F.col("b.size")], [F.col("a.pos"), F.col("b.pos")]
-    most = F.least(*place) + 1 + F.least(size[0] - place[0] - 1, size[1] - place[1] - 1)
-    return (F.least(*size) >= similarity * F.greatest(*size) - 1e-9) & (
-        most >= similarity / (1 + similarity) * (size[0] + size[1]) - 1e-9
-    )
-
-
-class Alike:
-    """Exact comparison of candidate pairs by their shingle sets."""
+    named = component_of(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
+    return join_per_key(rows, named.withColumnRenamed("first", "component_id"), ["fp"]).select("doc_id", "fp", "component_id")
 
-    def __init__(self, rows: DataFrame, marked: DataFrame, nodes: DataFrame, shingle: int, similarity: float):
-        self.rows, self.marked, self.nodes, self.shingle, self.similarity = rows, marked, nodes, shingle, similarity
 
-    def linked(self, met: DataFrame) -> DataFrame:
-        """``a, b``: the pairs of nodes that reach the similarity, among pairs of members of one key."""
-        met = met.where("a.node <> b.node").where(may_reach(self.similarity))
-        met = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-        pairs = materialise(met.distinct(), "pairs")
+def component_of(distinct: DataFrame, least: str) -> DataFrame:
+    """``fp`` and, under the name ``least``, the smallest such value in its component, for every distinct fingerprint.
 
-        # the shingle sets of the texts in a pair only; one row stands for all copies of a text
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        holders = self.nodes.join(wanted, "node").select("node", "h1", "h2", F.col("least").alias("doc_id"))
-        same = F.col("r.h1") == F.col("k.h1")
-        picked = self.rows.alias("r").join(holders.alias("k"), same & (F.col("r.h2") == F.col("k.h2"))
-                                           & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")))
-        shingle = self.shingle
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, values in text_batches(batches):
-                found = [shingle_set(v, shingle).view(np.int64) for v in values]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-        known = materialise(
-            picked.select("k.node", "r.text").mapInArrow(sets, "node bigint, shingles array<bigint>")
-            .dropDuplicates(["node"]), "shingles",
-        )
-        both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
-            known.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
-        )
-        common = F.size(F.array_intersect("sa", "sb"))
-        found = both.where(common >= F.lit(self.similarity) * (F.size("sa") + F.size("sb") - common))
-        return materialise(found.select("a", "b"), "alike")
+    Only linked fingerprints are joined by component; the others, most of a corpus, keep the value they have.
+    """
+    first = materialise(distinct.select("fp", F.col(least).alias("value")), "distinct")
+    roots = components(links(first.select("fp")), "a", "b").withColumnRenamed("node", "fp")
+    rooted = materialise(first.join(roots, "fp", "left"), "rooted")
+    linked = rooted.where("root is not null")
+    smallest = linked.groupBy("root").agg(F.min("value").alias("least"))
+    met = join_per_key(linked, smallest, ["root"]).select("fp", F.col("least").alias(least))
+    return materialise(met.unionByName(rooted.where("root is null").select("fp", F.col("value").alias(least))), "components")
 
 
-def similar_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """``doc_id, h1, h2, root, first``: of every row its text's hash, its group, and whether it is the group's first.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``df`` with one row of each component: of those with the smallest id the first as written; rows without an id last.
 
-    Texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least ``similarity``;
-    texts without words are alike.  The first of a group is the text with the smallest id, and of its rows the one with
-    that id; a text of which no row has an id comes after all others.
+    The rows are written once with their fingerprint and a number, so a row is known by that number whatever its columns
+    hold, and only numbers are compared.
     """
-    rows = df.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        *text_key(F.col(text_col).cast("string")),
+    whole = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).cast("string").alias("text")
     )
 
-    classes = rows.sparkSession.sparkContext.broadcast(shingle_classes(rows.select("doc_id", "text"), shingle))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = 0
-            for ids, values in text_batches(iter([batch])):
-                sets = [shingle_set(v, shingle) for v in values]
-                keys = [prefix(v, classes.value, similarity).view(np.int64) for v in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *[batch.column(2 + at).slice(done, len(values)) for at in (0, 1)],
-                     pa.array([len(v) for v in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "h1", "h2", "size", "keys"],
-                )
-                done += len(values)
-
-    marked = materialise(
-        rows.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, size bigint, keys array<bigint>"), "prefixes"
-    )
-    nodes = materialise(
-        marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-        .select("h1", "h2", F.col("h1").alias("node"), "least", "size", "keys"), "nodes",
-    )
-    keyed = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(keyed.join(counts, "key"), "keyed")
-    alike = Alike(rows, marked, nodes, shingle, similarity)
-    small, crowded = shared.where(F.col("n") <= PAIRED), shared.where(F.col("n") > PAIRED)
-    one = F.min_by(F.struct("node", "size", "pos"), "node").alias("a")
-    hubs = crowded.groupBy("key").agg(one)
-    member = F.struct("node", "size", "pos")
-    starred = crowded.select("key", member.alias("b")).join(hubs, "key")
-    paired = small.select("key", member.alias("a")).join(small.select("key", member.alias("b")), "key")
-    linked = alike.linked(paired.select("a", "b").unionByName(starred.select("a", "b")))
-    roots = components(linked, "a", "b")
-    for at in range(1, ROUNDS + 2):
-        rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part")).groupBy("key").agg(
-            F.sum("part").alias("all"), F.sum(F.col("part") * F.col("part")).alias("within")
-        ).where(F.col("all") * F.col("all") > F.col("within"))
-        crowded = materialise(rooted.join(mixed.select("key"), "key"), "open")
-        if crowded.isEmpty():
-            break
-        members = crowded.select("key", "root", member.alias("b"))
-        cross = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
-        last = at > ROUNDS or cross[0] <= FEW * cross[1]
-        if last:
-            others = crowded.select("key", F.col("root").alias("other"), member.alias("a"))
-        else:
-            others = crowded.groupBy("key").agg(
-                F.min_by(F.struct("root", member.alias("a")), F.xxhash64("node", F.lit(at))).alias("hub")
-            ).select("key", F.col("hub.root").alias("other"), F.col("hub.a").alias("a"))
-        met = members.join(others, "key").where("root < other" if last else "root <> other")
-        linked = linked.unionByName(alike.linked(met.select("a", "b")))
-        roots = components(linked, "a", "b")
-        if last:
-            break
-        crowded = crowded.drop("root")
-    placed = nodes.join(roots, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root"))
-    order = F.struct(F.col("least").isNull().alias("unnamed"), "least", "h1", "h2")
-    firsts = placed.groupBy("root").agg(F.min(order).alias("best"))
-    chosen = placed.join(firsts, "root").select(
-        "h1", "h2", "least", "root", ((F.col("h1") == F.col("best.h1")) & (F.col("h2") == F.col("best.h2"))).alias("leads")
-    )
-    return marked.select("doc_id", "h1", "h2").join(materialise(chosen, "roots"), ["h1", "h2"]).select(
-        "doc_id", "h1", "h2", "root", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("least"))).alias("first")
-    )
-
-
-def drop_near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """``df`` with one row of each group of similar texts: the one with the smallest id, repeated rows once."""
-    rows = materialise(similar_groups(df, id_col, text_col, shingle, similarity), "groups")
-    keys = materialise(
-        rows.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("stays")), "decisions"
-    )
-    key = ["_d_id", "_d_1", "_d_2"]
-    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
-                      F.col(id_col).cast("bigint").alias("_d_id"),
-                      *[c.alias(n) for c, n in zip(text_key(F.col(text_col).cast("string")), key[1:], strict=True)])
-
-    def on(other: DataFrame, how: str, left: DataFrame) -> DataFrame:
-        other = other.select(*[F.col(c).alias(f"_o{at}") for at, c in enumerate(("doc_id", "h1", "h2"))])
-        same = F.col("_d_id").eqNullSafe(F.col("_o0")) & (F.col("_d_1") == F.col("_o1")) & (F.col("_d_2") == F.col("_o2"))
-        return left.join(other, same, how)
-
-    kept = on(keys.where(~F.col("stays")), "left_anti", named)
-    repeated = keys.where("stays and n > 1")
-    if not repeated.isEmpty():
-        once = on(repeated, "left_semi", kept).dropDuplicates(key)
-        kept = on(repeated, "left_anti", kept).unionByName(once)
-    return kept.select("_row.*")
+            fps = [fingerprint(v, shingle) for _, values in text_batches(iter([batch])) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["row", "fp"])
+
+    marked = whole.mapInArrow(run, StructType([whole.schema["row"], StructField("fp", LongType())]))
+    rows = materialise(marked.withColumn("at", F.monotonically_increasing_id()), "marked")
+    order = F.struct(F.col(f"row.`{id_col}`").isNull().alias("unnamed"), F.col(f"row.`{id_col}`").alias("id"), "at")
+    kept = component_of(rows.groupBy("fp").agg(F.min(order).alias("best")), "best").select("best.at").distinct()
+    return rows.join(kept, "at", "left_semi").select("row.*")

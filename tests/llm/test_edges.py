@@ -114,53 +114,48 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 1999: 1999, 2000: 1999}
 
 
-def test_near_copies_of_one_text(spark):
-    """More near copies than a key may hold before it counts as crowded: one of them stays."""
-    base = [rng.choice(WORDS) for _ in range(300)]
-    copies = [" ".join(base[:k] + [f"w{k}"] + base[k + 1 :]) for k in range(150)]
-    others = [" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(20)]
-    df = spark.createDataFrame(list(enumerate(copies + others)), "doc_id bigint, text string")
-    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect())
-    assert kept == [0, *range(150, 170)]
-
-
-def test_families_of_near_copies(spark):
-    """Crowded keys whose smallest member is under 0.8 to true pairs: the groups are those of a comparison of all sets."""
-    def sets(words):
-        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
-
+def grouped_by_bits(values, radius=3):
+    """The smallest position reachable over links, by comparing all pairs."""
+    fps = np.array(values, np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    group = np.arange(len(fps))
+    while True:
+        new = np.array([group[row].min() for row in near])
+        if (new == group).all():
+            return group.tolist()
+        group = new
+
+
+def test_keeping_one_of_each_component(spark):
+    """Copies, near copies and families of them: what stays is the smallest of each group of a comparison of all pairs."""
     made = np.random.default_rng(77)
     family = []
     for _ in range(3):
         base = [f"b{x}" for x in made.integers(0, 10**6, 200)]
-        for _ in range(60):
+        family += [base] * 3
+        for _ in range(40):
             copy = list(base)
-            for at in made.choice(200, int(made.integers(3, 9)), replace=False):
+            for at in made.choice(200, int(made.integers(1, 9)), replace=False):
                 copy[at] = f"c{made.integers(0, 10**6)}"
             family.append(copy)
-    boilerplate = [f"p{x}" for x in range(40)]
-    family += [boilerplate + [f"u{x}" for x in made.integers(0, 10**6, 30)] for _ in range(40)]
-    for _ in range(150):  # pairs at exactly 0.8: 80 of 100 shingles
-        base = [f"d{x}" for x in made.integers(0, 10**6, 94)]
-        family += [base, base[:84] + [f"e{x}" for x in made.integers(0, 10**6, 10)]]
-    shingles = [sets(f) for f in family]
-    group = list(range(len(family)))
-    near = [(i, j) for i in range(len(family)) for j in range(i)
-            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
-    while any(group[i] != group[j] for i, j in near):
-        for i, j in near:
-            group[i] = group[j] = min(group[i], group[j])
-    df = spark.createDataFrame([(i, " ".join(f)) for i, f in enumerate(family)], "doc_id bigint, text string")
-    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect())
-    assert (len(kept), kept) == (len(set(group)), sorted(set(group)))
+    family += [[rng.choice(WORDS) for _ in range(80)] for _ in range(20)]
+    texts = [" ".join(f) for f in family]
+    group = grouped_by_bits([simhash.fingerprint(t.encode()) % (1 << 64) for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(df).collect())
+    assert kept == sorted(set(group)) and len(kept) < len(texts)
 
 
 def test_dropping_near_copies(docs):
-    kept = collected(simhash.drop_near_duplicates(docs))
-    assert set(kept[0]) == set(docs.columns)
-    got = sorted(((r["doc_id"] or -1), (r["text"] or "")[:12]) for r in kept)
-    assert [g[0] for g in got] == [1, 4, 5, 9, 9, 10, 11, 12, 13, 14]
-    assert collected(simhash.drop_near_duplicates(docs.limit(0))) == []
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = text_rows()
+    group = grouped_by_bits([simhash.fingerprint((r[1] or "").encode()) % (1 << 64) for r in rows])
+    want = [min(r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None) for g in set(group)]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    nameless = docs.where("doc_id is null and text is null")
+    assert simhash.keep_one(nameless.unionByName(nameless)).count() == 1
+    assert collected(simhash.keep_one(docs.limit(0))) == []
 
 
 def test_decontamination(spark, docs):
