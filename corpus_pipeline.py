@@ -2,8 +2,8 @@
 
 Each stage takes all that its predecessor kept and returns the columns of documents, whatever they are; the last one
 returns the tokens.  A stage decides by the text, so null or repeated ids are no special case: two rows with one id and
-different texts are judged apart, and of rows alike in id and text one stays.  Null texts are empty; empty texts are
-copies of one another.  An empty table passes through.
+different texts are judged apart, and of rows with one text one stays.  Null texts are empty; empty texts are copies of
+one another.  An empty table passes through.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts or of five-word shingle sets with a similarity of 0.8 or more."""
+    """One document of each group of texts whose fingerprints are linked: three-word shingles, three bits apart at most."""
     ready(spark)
-    return simhash.drop_near_duplicates(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that overlap with an item of the benchmark."""
+    """Without the documents that overlap with an item of the benchmark; a row is known by its number in a written table."""
     ready(spark)
-    named = packed(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = materialise(packed(docs).withColumn("key", F.monotonically_increasing_id()), "named")
     leaks = decontaminate.overlaps(named.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return unpacked(named.join(leaks.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti"), docs)
 
