@@ -12,10 +12,11 @@ left out, so "same piece, next position" is "place + 1".  A level
 * counts the groups, that is the phrases, first within a part of the relation, then over all of it,
 * and semi-joins the occurrences with the frequent groups before the next level extends them.
 
-A part of the relation holds the occurrences in up to 2,000 documents of one language, as a row of arrays with the part's
-own numbers for phrases.  A piece lies within a document, so parts join among themselves and only counts are
-shuffled.  The semi-join reads the frequent phrases from a table of bits by hash, whose size has an upper bound: a phrase it
-lets through by mistake is counted as any other and falls out by its count, so results do not depend on it.
+A part of the relation holds the occurrences in about ``PART_BYTES`` of text as they lie in a table's split, by language,
+with the part's own numbers for words and phrases.  A piece lies within a document and a document within a part, so parts
+join among themselves; only counts are shuffled, one row per phrase and part.  The semi-join reads the frequent phrases from a
+table of bits by hash, whose size has an upper bound: a phrase it lets through by mistake is counted as any other and
+falls out by its count, so results do not depend on it.
 
 A phrase of 2 to ``longest`` words with ``a >= least`` occurrences is a candidate.  Its score is the smallest
 ``2000000 * a div (l + r)`` over its cuts in two phrases, which occur ``l`` and ``r`` times; ties go to the shortest first part.  A candidate
@@ -27,7 +28,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,58 +46,76 @@ SHARE = 80
 BEST = 2000
 #: Bits of the table of frequent phrases: 16 for each of them, within these bounds (8 KiB and 32 MiB).
 FEWEST_BITS, MOST_BITS = 16, 28
+PART_BYTES = 8 << 20
+#: Rows handed back at once.
+ROWS = 1 << 16
 
-_CUT = re.compile(rb"[.,;:!?\x0A-\x0D]+")
-#: A word that no text can hold stands between pieces.
+#: A-Z become a-z, all that ends a piece becomes one byte; a word cannot hold it, so it can stand between pieces.
 _BETWEEN = b"."
+_CUT = bytes(46 if b in b".,;:!?\x0A\x0B\x0C\x0D" else b for b in LOWER)
+
+#: Rows with a phrase: ``n`` occurrences in one part.  The row without one holds the part: ``n`` its words in all, ``gaps``
+#: the differences of rising places, ``codes`` the phrase at each of them, ``words`` its words joined by blanks, ``tuples``
+#: which of them a phrase consists of; numbers have 32 bits.
+LEVEL = "lang string, phrase string, n bigint, gaps binary, codes binary, words binary, tuples binary"
+
+
+def _part(lang: str, places: np.ndarray, codes: np.ndarray, words: pa.Array, tuples: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of one part: its phrases counted, then the part itself; words no phrase uses are left out."""
+    used, numbers = np.unique(tuples, return_inverse=True)
+    words, tuples = words.take(pa.array(used)), numbers.reshape(tuples.shape)
+    phrases = spelled(words, tuples).cast(pa.string())
+    names = LEVEL.replace(",", "").split()[::2]
+    for start in range(0, len(phrases), ROWS):
+        some = phrases.slice(start, ROWS)
+        empty = pa.nulls(len(some), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(some)), some, pa.array(counts[start : start + ROWS].astype(np.int64)), *[empty] * 4], names=names
+        )
+    packed = [np.diff(places, prepend=0), codes, None, tuples]
+    held = [b" ".join(words.to_pylist()) if x is None else x.astype("<i4").tobytes() for x in packed]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([lang]), pa.array([None], pa.string()), pa.array([len(codes)], pa.int64()), *[pa.array([x], pa.binary()) for x in held]],
+        names=names,
+    )
 
-#: ``gaps``: differences of rising places; ``codes``: the phrase there, a number into ``phrases``; ``last``: the number in
-#: ``words`` of a phrase's last word; ``counts``: occurrences in this part.
-PART = (
-    "lang string, gaps array<int>, codes array<int>, words array<string>, phrases array<string>, last array<int>, counts array<bigint>"
-)
-
-
-def _ints(values: np.ndarray) -> pa.Array:
-    return pa.array([values.astype(np.int32)], pa.list_(pa.int32()))
-
-
-def _part(lang: str, places: np.ndarray, codes: np.ndarray, words: pa.Array, phrases: pa.Array, last: np.ndarray,
-          counts: np.ndarray) -> pa.RecordBatch:
-    def texts(values: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(pa.string()))
 
-    columns = [
-        pa.array([lang]), _ints(np.diff(places, prepend=0)), _ints(codes), texts(words), texts(phrases), _ints(last),
-        pa.array([counts.astype(np.int64)], pa.list_(pa.int64())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "gaps", "codes", "words", "phrases", "last", "counts"])
+def spelled(words: pa.Array, tuples: np.ndarray) -> pa.Array:
+    """Phrases as text, words joined by blanks."""
+    return pc.binary_join_element_wise(*[words.take(pa.array(column)) for column in tuples.T], b" ")
 
 
-def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", part_bytes: int = PART_BYTES) -> DataFrame:
     """The relation of single words."""
     rows = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")
     )
 
+    def part(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        tokens = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string())).flatten()
+        coded = tokens.dictionary_encode()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
+        codes = codes[codes != pc.index(words, pa.scalar(b"")).as_py()]  # before a text's first word
+        places = np.nonzero(codes != pc.index(words, pa.scalar(_BETWEEN)).as_py())[0]
+        if len(places):
+            number, codes, counts = np.unique(codes[places], return_inverse=True, return_counts=True)
+            yield from _part(lang, places, codes, words, number[:, None], counts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, values in text_batches(batches, 8 << 20):
-            found: dict[str, list[bytes]] = {}
+        found: dict[str, list[bytes]] = {}
+        size = 0
+        for langs, values in text_batches(batches, part_bytes):
             for lang, value in zip(langs.to_pylist(), values, strict=True):
-                found.setdefault(lang, []).append(_CUT.sub(b" . ", value.translate(LOWER)))
-            for lang, cut in found.items():
-                tokens = b" . ".join(cut).split()  # 09 and 20 are the only white space left
-                coded = pa.array(tokens, pa.binary()).dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                words = coded.dictionary
-                between = pc.index(words, pa.scalar(_BETWEEN, pa.binary())).as_py()
-                places = np.nonzero(codes != between)[0]
-                codes = codes[places]
-                if len(codes):
-                    counts = np.bincount(codes, minlength=len(words))
-                    yield _part(lang, places, codes, words, words, np.arange(len(words)), counts)
-
-    return rows.mapInArrow(run, PART)
+                found.setdefault(lang, []).append(value.translate(_CUT).replace(_BETWEEN, b" . ") + b" .")
+                size += len(value) + 2
+                if size >= part_bytes:
+                    for each in found.items():
+                        yield from part(*each)
+                    found, size = {}, 0
+        for each in found.items():
+            yield from part(*each)
+
+    return rows.mapInArrow(run, LEVEL)
 
 
 class Frequent:
@@ -124,35 +142,36 @@ class Frequent:
         return (self.table[slots >> 5] >> (slots & 31).astype(np.uint32) & 1).astype(bool)
 
 
-def extended(relation: DataFrame, frequent: Frequent) -> DataFrame:
+def extended(level: DataFrame, frequent: Frequent) -> DataFrame:
     """The relation one word longer: frequent occurrences only, merge-joined with those at the next place."""
-    shared = relation.sparkSession.sparkContext.broadcast(frequent)
+    shared = level.sparkSession.sparkContext.broadcast(frequent)
+    parts = level.where("gaps is not null").select("lang", "gaps", "codes", "words", "tuples")
+
+    def longer(lang: str, gaps: bytes, codes: bytes, words: bytes, tuples: bytes) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words.split(b" "), pa.binary())
+        places, codes, tuples = np.cumsum(np.frombuffer(gaps, "<i4"), dtype=np.int64), np.frombuffer(codes, "<i4"), np.frombuffer(tuples, "<i4")
+        tuples = tuples.reshape(int(codes.max()) + 1, -1)
+        kept = shared.value.holds(lang, spelled(known, tuples))[codes]
+        places, codes = places[kept], codes[kept].astype(np.int64)
+        # merge join of two lists sorted by place: the partner at place + 1 is the next row or there is none
+        at = np.nonzero(np.diff(places) == 1)[0]
+        if len(at):
+            size = len(tuples)
+            pair, new, counts = np.unique(codes[at] * size + codes[at + 1], return_inverse=True, return_counts=True)
+            joined = np.column_stack([tuples[pair // size], tuples[pair % size, -1]])
+            yield from _part(lang, places[at], new, known, joined, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                column = {name: batch.column(at)[row] for at, name in enumerate(batch.schema.names)}
-                lang, words, phrases = column["lang"].as_py(), column["words"].values, column["phrases"].values
-                codes, last = (column[n].values.to_numpy() for n in ("codes", "last"))
-                places = np.cumsum(column["gaps"].values.to_numpy().astype(np.int64))
-                kept = shared.value.holds(lang, phrases)[codes]
-                places, codes = places[kept], codes[kept].astype(np.int64)
-                # merge join of two lists sorted by place: the partner at place + 1 is the next row or there is none
-                at = np.nonzero(np.diff(places) == 1)[0]
-                if not len(at):
-                    continue
-                pair, new, counts = np.unique(codes[at] * len(phrases) + codes[at + 1], return_inverse=True, return_counts=True)
-                left, right = pair // len(phrases), last[pair % len(phrases)]
-                longer = pc.binary_join_element_wise(phrases.take(pa.array(left)), words.take(pa.array(right)), " ")
-                yield _part(lang, places[at], new, words, longer, right, counts)
-
-    return relation.mapInArrow(run, PART)
-
-
-def counted(relation: DataFrame) -> DataFrame:
+                yield from longer(*[column[row].as_py() for column in batch.columns])
+
+    return parts.mapInArrow(run, LEVEL)
+
+
+def counted(level: DataFrame) -> DataFrame:
     """``lang, phrase, f`` of every phrase of a level."""
-    each = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts"))).toDF("lang", "phrase", "n")
-    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return level.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def scored(candidates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -188,18 +207,17 @@ def collocations(
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``best`` phrases; n is its number of words."""
     spark = docs.sparkSession
-    relation, path = _written(occurrences(docs, text_col, lang_col), "words")
-    words = counted(relation)
-    total = materialise(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    levels = [materialise(words.where(F.col("f") >= least), "frequent")]
+    level, path = _written(occurrences(docs, text_col, lang_col), "words")
+    total = materialise(level.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    frequent = [materialise(counted(level).where(F.col("f") >= least), "frequent")]
     for _ in range(2, longest + 1):
-        longer, written = _written(extended(relation, Frequent(levels[-1])), "longer")
-        levels.append(materialise(counted(longer).where(F.col("f") >= least), "frequent"))
+        longer, written = _written(extended(level, Frequent(frequent[-1])), "longer")
         remove_folder(spark, path)
-        relation, path = longer, written
+        level, path = longer, written
+        frequent.append(materialise(counted(level).where(F.col("f") >= least), "frequent"))
     remove_folder(spark, path)
-    candidates = reduce(DataFrame.unionByName, levels[1:])
-    chosen = scored(candidates, reduce(DataFrame.unionByName, levels)).join(covered(candidates), ["lang", "phrase"], "left")
+    candidates = reduce(DataFrame.unionByName, frequent[1:])
+    chosen = scored(candidates, reduce(DataFrame.unionByName, frequent)).join(covered(candidates), ["lang", "phrase"], "left")
     dropped = F.coalesce(
         F.expr(f"cast(100 as decimal(19, 0)) * longer >= cast({int(share)} as decimal(19, 0)) * a"), F.lit(False)
     )
@@ -213,5 +231,5 @@ def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """A written table and its folder, which goes after the last reader."""
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

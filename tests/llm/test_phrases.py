@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from muster.llm import phrases
 
 rng = random.Random(13)
@@ -76,11 +78,21 @@ def test_large_counts_are_exact(spark):
 
 
 def test_relation_is_sorted_and_pieces_stand_apart(spark):
-    df = spark.createDataFrame([(1, "a b. c", "en"), (2, "d", "en")], SCHEMA).coalesce(1)
-    row = phrases.occurrences(df).first()
-    places = [sum(row["gaps"][: i + 1]) for i in range(len(row["gaps"]))]
-    assert [row["phrases"][c] for c in row["codes"]] == ["a", "b", "c", "d"]
-    assert [b - a for a, b in zip(places, places[1:])] == [1, 2, 2]
+    df = spark.createDataFrame([(1, " a b. c", "en"), (2, "d", "en")], SCHEMA).coalesce(1)
+    rows = phrases.occurrences(df).collect()
+    part = [r for r in rows if r["phrase"] is None][0]
+    places, codes, tuples = np.cumsum(np.frombuffer(part["gaps"], "<i4")), *(np.frombuffer(part[c], "<i4") for c in ("codes", "tuples"))
+    words = part["words"].decode().split(" ")
+    assert [words[tuples[c]] for c in codes] == ["a", "b", "c", "d"] and part["n"] == 4
+    assert np.diff(places).tolist() == [1, 2, 2]
+    assert {(r["phrase"], r["n"]) for r in rows if r["phrase"]} == {(w, 1) for w in "abcd"}
+
+
+def test_parts_of_any_size_count_alike(spark):
+    rows = made_rows()[:100]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    counts = [sorted(phrases.counted(phrases.occurrences(df, part_bytes=size)).collect()) for size in (1, 500, 1 << 23)]
+    assert counts[0] == counts[1] == counts[2]
 
 
 def test_empty_table(spark):
