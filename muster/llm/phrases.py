@@ -12,11 +12,13 @@ left out, so "same piece, next position" is "place + 1".  A level
 * counts the groups, that is the phrases, first within a part of the relation, then over all of it,
 * and semi-joins the occurrences with the frequent groups before the next level extends them.
 
-A part of the relation holds the occurrences in about ``PART_BYTES`` of text as they lie in a table's split, by language,
-with the part's own numbers for words and phrases.  A piece lies within a document and a document within a part, so parts
-join among themselves; only counts are shuffled, one row per phrase and part.  The semi-join reads the frequent phrases from a
-table of bits by hash, whose size has an upper bound: a phrase it lets through by mistake is counted as any other and
-falls out by its count, so results do not depend on it.
+A part of the relation holds the occurrences in about ``PART_BYTES`` of text as they lie in a table's split, by language, in
+one row, with the part's own numbers for words and phrases.  A piece lies within a document and a document within a part, so
+parts join among themselves; only counts are shuffled.  They are counted in two steps.  First by a hash of the phrase, five bytes
+a phrase and part, which tells the phrases that may be frequent from the many that are not; no phrase is lost, since texts of
+one hash add up.  Then those that may be frequent by their text, which is exact.  Both the second count and the semi-join
+look phrases up in a table of bits by hash, whose size has an upper bound: what it lets through by mistake falls out by its
+count, so results do not depend on it.
 
 A phrase of 2 to ``longest`` words with ``a >= least`` occurrences is a candidate.  Its score is the smallest
 ``2000000 * a div (l + r)`` over its cuts in two phrases, which occur ``l`` and ``r`` times; ties go to the shortest first part.  A candidate
@@ -47,42 +49,56 @@ BEST = 2000
 #: Bits of the table of frequent phrases: 16 for each of them, within these bounds (8 KiB and 32 MiB).
 FEWEST_BITS, MOST_BITS = 16, 28
 PART_BYTES = 8 << 20
-#: Rows handed back at once.
-ROWS = 1 << 16
+#: Entries counted by hash in one group, on average, and rows handed back at once.
+GROUP, ROWS = 1 << 22, 1 << 16
 
 #: A-Z become a-z, all that ends a piece becomes one byte; a word cannot hold it, so it can stand between pieces.
 _BETWEEN = b"."
 _CUT = bytes(46 if b in b".,;:!?\x0A\x0B\x0C\x0D" else b for b in LOWER)
 
-#: Rows with a phrase: ``n`` occurrences in one part.  The row without one holds the part: ``n`` its words in all, ``gaps``
-#: the differences of rising places, ``codes`` the phrase at each of them, ``words`` its words joined by blanks, ``tuples``
-#: which of them a phrase consists of; numbers have 32 bits.
-LEVEL = "lang string, phrase string, n bigint, gaps binary, codes binary, words binary, tuples binary"
+#: A row is a part: ``n`` its words in all, ``kinds`` its phrases, ``gaps`` the differences of rising places, ``codes`` the phrase at
+#: each place, ``words`` its words joined by blanks, ``tuples`` the words of each phrase, ``counts`` how often it occurs here.
+PART = "lang string, n bigint, kinds bigint, gaps binary, codes binary, words binary, tuples binary, counts binary"
 
 
-def _part(lang: str, places: np.ndarray, codes: np.ndarray, words: pa.Array, tuples: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of one part: its phrases counted, then the part itself; words no phrase uses are left out."""
+def _part(lang: str, places: np.ndarray, codes: np.ndarray, words: pa.Array, tuples: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One part; words no phrase uses are left out."""
     used, numbers = np.unique(tuples, return_inverse=True)
-    words, tuples = words.take(pa.array(used)), numbers.reshape(tuples.shape)
-    phrases = spelled(words, tuples).cast(pa.string())
-    names = LEVEL.replace(",", "").split()[::2]
-    for start in range(0, len(phrases), ROWS):
-        some = phrases.slice(start, ROWS)
-        empty = pa.nulls(len(some), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(some)), some, pa.array(counts[start : start + ROWS].astype(np.int64)), *[empty] * 4], names=names
-        )
-    packed = [np.diff(places, prepend=0), codes, None, tuples]
-    held = [b" ".join(words.to_pylist()) if x is None else x.astype("<i4").tobytes() for x in packed]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([lang]), pa.array([None], pa.string()), pa.array([len(codes)], pa.int64()), *[pa.array([x], pa.binary()) for x in held]],
-        names=names,
+    held = [x.astype("<i4").tobytes() for x in (np.diff(places, prepend=0), codes, numbers, counts)]
+    held.insert(2, b" ".join(words.take(pa.array(used)).to_pylist()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang]), pa.array([len(codes)], pa.int64()), pa.array([len(counts)], pa.int64()), *[pa.array([x], pa.binary()) for x in held]],
+        names=[c.split()[0] for c in PART.split(", ")],
     )
 
 
-def spelled(words: pa.Array, tuples: np.ndarray) -> pa.Array:
-    """Phrases as text, words joined by blanks."""
-    return pc.binary_join_element_wise(*[words.take(pa.array(column)) for column in tuples.T], b" ")
+class Phrases:
+    """The phrases of a part: their words, their hashes and their texts."""
+
+    def __init__(self, lang: str, words: bytes, tuples: bytes, counts: bytes):
+        self.lang, self.words = lang, pa.array(words.split(b" "), pa.binary())
+        self.counts = np.frombuffer(counts, "<i4")
+        self.tuples = np.frombuffer(tuples, "<i4").reshape(len(self.counts), -1)
+
+    def hashes(self) -> np.ndarray:
+        return mixed(self.lang, self.words.to_pylist(), self.tuples)
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        return pc.binary_join_element_wise(*[self.words.take(pa.array(c)) for c in self.tuples[which].T], b" ").cast(pa.string())
+
+
+def mixed(lang: str, words: list[bytes], tuples: np.ndarray) -> np.ndarray:
+    """A 64-bit hash per phrase: its words' hashes as digits of a number, mixed."""
+    import xxhash
+
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    each = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    out = np.zeros(len(tuples), np.uint64)
+    for column in tuples.T:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[column]
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xD6E8FEB86659FD93)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(32))
 
 
 def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -99,7 +115,7 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         places = np.nonzero(codes != pc.index(words, pa.scalar(_BETWEEN)).as_py())[0]
         if len(places):
             number, codes, counts = np.unique(codes[places], return_inverse=True, return_counts=True)
-            yield from _part(lang, places, codes, words, number[:, None], counts)
+            yield _part(lang, places, codes, words, number[:, None], counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[bytes]] = {}
@@ -115,63 +131,122 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         for each in found.items():
             yield from part(*each)
 
-    return rows.mapInArrow(run, LEVEL)
+    return rows.mapInArrow(run, PART)
 
 
 class Frequent:
-    """A table of bits that holds all frequent phrases of a level, and by chance some others."""
+    """A table of bits by hash that holds all of some phrases, and by chance others."""
 
-    def __init__(self, counted: DataFrame):
-        size = max(counted.count(), 1)
+    def __init__(self, hashes: DataFrame):
+        """``hashes``: a column ``h``, of which the first ``MOST_BITS`` bits at least are those of the phrases' hashes."""
+        size = max(hashes.count(), 1)
         self.bits = min(max(int(16 * size - 1).bit_length(), FEWEST_BITS), MOST_BITS)
-        slot = F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "phrase")), F.lit(1 << self.bits))
-        words = counted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(
+        slots = hashes.select(F.shiftrightunsigned("h", 64 - self.bits).alias("slot"))
+        words = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(
             F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int))) AS mask")
         ).toArrow()  # at most 2**23 rows, whatever the number of phrases
-        self.table = np.zeros((1 << self.bits) // 32, np.uint32)
+        self.table = np.zeros(max((1 << self.bits) // 32, 1), np.uint32)
         self.table[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
 
-    def holds(self, lang: str, phrases: pa.Array) -> np.ndarray:
-        import xxhash
-
-        start = lang.encode() + b" "
-        slots = np.fromiter(
-            (xxhash.xxh64_intdigest(start + p, 42) & ((1 << self.bits) - 1) for p in phrases.cast(pa.binary()).to_pylist()),
-            np.int64, len(phrases),
-        )
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         return (self.table[slots >> 5] >> (slots & 31).astype(np.uint32) & 1).astype(bool)
 
 
-def extended(level: DataFrame, frequent: Frequent) -> DataFrame:
+def perhaps_frequent(parts: DataFrame, least: int) -> DataFrame:
+    """``h``: the hashes, cut to 32 bits and a group's number, whose phrases occur ``least`` times or more together."""
+    total = parts.agg(F.sum("kinds")).first()[0] or 0
+    above = max((total // GROUP).bit_length(), 1)
+    cap = min(least, 255)  # a part that reaches the cap alone decides already
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                phrases = Phrases(*row)
+                hashes = phrases.hashes()
+                order = np.argsort(hashes)
+                hashes, counts = hashes[order], np.minimum(phrases.counts[order], cap).astype(np.uint8)
+                keys = (hashes >> np.uint64(32 - above)).astype("<u4")
+                bounds = np.searchsorted(hashes >> np.uint64(64 - above), np.arange((1 << above) + 1, dtype=np.uint64))
+                spans = [(g, a, b) for g, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g for g, _, _ in spans], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                     pa.array([counts[a:b].tobytes() for _, a, b in spans], pa.binary())],
+                    names=["group", "keys", "counts"],
+                )
+
+    def summed(group: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(group["keys"].to_pylist()), "<u4")
+        counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.nonzero(np.diff(keys, prepend=keys[0] ^ 1))[0]
+        sums = np.add.reduceat(counts[order].astype(np.int64), starts)
+        kept = keys[starts[sums >= cap]].astype(np.uint64)
+        number = np.uint64(group["group"][0].as_py())
+        return pa.table({"h": ((number << np.uint64(64 - above)) | (kept << np.uint64(32 - above))).view(np.int64)})
+
+    each = parts.select("lang", "words", "tuples", "counts").mapInArrow(dealt, "group int, keys binary, counts binary")
+    return each.groupBy("group").applyInArrow(summed, "h bigint")
+
+
+def counted(parts: DataFrame, perhaps: Frequent) -> DataFrame:
+    """``lang, phrase, f`` of the phrases the table holds."""
+    shared = parts.sparkSession.sparkContext.broadcast(perhaps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                phrases = Phrases(*row)
+                held = np.nonzero(shared.value.holds(phrases.hashes()))[0]
+                for start in range(0, len(held), ROWS):
+                    some = held[start : start + ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row[0]] * len(some)), phrases.texts(some), pa.array(phrases.counts[some].astype(np.int64))],
+                        names=["lang", "phrase", "n"],
+                    )
+
+    each = parts.select("lang", "words", "tuples", "counts").mapInArrow(run, "lang string, phrase string, n bigint")
+    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+
+
+def hashed(phrases: DataFrame) -> DataFrame:
+    """``h`` of phrases given as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lang, phrase in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                words = phrase.encode().split(b" ")
+                found.append(mixed(lang, words, np.arange(len(words))[None])[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], names=["h"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "h bigint")
+
+
+def extended(parts: DataFrame, frequent: Frequent) -> DataFrame:
     """The relation one word longer: frequent occurrences only, merge-joined with those at the next place."""
-    shared = level.sparkSession.sparkContext.broadcast(frequent)
-    parts = level.where("gaps is not null").select("lang", "gaps", "codes", "words", "tuples")
-
-    def longer(lang: str, gaps: bytes, codes: bytes, words: bytes, tuples: bytes) -> Iterator[pa.RecordBatch]:
-        known = pa.array(words.split(b" "), pa.binary())
-        places, codes, tuples = np.cumsum(np.frombuffer(gaps, "<i4"), dtype=np.int64), np.frombuffer(codes, "<i4"), np.frombuffer(tuples, "<i4")
-        tuples = tuples.reshape(int(codes.max()) + 1, -1)
-        kept = shared.value.holds(lang, spelled(known, tuples))[codes]
+    shared = parts.sparkSession.sparkContext.broadcast(frequent)
+
+    def longer(lang: str, gaps: bytes, codes: bytes, words: bytes, tuples: bytes, counts: bytes) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(lang, words, tuples, counts)
+        places, codes = np.cumsum(np.frombuffer(gaps, "<i4"), dtype=np.int64), np.frombuffer(codes, "<i4")
+        kept = shared.value.holds(phrases.hashes())[codes]
         places, codes = places[kept], codes[kept].astype(np.int64)
         # merge join of two lists sorted by place: the partner at place + 1 is the next row or there is none
         at = np.nonzero(np.diff(places) == 1)[0]
         if len(at):
-            size = len(tuples)
+            size = len(phrases.tuples)
             pair, new, counts = np.unique(codes[at] * size + codes[at + 1], return_inverse=True, return_counts=True)
-            joined = np.column_stack([tuples[pair // size], tuples[pair % size, -1]])
-            yield from _part(lang, places[at], new, known, joined, counts)
+            joined = np.column_stack([phrases.tuples[pair // size], phrases.tuples[pair % size, -1]])
+            yield _part(lang, places[at], new, phrases.words, joined, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                yield from longer(*[column[row].as_py() for column in batch.columns])
-
-    return parts.mapInArrow(run, LEVEL)
-
+            for row in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                yield from longer(*row)
 
-def counted(level: DataFrame) -> DataFrame:
-    """``lang, phrase, f`` of every phrase of a level."""
-    return level.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return parts.select("lang", "gaps", "codes", "words", "tuples", "counts").mapInArrow(run, PART)
 
 
 def scored(candidates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -207,14 +282,16 @@ def collocations(
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``best`` phrases; n is its number of words."""
     spark = docs.sparkSession
-    level, path = _written(occurrences(docs, text_col, lang_col), "words")
-    total = materialise(level.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    frequent = [materialise(counted(level).where(F.col("f") >= least), "frequent")]
-    for _ in range(2, longest + 1):
-        longer, written = _written(extended(level, Frequent(frequent[-1])), "longer")
-        remove_folder(spark, path)
-        level, path = longer, written
-        frequent.append(materialise(counted(level).where(F.col("f") >= least), "frequent"))
+    parts, path = _written(occurrences(docs, text_col, lang_col), "words")
+    total = materialise(parts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    frequent = []
+    for length in range(1, longest + 1):
+        if length > 1:
+            longer, written = _written(extended(parts, Frequent(hashed(frequent[-1]))), "longer")
+            remove_folder(spark, path)
+            parts, path = longer, written
+        perhaps = Frequent(materialise(perhaps_frequent(parts, least), "perhaps"))
+        frequent.append(materialise(counted(parts, perhaps).where(F.col("f") >= least), "frequent"))
     remove_folder(spark, path)
     candidates = reduce(DataFrame.unionByName, frequent[1:])
     chosen = scored(candidates, reduce(DataFrame.unionByName, frequent)).join(covered(candidates), ["lang", "phrase"], "left")
