@@ -19,6 +19,7 @@ from muster.operators.ordered import count_pieces, ordered_concat
 from muster.plans import fleet_view as fleet
 from muster.plans.configure import configuration_plan
 from muster.plans.export_source import export_sources
+from muster.plans.log_files import write_logs
 from muster.session import materialise, scratch_path, tune
 from muster.sources import activity as activity_source
 from muster.sources import documents, logs, snapshots
@@ -26,6 +27,7 @@ from muster.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+LATE_SECONDS = 6 * 3600
 
 
 def query(fn: Query) -> Query:
@@ -1071,27 +1073,26 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", col("ts").cast("timestamp"))
 
 
-def _in_time_order(df: DataFrame, pieces: int = 4) -> list[DataFrame]:
-    """The table in stretches of time: each is written and read as a batch of its own before the next one."""
-    first, last = df.agg(F.min(micros(col("ts"))), F.max(micros(col("ts")))).first()
+def _arrivals(df: DataFrame, id_col: str, late_seconds: int = LATE_SECONDS, pieces: int = 4) -> list[DataFrame]:
+    """The table in the pieces it arrives in: every record comes up to ``late_seconds`` after its time, so pieces overlap."""
+    arrival = micros(col("ts")) + F.pmod(F.xxhash64(id_col), F.lit(late_seconds)) * 1_000_000
+    first, last = df.agg(F.min(arrival), F.max(arrival)).first()
     if first is None:
         return [df]
     step = (last - first) // pieces + 1
-    return [df.where(F.floor((micros(col("ts")) - first) / step) == i) for i in range(pieces)]
+    return [df.where(F.floor((arrival - first) / step) == i) for i in range(pieces)]
 
 
 @query
 def follow_log(spark, sf_dir):
-    """The log of each user is a file; half of the files arrive after the first batch."""
-    lines, out, checkpoint = (scratch_path(spark, n) for n in ("lines", "records", "checkpoint"))
-    log = _log_lines(spark, sf_dir).withColumn("half", F.crc32("file") % 2)
-    for half in (0, 1):
-        ordered = log.where(col("half") == half).repartition("file").sortWithinPartitions("file", "line")
-        ordered.select("file", "value").write.mode("append").partitionBy("file").text(lines)
-        feeds.follow_log(spark, lines, out, checkpoint).awaitTermination()
-    file = F.regexp_extract("file", "file=([^/]+)/", 1)
-    return spark.read.parquet(out).select(
-        file.alias("file"), "level", F.date_format("ts", logs.TIME_FORMAT).alias("ts"), "message", "continued", "batch"
+    """The log of each user is a file that grows: it is followed at a third, at two thirds and at its end, mostly within a line."""
+    files, out, checkpoint = (scratch_path(spark, n) for n in ("logs", "records", "checkpoint"))
+    for share in (0.34, 0.67, 1.0):
+        write_logs(_log_lines(spark, sf_dir), files, share)
+        feeds.follow_log(spark, files, out, checkpoint, pattern="*.log").awaitTermination()
+    return feeds.read_records(spark, out).select(
+        F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("file"), "level",
+        F.date_format("ts", logs.TIME_FORMAT).alias("ts"), "message", "continued",
     ).groupBy("file", "level", "ts", "message", "continued").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -1105,13 +1106,15 @@ def follow_activity(spark, sf_dir):
 
 @query
 def follow_intervals(spark, sf_dir):
-    """The activity arrives in four batches, in the order of time."""
+    """The activity arrives in four batches that overlap in time."""
     src, out, checkpoint = (scratch_path(spark, n) for n in ("days", "intervals", "checkpoint"))
     days = fleet.activity(spark, sf_dir)
-    for piece in _in_time_order(days):
+    for piece in _arrivals(days, "seq"):
         piece.write.mode("append").parquet(src)
         stream = spark.readStream.schema(days.schema).parquet(src)
-        feeds.follow_intervals(stream, "server", "ts", "seq", "op", out, checkpoint).awaitTermination()
+        feeds.follow_intervals(
+            stream, "server", "ts", "seq", "op", out, checkpoint, delay_seconds=LATE_SECONDS
+        ).awaitTermination()
     return feeds.read_intervals(spark, out).select(
         "server", micros(col("started")).alias("started"), micros(col("stopped")).alias("stopped"), "pending"
     )
@@ -1119,31 +1122,31 @@ def follow_intervals(spark, sf_dir):
 
 @query
 def status_feed(spark, sf_dir):
-    """Four batches, of which the third writes the whole latest table."""
+    """Four batches that overlap in time; two of them merge levels."""
     src, out, checkpoint = (scratch_path(spark, n) for n in ("snapshots", "status", "checkpoint"))
     rows = fleet.events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value")
-    for piece in _in_time_order(rows):
+    for piece in _arrivals(rows, "event_id"):
         piece.write.mode("append").parquet(src)
         stream = spark.readStream.schema(rows.schema).parquet(src)
-        feeds.status_feed(stream, ["user_id"], ["ts", "event_id"], out, checkpoint, merge_every=2).awaitTermination()
-    return feeds.read_latest(spark, out, ["user_id"], ["ts", "event_id"]).select(
+        feeds.status_feed(stream, ["user_id"], ["ts", "event_id"], out, checkpoint, fan=2, buckets=4).awaitTermination()
+    return feeds.read_latest(spark, out, ["user_id"], ["ts", "event_id"], rows.schema, fan=2, buckets=4).select(
         "user_id", "event_id", "event_type", "value"
     )
 
 
 @query
 def await_outcome_stream(spark, sf_dir):
-    """Requests and confirmations arrive in four batches, in the order of time; no request is left out."""
+    """Requests and confirmations arrive in four batches that overlap in time; no request is left out."""
     src, out, checkpoint = (scratch_path(spark, n) for n in ("requests", "outcomes", "checkpoint"))
     rows = fleet.events(spark, sf_dir).where(col("event_type").isin("signup", "purchase")).select(
         "user_id", "event_id", "ts", "event_type"
     )
-    for piece in _in_time_order(rows):
+    for piece in _arrivals(rows, "event_id"):
         piece.write.mode("append").parquet(src)
         feeds.follow_outcomes(
             spark.readStream.schema(rows.schema).parquet(src), ["user_id"], "ts", col("event_type") == "signup",
-            col("event_type") == "purchase", 20 * 3600, out, checkpoint, keep=["event_id"],
+            col("event_type") == "purchase", 20 * 3600, out, checkpoint, keep=["event_id"], delay_seconds=LATE_SECONDS,
         ).awaitTermination()
-    return feeds.read_outcomes(spark, out).select(
+    return feeds.read_outcomes(spark, out, ["user_id"], 20 * 3600, ["event_id"]).select(
         "user_id", "event_id", micros(col("confirmed")).alias("confirmed"), "met"
     )
