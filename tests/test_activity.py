@@ -1,4 +1,4 @@
-"""Snapshots, change logs, activity, and the streaming forms against the batch ones."""
+"""Snapshots, change logs and activity."""
 
 import random
 
@@ -6,10 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from muster.operators import activity as act
-from muster.operators import health
 from muster.sources import activity as source
 from muster.sources import snapshots
-from muster.streaming import feeds
 
 
 def ts(micros_col):
@@ -67,57 +65,6 @@ def test_await(table, records, hot_rows):
     assert got == want
 
 
-@pytest.fixture
-def day_files(table, tmp_path):
-    """The records in time order, in five files, each a batch of its own."""
-    folder = tmp_path / "in"
-    for i in range(5):
-        part = table.where((F.col("us") >= i * 40_000_000) & (F.col("us") < (i + 1) * 40_000_000))
-        part.coalesce(1).write.mode("append").parquet(str(folder))
-    return str(folder)
-
-
-def stream_of(spark, table, folder):
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def test_intervals_as_stream(spark, table, records, day_files, tmp_path):
-    out = str(tmp_path / "out")
-    feeds.follow_intervals(
-        stream_of(spark, table, day_files), "server", "ts", "seq", "op", out, str(tmp_path / "cp"), piece_seconds=7
-    ).awaitTermination()
-    assert spark.read.parquet(f"{out}/settled").select("batch").distinct().count() == 5
-    assert spark.read.parquet(f"{out}/open").select("batch").distinct().count() <= 2
-    assert as_set(feeds.read_intervals(spark, out)) == plain_intervals(records)
-
-
-@pytest.mark.parametrize("merge_every", [2, 50])
-def test_status_feed(spark, table, day_files, tmp_path, merge_every):
-    out = str(tmp_path / "out")
-    feeds.status_feed(
-        stream_of(spark, table, day_files), ["server"], ["ts", "seq"], out, str(tmp_path / "cp"), merge_every=merge_every
-    ).awaitTermination()
-    got = {r.server: r.seq for r in feeds.read_latest(spark, out, ["server"], ["ts", "seq"]).collect()}
-    want = {r.server: r.seq for r in health.latest_snapshot(table, ["server"], ["ts", "seq"]).collect()}
-    assert got == want
-
-
-def test_await_as_stream(spark, table, records, day_files, tmp_path):
-    """Over five batches the stream gives every request the outcome of the batch form."""
-    out = str(tmp_path / "out")
-    feeds.follow_outcomes(
-        stream_of(spark, table, day_files), ["server"], "ts", F.col("op") == "start", F.col("op") == "stop", 5, out,
-        str(tmp_path / "cp"), keep=["seq"],
-    ).awaitTermination()
-    batch = act.await_outcome(table.where("op = 'start'"), table.where("op = 'stop'"), ["server"], "ts", "ts", 5, ["seq"])
-
-    def rows(df):
-        return sorted((r.seq, r.c or 0, r.met) for r in df.select("seq", F.unix_micros("confirmed").alias("c"), "met").collect())
-
-    assert spark.read.parquet(f"{out}/settled").select("batch").distinct().count() == 5
-    assert rows(feeds.read_outcomes(spark, out)) == rows(batch)
-
-
 def test_activity_is_appended_by_day(spark, table, tmp_path):
     path = str(tmp_path / "activity")
     rows = source.activity_records(table, "op", "ts", "server")
