@@ -1,11 +1,16 @@
 """Documents: files with comments, layers, references, edges, addresses."""
 
+import json
+import random
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from muster import schemas
 from muster.operators import layers, lookup, refs, report
-from muster.sources import documents
+from muster.sources import arrays, documents
 
 SERVERS = """
 // servers of the test fleet
@@ -69,6 +74,90 @@ def test_long_leading_comment(spark, tmp_path):
     assert documents.read_documents(spark, write(tmp_path / "f.json", text), "_id string").count() == 1
 
 
+def plain_mask(text):
+    """A reader of one character at a time."""
+    out, at, state = [], 0, "code"
+    while at < len(text):
+        two = text[at : at + 2]
+        if state == "code":
+            state = "string" if two[:1] == '"' else "line" if two == "//" else "block" if two == "/*" else state
+            width = 2 if state in ("line", "block") else 1
+            out.append({"code": two[0], "string": "x"}.get(state, "  "))
+        elif state == "string":
+            width = len(two) if two[0] == "\\" else 1
+            out.append("x" * width)
+            state = "code" if two[0] == '"' else state
+        else:
+            ends = two[0] == "\n" if state == "line" else two == "*/"
+            width = 2 if ends and state == "block" else 1
+            out.append(" " * width)
+            state = "code" if ends else state
+        at += width
+    return "".join(out), state
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet='[]{}",/*\\\na', max_size=40), st.integers(0, 4))
+def test_the_effect_of_a_split(text, cuts):
+    """Cut at any of its commas, a text is read by the states its parts hand on as it is in one go."""
+    want, state = plain_mask(text + ",")
+    pieces, rnd = (text + ",").split(",")[:-1], random.Random(cuts)
+    joined = [pieces[0]]
+    for piece in pieces[1:]:
+        joined = [*joined, piece] if rnd.random() < 0.5 else [*joined[:-1], joined[-1] + "," + piece]
+    got, now = b"", arrays.CODE
+    for piece in joined:
+        code, now = arrays.masked(piece.encode() + b",", now)
+        got += code
+    assert (got.decode(), now) == (want, ["code", "string", "line", "block"].index(state))
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {n: spark.conf.get(n) for n in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def nasty_documents(count):
+    rnd, parts = random.Random(9), ['",', "//", "/*", "*/", "\\", '\\"', "[", "]{", "},", "\n", "é", ", ", "a"]
+    for i in range(count):
+        doc = {"_id": f"d{i}", "t": "".join(rnd.choice(parts) for _ in range(rnd.choice([0, 3, 30, 2000 if i % 50 == 7 else 5]))),
+               "n": [i, {"k": ["x", i]}], "m": {"a,b": "]"}}
+        text = json.dumps(doc, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1]))
+        yield rnd.choice(["", " // one, \"two\" [ \n", "/* ] , \" * / */", "\n"]) + text + rnd.choice(["", " /* , */", "// ]\n"])
+
+
+def test_large_files_in_splits(spark, tmp_path, small_splits):
+    """Documents with commas, quotes, brackets and comment marks in their strings, between comments with all of these."""
+    schema = "_id string, t string, n string, m map<string,string>"
+    write(tmp_path / "a.json", "// [ one, \n/* { */ [" + ",".join(nasty_documents(400)) + "\n] // end, [")
+    write(tmp_path / "b.json", "[" + ",".join(nasty_documents(7)) + "]\n")
+    write(tmp_path / "c.json", " [ /* none, */ ]")
+
+    def rows(whole_bytes):
+        df = documents.read_documents(spark, [str(tmp_path / f"{n}.json") for n in "abc"], schema, whole_bytes=whole_bytes)
+        return sorted((r.file, r.seq, r._id, r.t, r.n, tuple(sorted(r.m.items()))) for r in df.collect())
+
+    want = rows(1 << 30)
+    assert len(want) == 407
+    assert rows(1) == want
+    assert rows(3000) == want
+    chunks = spark.read.option("lineSep", ",").text(str(tmp_path / "a.json"))
+    assert chunks.rdd.getNumPartitions() > 50
+
+
+@pytest.mark.parametrize("text", ["{}", " ", '{"_id": "one"}', "// only a comment, and", "[{]", '[{"_id":"a"},,{"_id":"b"}]', '[{"_id":"a"},]',
+                                  '[{"_id":"a"}] x', '[{"_id":"a"}] [{"_id":"b"}]', "[1, 2]", '["_id', "[{}", "[]]"])
+def test_only_arrays_in_splits(spark, tmp_path, text, small_splits):
+    with pytest.raises(Exception):  # noqa: B017
+        documents.read_documents(spark, write(tmp_path / "f.json", text), "_id string", whole_bytes=0).collect()
+
+
 def test_later_layers_win(spark, servers):
     inline = spark.createDataFrame([('[{"_id":"s1","description":"inline"},{"_id":"s2","description":"a"},'
                                      '{"_id":"s2","description":"b"}]',)], "json string")
