@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from muster.functions.uris import is_fleet_uri
-from muster.operators.skew import hot_groups, join_per_key
+from muster.operators.skew import join_per_key
 
 
 def _path_matches(value: Column, kind: T.DataType, path: list[str], wanted) -> Column:
@@ -65,14 +65,13 @@ def classify_targets(
         return table.select(F.col(column).cast("string").alias(f"_{flag}")).distinct().withColumn(flag, F.lit(True))
 
     parts = F.split(F.col(target), "/")
-    hot = hot_groups(targets.select(F.get(parts, F.lit(0)).alias("target_id")), ["target_id"])
     out = targets.withColumn("_parts", F.size(parts)).withColumn("target_id", F.get(parts, F.lit(0)))
     for table, column, flag in ((servers, server_id, "_is_server"), (clusters, cluster_id, "_is_cluster")):
         hits = known(table, column, flag)
-        out = join_per_key(out, hits.withColumnRenamed(f"_{flag}", "target_id"), ["target_id"], "left", hot)
+        out = join_per_key(out, hits.withColumnRenamed(f"_{flag}", "target_id"), ["target_id"], "left")
     if paths is not None:
         hits = known(paths, path, "_is_path")
-        out = join_per_key(out, hits.withColumnRenamed("__is_path", target), [target], "left", hot_groups(targets, [target]))
+        out = join_per_key(out, hits.withColumnRenamed("__is_path", target), [target], "left")
     else:
         out = out.withColumn("_is_path", F.lit(None).cast("boolean"))
     uri = is_fleet_uri(F.col(target))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.operators.skew import HOT_ROWS, hot_groups, none_hot
+from muster.operators.skew import HOT_ROWS, hot_groups, marks, none_hot, renamed
 from muster.session import materialise
 
 PART_ROWS = 100_000  # values in one text
@@ -56,14 +56,13 @@ def cut_hot_groups(
     bound is below ``spark.sql.autoBroadcastJoinThreshold``.  Where ``df`` is a plan with joins, pass
     ``hot`` from ``hot_groups`` of the table it starts from: the rows are then counted where they are read.
     """
-    keys = [f"_hot_{i}" for i in range(len(group))]
     listed = hot if hot is not None else hot_groups(df, group, hot_rows)
     if none_hot(listed):
         return df, []
     ranges = math.ceil((listed.agg(F.sum("_rows")).first()[0] or 0) / hot_rows) + 1
-    hot = listed.select(*group).toDF(*keys).withColumn("_hot", F.lit(True))
+    hot = renamed(listed, group, F.lit(True).alias("_hot"))
     coarse = [f"_piece_{i}" for i in range(len(split))]
-    marked = df.join(hot, _same(df, hot, list(zip(group, keys))), "left").select(
+    marked = df.join(hot, marks(df, listed, group), "left").select(
         *[df[c] for c in df.columns],
         *[F.when(F.col("_hot"), e).alias(p) for e, p in zip(split, coarse)],
         "_hot",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from muster import schemas
 from muster.functions.address import display_address, full_address, is_member_address
-from muster.operators.skew import hot_groups, join_per_key
+from muster.operators.skew import join_per_key
 
 # fixed values: document types, the order of reverse lookup, and the text for a dangling reference
 SERVER_TYPES = {"Mongod": "server", "ConfigMongod": "server", "Mongos": "router", "mongod": "server", "mongos": "router"}
@@ -234,8 +234,8 @@ def member_roles(
     by_server = used.where(F.col("child_kind") == "server").select(
         F.col("child_id").alias(server_id), F.col("_config").alias("_s_config"), F.col("_shard").alias("_s_shard")
     )
-    joined = join_per_key(out, by_cluster, [cluster_id], "left", hot_groups(members, [cluster_id]))
-    joined = join_per_key(joined, by_server, [server_id], "left", hot_groups(members, [server_id]))
+    joined = join_per_key(out, by_cluster, [cluster_id], "left")
+    joined = join_per_key(joined, by_server, [server_id], "left")
 
     def either(a: str, b: str) -> Column:
         return F.coalesce(F.col(a), F.lit(False)) | F.coalesce(F.col(b), F.lit(False))

@@ -1,9 +1,12 @@
 """Groups and joins in which one key may hold a large share of all rows.
 
-Hot keys are measured once, before a plan is made: where there are none, windows and joins are the plain ones and
-nothing is counted, dealt out or repeated in them.  A list made for a table is handed to all that start from it.  It is the only thing broadcast without a further check.  It holds at most ``HOT_GROUPS``
-rows, whatever the size of the input: keys beyond that many have each no more than 1/HOT_GROUPS of all rows.
-The list decides how rows are dealt out, never what comes out.
+Hot keys are found before a plan is made, by a sketch that each task fills in its scan: no key is shuffled, and what the tasks
+hand on has a bound.  Where there are none, windows and joins are the plain ones and nothing is dealt out or repeated in them;
+where one side of a join is small enough to be broadcast, as the planner knows without a job, nothing is looked for.  A
+list made for a table is handed to all that start from it.  It is the only thing broadcast without a further check.  It
+holds at most ``HOT_GROUPS`` rows, whatever the size of the input, and every key with more than ``3.5 / 32768`` of all rows if it
+has ``hot_rows``.  The list decides how rows are dealt out, never what comes out; it names a key by its hash, so two keys of one hash are
+both dealt out.
 """
 
 from __future__ import annotations
@@ -11,14 +14,16 @@ from __future__ import annotations
 import weakref
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 HOT_ROWS = 1_000_000
-HOT_GROUPS = 50_000
+HOT_GROUPS = 5_000
+#: Items a sketch tracks, and how many sketches are merged before the last merge.
+TRACKED, MERGES = 20_000, 256
 NULL_SHARES = 1024
 _NONE_HOT: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
@@ -26,17 +31,16 @@ _NONE_HOT: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 def hot_groups(
     df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS, most: int = HOT_GROUPS
 ) -> DataFrame:
-    """The groups with at least ``hot_rows`` rows and their counts ``_rows``, no more than the ``most`` largest.
+    """The groups with at least ``hot_rows`` rows by hash: ``_key, _rows``, no more than the ``most`` largest.
 
-    They are counted now; the result holds the list itself.
+    They are counted now, nearly; the result holds the list itself.
     """
-    return measured(
-        df.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
-        .orderBy(F.col("_rows").desc(), *[F.col(c).asc() for c in group])
-        .limit(most)
-    )
+    keyed = df.select(F.xxhash64(*group).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("_part"))
+    each = keyed.groupBy("_part").agg(F.expr(f"approx_top_k_accumulate(_key, {TRACKED}) AS _sketch"))
+    # grouped by a constant, so that no rows give no sketch
+    whole = each.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(_sketch, {TRACKED}) AS _sketch"))
+    found = whole.select(F.expr(f"inline(approx_top_k_estimate(_sketch, {most}))"))
+    return measured(found.toDF("_key", "_rows").where(F.col("_rows") >= hot_rows))
 
 
 def measured(listed: DataFrame) -> DataFrame:
@@ -53,10 +57,40 @@ def none_hot(listed: DataFrame) -> bool:
     return listed in _NONE_HOT
 
 
+def marks(df: DataFrame, listed: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> Column:
+    """Where a row of ``df`` belongs to a listed key, the list being joined under its own names prefixed by ``_hot``.
+
+    ``like`` has the key columns the list was made from, whose types the hash depends on.
+    """
+    if "_key" in listed.columns:
+        same = df if like is None else like
+        return F.xxhash64(*[df[k].cast(same.schema[k].dataType) for k in keys]).eqNullSafe(F.col("_hot_key"))
+    return reduce(and_, [df[k].eqNullSafe(F.col(f"_hot_{at}")) for at, k in enumerate(keys)])
+
+
+def renamed(listed: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """The list under names that clash with nothing."""
+    if "_key" in listed.columns:
+        return listed.select(F.col("_key").alias("_hot_key"), *more)
+    return listed.select(*[F.col(k).alias(f"_hot_{at}") for at, k in enumerate(keys)], *more)
+
+
 def _spread(df: DataFrame, parts: Column | int) -> Column:
-    """A share number that is the same whenever a task is run again."""
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, ArrayType, StructType))]
-    return F.pmod(F.xxhash64(*plain), F.lit(parts) if isinstance(parts, int) else parts)
+    """A share number that is the same whenever a task is run again; maps count by their text."""
+    def has_map(kind) -> bool:
+        if isinstance(kind, ArrayType):
+            return has_map(kind.elementType)
+        return isinstance(kind, MapType) or isinstance(kind, StructType) and any(has_map(f.dataType) for f in kind.fields)
+
+    columns = [F.to_json(F.struct(df[f.name])) if has_map(f.dataType) else df[f.name] for f in df.schema.fields]
+    return F.pmod(F.xxhash64(*columns), F.lit(parts) if isinstance(parts, int) else parts)
+
+
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether the planner, by what it knows of the size, broadcasts this side of a join."""
+    state = df._jdf.sparkSession().sessionState()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= state.conf().autoBroadcastJoinThreshold()
 
 
 def join_per_key(
@@ -78,25 +112,28 @@ def join_per_key(
     least these rows.
     """
     keys = list(keys)
+    if is_broadcast(right):
+        return left.join(right, keys, how)
     listed = hot if hot is not None else hot_groups(left, keys, hot_rows)
     if none_hot(listed):
         return left.join(right, keys, how)
-    shares = F.broadcast(listed.select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("bigint").alias("_shares")))
+    shares = F.broadcast(renamed(listed, keys, F.ceil(F.col("_rows") / hot_rows).cast("bigint").alias("_shares")))
+    names = [c for c in shares.columns if c != "_shares"]
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     dealt = (
-        left.join(shares, keys, "left")
+        left.join(shares, marks(left, listed, keys), "left")
         .withColumn(
             "_share",
             F.when(no_key, _spread(left, NULL_SHARES))
             .when(F.col("_shares").isNotNull(), _spread(left, F.col("_shares")))
             .otherwise(F.lit(0).cast("bigint")),
         )
-        .drop("_shares")
+        .drop("_shares", *names)
     )
     last = F.coalesce(F.col("_shares"), F.lit(1).cast("bigint")) - 1
     repeated = (
-        right.join(shares, keys, "left")
+        right.join(shares, marks(right, listed, keys, left), "left")
         .withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .drop("_shares")
+        .drop("_shares", *names)
     )
     return dealt.join(repeated, [*keys, "_share"], how).drop("_share")
