@@ -1,4 +1,8 @@
-"""Command options kept as ``map<string,string>``: gating by version or role, and rendering."""
+"""Command options: gating by version or role, and rendering.
+
+Options are kept as ``map<string,string>``, or as ``map<string,variant>`` where the type of a value counts: only there can the text
+``"0"`` be told from the number 0.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from muster.functions.versions import key_at_least, version_key
 from muster.operators.layers import merge_settings
@@ -138,9 +143,42 @@ def option_arguments(options: Column, allowed: Sequence[str] | None = None) -> C
     return F.flatten(F.transform(F.sort_array(F.map_entries(kept)), render))
 
 
+def typed_arguments(options: Column, allowed: Sequence[str] | None = None) -> Column:
+    """``option_arguments`` of typed values: false, zero, null and what is empty go; the texts "0", "false" and "true" are texts."""
+    def kind(value: Column) -> Column:
+        return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+
+    def text(value: Column) -> Column:
+        return F.variant_get(value, "$", "string")
+
+    def empty(value: Column) -> Column:
+        return (
+            F.when(kind(value) == "BOOLEAN", text(value) == "false")
+            .when(kind(value).isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), F.try_variant_get(value, "$", "double") == 0)
+            .otherwise(F.to_json(value).isin('""', "[]", "{}"))
+        )
+
+    names = [k for k in sorted(allowed)] if allowed is not None else None
+    kept = F.map_filter(options, lambda k, v: ~F.coalesce(F.is_variant_null(v), F.lit(True)) & (k.isin(*names) if names else F.lit(True)))
+
+    def render(key: Column) -> Column:
+        value, flag = F.try_element_at(kept, key), F.concat(F.lit("--"), key)
+        items = F.try_variant_get(value, "$", "array<variant>")
+        return (
+            F.when(empty(value), F.expr("cast(array() as array<string>)"))
+            .when(kind(value) == "BOOLEAN", F.array(flag))
+            .when(kind(value) == "ARRAY", F.flatten(F.transform(items, lambda item: F.array(flag, text(item)))))
+            .when(kind(value) == "OBJECT", F.array(flag, F.to_json(value)))
+            .otherwise(F.array(flag, text(value)))
+        )
+
+    return F.flatten(F.transform(F.sort_array(F.map_keys(kept)), render))
+
+
 def option_inventory(df: DataFrame, options: str, keep: Sequence[str], allowed: Sequence[str] | None = None) -> DataFrame:
-    """The rendered options of each row as one text, and how many options it has."""
-    arguments = option_arguments(F.col(options), allowed)
+    """The rendered options of each row as one text, and how many words it has."""
+    typed = isinstance(df.schema[options].dataType.valueType, VariantType)
+    arguments = (typed_arguments if typed else option_arguments)(F.col(options), allowed)
     return df.select(*keep, F.array_join(arguments, " ").alias("arguments"), F.size(arguments).alias("words"))
 
 

@@ -167,9 +167,9 @@ def find_drift(
 ) -> DataFrame:
     """Members at odds with the current configuration: ``id_moved`` or ``address_renamed``.
 
-    ``current`` has the cluster id, ``id``, ``at`` (array position) and what ``current_address`` needs;
-    its ids are unique per cluster, as a server demands of a configuration.  Where a member has several
-    errors the one latest in the current array wins.  No step compares all pairs: the current side is
+    ``current`` has the cluster id, ``id``, ``at`` (array position) and what ``current_address`` needs.  Its ids must be
+    unique per cluster, as a server demands of a configuration: one that repeats is an error that names it, if a member
+    asks for it.  Where a member has several errors the one latest in the current array wins.  No step compares all pairs: the current side is
     reduced to two rows per address (two, since one may carry the member's own id).
     """
     counted = F.col(member_id).isNotNull() if strict else F.coalesce(F.col(member_id) != 0, F.lit(False))
@@ -181,7 +181,13 @@ def find_drift(
     their_keys = address_keys(theirs, [cluster_id, "_id", "at"], F.col("_current"), hosts)
     by = [cluster_id, "key_kind", "key", "port"]
 
-    same_id = join_per_key(mine, theirs.drop("_current"), [cluster_id, "_id"])
+    repeated = F.raise_error(F.concat(
+        F.lit("id "), F.col("_id").cast("string"), F.lit(" repeats in the current configuration of "), F.col(cluster_id).cast("string")
+    )).cast("bigint")
+    by_id = theirs.groupBy(cluster_id, "_id").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("_n"))
+    same_id = join_per_key(mine, by_id, [cluster_id, "_id"]).withColumn(
+        "at", F.when(F.col("_n") == 1, F.col("at")).otherwise(repeated)
+    ).drop("_n")
     agreeing = my_keys.join(their_keys.drop("at"), [*by, "_id"], "left_semi").select(cluster_id, pos).distinct()
     moved = same_id.join(agreeing, [cluster_id, pos], "left_anti").select(
         cluster_id, pos, "at", F.lit("id_moved").alias("kind"), F.col("_id").alias("current_id")

@@ -25,6 +25,8 @@ HOT_GROUPS = 5_000
 #: Items a sketch tracks, and how many sketches are merged before the last merge.
 TRACKED, MERGES = 20_000, 256
 NULL_SHARES = 1024
+#: A table below this many bytes a row of a hot group is taken to hold none, and not read to find out.
+ROW_BYTES = 16
 _NONE_HOT: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
@@ -33,8 +35,12 @@ def hot_groups(
 ) -> DataFrame:
     """The groups with at least ``hot_rows`` rows by hash: ``_key, _rows``, no more than the ``most`` largest.
 
-    They are counted now, nearly; the result holds the list itself.
+    They are counted now, nearly; the result holds the list itself.  A table that the planner knows to be small is not counted.
     """
+    if size_of(df) <= hot_rows * ROW_BYTES:
+        none = df.sparkSession.createDataFrame([], "_key bigint, _rows bigint")
+        _NONE_HOT.add(none)
+        return none
     keyed = df.select(F.xxhash64(*group).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("_part"))
     each = keyed.groupBy("_part").agg(F.expr(f"approx_top_k_accumulate(_key, {TRACKED}) AS _sketch"))
     # grouped by a constant, so that no rows give no sketch
@@ -86,11 +92,14 @@ def _spread(df: DataFrame, parts: Column | int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(parts) if isinstance(parts, int) else parts)
 
 
+def size_of(df: DataFrame) -> int:
+    """The planner's estimate of a table's bytes; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_broadcast(df: DataFrame) -> bool:
     """Whether the planner, by what it knows of the size, broadcasts this side of a join."""
-    state = df._jdf.sparkSession().sessionState()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= state.conf().autoBroadcastJoinThreshold()
+    return size_of(df) <= df._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def join_per_key(

@@ -242,6 +242,14 @@ SELECT o_orderkey, concat_ws(' ',
     + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS words
 FROM orders"""
 
+ORACLE["typed_option_inventory"] = """
+WITH o AS (SELECT o_orderkey, o_orderstatus AS status, o_custkey % 3 AS n FROM orders)
+SELECT o_orderkey, concat_ws(' ', '--flagText false', CASE WHEN n <> 0 THEN '--port ' || n END, '--portText ' || n,
+  CASE WHEN n <> 0 THEN '--ratio ' || n END,
+  '--setParameter ' || status || ' --setParameter 0 --setParameter true', CASE WHEN status = 'F' THEN '--shardsvr' END) AS arguments,
+  CAST(10 + CASE WHEN n <> 0 THEN 4 ELSE 0 END + CASE WHEN status = 'F' THEN 1 ELSE 0 END AS BIGINT) AS words
+FROM o"""
+
 # ---- joins
 
 ORACLE["cluster_edges"] = """

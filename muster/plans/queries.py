@@ -177,7 +177,7 @@ def import_snapshot(spark, sf_dir):
         check=col("n_chars") >= 400, stop_on_error=False, rejects=rejects,
     )
     loaded = spark.read.parquet(dest).withColumn("outcome", F.lit("loaded"))
-    return loaded.unionByName(spark.read.parquet(rejects).withColumn("outcome", F.lit("rejected")))
+    return loaded.unionByName(spark.read.parquet(rejects).withColumn("outcome", F.lit("rejected"))).drop("load")
 
 
 @query
@@ -368,6 +368,21 @@ def option_inventory(spark, sf_dir):
     return out.withColumn("words", col("words").cast("bigint"))
 
 
+@query
+def typed_option_inventory(spark, sf_dir):
+    """Options as they stand in a JSON document: numbers and flags go where they are zero or false, the same texts stay."""
+    status = col("o_orderstatus")
+    number = col("o_custkey") % 3
+    given = F.concat(
+        F.lit('{"port":'), text(number), F.lit(',"portText":"'), text(number), F.lit('","ratio":'), text(number), F.lit(".0"),
+        F.lit(',"shardsvr":'), F.when(status == "F", "true").otherwise("false"), F.lit(',"flagText":"false"'),
+        F.lit(',"none":null,"empty":"","noItems":[],"setParameter":["'), status, F.lit('",0,true]}'),
+    )
+    docs = fleet.table(spark, sf_dir, "orders").select("o_orderkey", F.from_json(given, "map<string,variant>").alias("options"))
+    out = options.option_inventory(docs, "options", ["o_orderkey"])
+    return out.withColumn("words", col("words").cast("bigint"))
+
+
 # ---- joins -------------------------------------------------------------------------------------
 
 @query

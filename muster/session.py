@@ -75,6 +75,15 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
 
 
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder, which a file system does in one step; the folder it goes to is made."""
+    path, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    system = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(to.getParent())
+    if not system.rename(path, to):
+        raise OSError(f"cannot move {path} to {to}")
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """An empty file, which says that something is done."""
     file = spark._jvm.org.apache.hadoop.fs.Path(path)

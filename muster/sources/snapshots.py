@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.lookup import document_condition
+from muster.session import folder_names, move_folder, remove_folder
 
 
 def _condition(df: DataFrame, where: dict | Column | None) -> Column | None:
@@ -47,14 +49,22 @@ def import_snapshot(
     check: Column | None = None,
     stop_on_error: bool = True,
     rejects: str | None = None,
+    load_id: str | None = None,
 ) -> None:
-    """Load an exported snapshot into ``dest``.
+    """Load an exported snapshot into ``dest``, as its partition ``load=<load_id>``.
 
     ``drop`` replaces what is there, else rows are added.  With ``schema`` the snapshot must have those
     columns.  ``check`` must hold for every row: a row that fails ends the import, or, with
     ``stop_on_error`` off, goes to ``rejects`` while the others are loaded.
+
+    All rows are written in one pass to a folder readers do not see, and published by renaming it; a failure before that leaves
+    ``dest`` as it was.  A load with an id that is there already is not made again, so an import that is repeated under its id
+    neither repeats nor loses rows.
     """
+    load = f"load={load_id or uuid.uuid4().hex}"
     df = read_snapshot(spark, src, where)
+    if "load" in df.columns:
+        df = df.drop("load")  # of an earlier import
     if schema is not None:
         wanted = spark.createDataFrame([], schema).schema
         have = {f.name: f.dataType for f in df.schema.fields}
@@ -62,20 +72,33 @@ def import_snapshot(
         if wrong:
             raise ValueError(f"snapshot {src} lacks or mistypes: {', '.join(wrong)}")
         df = df.select(*[f.name for f in wanted.fields])
-    mode = "overwrite" if drop else "append"
-    if check is None:
-        df.write.mode(mode).parquet(dest)
-        return
-    good = F.coalesce(check, F.lit(False))
+    if check is not None and not stop_on_error and rejects is None:
+        raise ValueError("name a path for rejected rows")
+    good = F.lit(True) if check is None else F.coalesce(check, F.lit(False))
     if stop_on_error:
         row = F.to_json(F.struct(*df.columns))
         failed = F.raise_error(F.concat(F.lit("rejected row: "), row)).cast("boolean")
-        df.where(F.when(good, True).otherwise(failed)).write.mode(mode).parquet(dest)
-        return
-    if rejects is None:
-        raise ValueError("name a path for rejected rows")
-    df.where(good).write.mode(mode).parquet(dest)
-    df.where(~good).write.mode(mode).parquet(rejects)
+        good = F.when(good, True).otherwise(failed)
+    if load not in folder_names(spark, dest):
+        _stage_and_publish(df, good, dest, rejects, load)
+    if drop:
+        for name in folder_names(spark, dest):
+            if name != load:
+                remove_folder(spark, f"{dest}/{name}")
+
+
+def _stage_and_publish(df: DataFrame, good: Column, dest: str, rejects: str | None, load: str) -> None:
+    spark, staged = df.sparkSession, f"{dest}/.staged-{load.removeprefix('load=')}"
+    df.withColumn("_outcome", F.when(good, "loaded").otherwise("rejected")).write.mode("overwrite").partitionBy("_outcome").parquet(staged)
+    targets = {"rejected": rejects, "loaded": dest} if rejects else {"loaded": dest}
+    for outcome, target in targets.items():
+        folder = f"{staged}/_outcome={outcome}"
+        if f"_outcome={outcome}" not in folder_names(spark, staged):
+            df.limit(0).write.parquet(folder)  # no rows, but a schema
+        if load in folder_names(spark, target):
+            remove_folder(spark, f"{target}/{load}")  # left by an attempt that did not come to its end
+        move_folder(spark, folder, f"{target}/{load}")
+    remove_folder(spark, staged)
 
 
 def replay_changes(

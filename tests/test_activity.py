@@ -97,6 +97,42 @@ def test_snapshot_roundtrip(spark, table, tmp_path):
     assert spark.read.parquet(bad).select("server").distinct().collect()[0].server == "hot"
 
 
+def test_an_import_is_published_whole_or_not_at_all(spark, table, tmp_path, monkeypatch):
+    """A failure between the write and the publication leaves the destination as it was; the repeated load comes once."""
+    src, dest, bad = (str(tmp_path / n) for n in ("src", "dest", "bad"))
+    snapshots.export_snapshot(table, src)
+    snapshots.import_snapshot(spark, src, dest, where={"op": "view"}, load_id="before")
+    before = sorted(map(str, spark.read.parquet(dest).collect()))
+    moved, real = [], snapshots.move_folder
+
+    def broken(spark, path, to):
+        if len(moved) == broken.stop:
+            raise OSError("lost")
+        moved.append(to)
+        real(spark, path, to)
+
+    def load():
+        snapshots.import_snapshot(
+            spark, src, dest, check=F.col("server") != "hot", stop_on_error=False, rejects=bad, load_id="L1")
+
+    monkeypatch.setattr(snapshots, "move_folder", broken)
+    for broken.stop in (0, 1):  # before the rejected rows are published, and between them and the others
+        moved.clear()
+        with pytest.raises(OSError):
+            load()
+        assert sorted(map(str, spark.read.parquet(dest).collect())) == before
+    monkeypatch.setattr(snapshots, "move_folder", real)
+    for _ in range(3):
+        load()
+    loaded, rejected = spark.read.parquet(dest).where("load = 'L1'"), spark.read.parquet(bad)
+    assert loaded.where("server = 'hot'").isEmpty() and rejected.where("server <> 'hot'").isEmpty()
+    assert loaded.count() + rejected.count() == table.count()
+    assert spark.read.parquet(dest).where("load = 'before'").count() == len(before)
+    assert not list(tmp_path.rglob(".staged*"))
+    snapshots.import_snapshot(spark, src, dest, drop=True, load_id="L2")
+    assert [r.load for r in spark.read.parquet(dest).select("load").distinct().collect()] == ["L2"]
+
+
 def test_replay(spark):
     base = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
     log = spark.createDataFrame(

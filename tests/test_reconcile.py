@@ -195,3 +195,17 @@ def test_relocation_needs_a_known_shard(spark):
     shards = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     got = {(r.db, r.destination, r.error) for r in reconcile.plan_relocation(holdings, moves, shards, "shard", "id").collect()}
     assert got == {("db1", "b", None), ("db2", "b", None), ("db3", "zzz", "unknown destination")}
+
+
+def test_a_repeated_current_id_is_named(spark):
+    members = spark.createDataFrame([("c", 0, 1, "h:1"), ("d", 0, 2, "h:1")], "cluster string, pos int, id int, address string")
+    current = spark.createDataFrame(
+        [("c", 1, 0, "x:1"), ("d", 2, 0, "h:1"), ("d", 7, 1, "y:1"), ("d", 7, 2, "z:1")], "cluster string, id int, at int, host string")
+
+    def drift(rows):
+        return reconcile.find_drift(members, rows, "cluster", "pos", "id", F.col("address"), F.col("host")).collect()
+
+    assert [(r.cluster, r.kind) for r in drift(current)] == [("c", "id_moved")]  # no member asks for id 7
+    again = current.unionByName(spark.createDataFrame([("c", 1, 1, "y:1")], current.schema))
+    with pytest.raises(Exception, match="id 1 repeats in the current configuration of c"):
+        drift(again)

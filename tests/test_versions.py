@@ -107,3 +107,20 @@ def test_artifacts(spark):
     assert ("2.6.0", "community_ssl") not in got
     assert got["2.6.0", "enterprise"].endswith("/linux/mongodb-linux-x86_64-subscription-debian71-2.6.0.tgz")
     assert got["3.2.9", "community_ssl"].endswith("/linux/mongodb-linux-x86_64-debian71-3.2.9.tgz")
+
+
+def test_typed_options_keep_texts(spark):
+    """The number 0 goes, the text "0" stays; lists, numbers and flags are rendered by their types."""
+    rows = [
+        ('{"a":0,"b":"0","c":false,"d":"false","e":true,"f":"true","g":1.5,"h":[1,"x y",false],"i":{"k":1},"j":null,"k":"","l":[],"m":{}}',
+         ["--b", "0", "--d", "false", "--e", "--f", "true", "--g", "1.5", "--h", "1", "--h", "x y", "--h", "false", "--i", '{"k":1}']),
+        ("{}", []), ('{"n":-0.0,"o":00}'.replace("00", "0"), []), (None, None), ('{"big":12345678901234567890}', ["--big", "12345678901234567890"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    typed = df.select("i", F.from_json("t", "map<string,variant>").alias("o"))
+    got = {r.i: r.a for r in typed.select("i", op.typed_arguments(F.col("o")).alias("a")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+    some = typed.where("i = 0").select(op.typed_arguments(F.col("o"), ["e", "b", "zz"]).alias("a")).first().a
+    assert some == ["--b", "0", "--e"]
+    listed = op.option_inventory(typed.where("i = 0"), "o", ["i"], ["g"]).first()
+    assert (listed.arguments, listed.words) == ("--g 1.5", 2)
