@@ -22,17 +22,21 @@ def address_keys(
     """One row per way to recognise an address: its host name and each of its IPs, with the port.
 
     Two addresses are the same if they share a row, so sameness becomes an equi-join.  A host that is
-    not in the host table has its name only.
+    not in the host table has its name only.  The table is read once: the IPs come as an array per host, which is
+    joined by the host and unfolded together with the name.
     """
-    named = df.select(*keep, host_of(address).alias("_host"), port_of(address).alias("port"))
-    by_name = named.select(*keep, F.lit("host").alias("key_kind"), F.col("_host").alias("key"), "port")
+    named = df.select(*keep, host_of(address).alias("_host"), port_of(address).alias("port")).where(F.col("_host").isNotNull())
     if hosts is None:
-        return by_name.where(F.col("key").isNotNull())
-    known = hosts.select(F.col("host").cast("string").alias("_h"), F.col("ip").cast("string").alias("key"))
-    by_ip = named.join(known, named["_host"] == known["_h"]).select(
-        *keep, F.lit("ip").alias("key_kind"), "key", "port"
-    )
-    return by_name.unionByName(by_ip).where(F.col("key").isNotNull())
+        return named.select(*keep, F.lit("host").alias("key_kind"), F.col("_host").alias("key"), "port")
+    known = hosts.groupBy(F.col("host").cast("string").alias("_host")).agg(F.collect_set(F.col("ip").cast("string")).alias("_ips"))
+    found = join_per_key(named, known, ["_host"], "left")
+
+    def way(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("key_kind"), key.alias("key"))
+
+    ips = F.transform(F.coalesce("_ips", F.expr("cast(array() as array<string>)")), lambda ip: way("ip", ip))
+    ways = F.inline(F.concat(F.array(way("host", F.col("_host"))), ips))
+    return found.select(*keep, "port", ways).select(*keep, "key_kind", "key", "port")
 
 
 def match_addresses(
@@ -61,8 +65,7 @@ def match_addresses(
         .groupBy(*by)
         .agg(F.min(F.struct(order.alias("_order"), F.struct(*right_value).alias("_value"))).alias("_first"))
     )
-    return (
-        join_per_key(address_keys(left, scope + ids, left_address, hosts), firsts, by)
-        .groupBy(*scope, *ids)
-        .agg(F.min("_first")["_value"].alias("match"))
-    )
+    found = join_per_key(address_keys(left, scope + ids, left_address, hosts), firsts, by)
+    if hosts is None:  # one key a row
+        return found.select(*scope, *ids, F.col("_first._value").alias("match"))
+    return found.groupBy(*scope, *ids).agg(F.min("_first")["_value"].alias("match"))
