@@ -2,13 +2,17 @@
 
 A block is a stretch of a text's words, across line ends, that is at most a fifth longer than the template (``SLACK``): a
 notice may be wrapped, and its words may not be gathered from far apart.  A template matches a block if at least
-``threshold`` of the template's distinct words are in the block; of blocks that overlap the best is taken, whatever
-their templates.  A block must hold the template's ``TELLING`` words and none of its ``BARRED`` ones, by which notices that
-share most of their words differ.  Words are put in the order of how many blocks of all documents hold them, rarest first; a block that reaches
-the threshold must hold one of a template's first ``|T| - ceil(threshold * |T|) + 1`` words in that order (prefix
-filter), must have enough words (length filter), and enough words of the template must be left behind the first
-common one (positional filter).  The filters only drop blocks that cannot reach the threshold; what is left is
-counted exactly, so every block that meets it is found.
+``threshold`` of the template's distinct words are in the block.  Every such block of every template is found; of blocks of
+one template that overlap, the best is given for all.  Blocks of different templates may overlap.
+
+Words are put in the order of how many lines of all documents hold them, rarest first.  A block that reaches the threshold
+must hold one of a template's first ``|T| - ceil(threshold * |T|) + 1`` words in that order, so only the words around such a word are
+looked at (prefix filter); there must be enough of the template's words among them (length filter), and enough of the template must
+be left from the rarest of these on (positional filter).  The filters only drop what cannot reach the threshold; in what is left
+the words of every block are counted, by a window that moves from one word of the template to the next.
+
+Labelling is a step of its own: a block is ``named`` if it holds the template's ``TELLING`` words and none of its ``BARRED`` ones,
+by which notices that share most of their words differ.
 
 The templates are a small fixed list, so they and the counts of their words go to every task; documents are never
 shuffled.  Null texts are empty, and an empty text has no words, blocks or labels.
@@ -74,7 +78,7 @@ SLACK = 0.2
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, places array<struct<word:bigint,label:string>>, "
-    "blocks array<struct<block:bigint,word:bigint,label:string,containment:double>>"
+    "blocks array<struct<block:bigint,word:bigint,label:string,containment:double,named:boolean>>"
 )
 
 
@@ -88,7 +92,7 @@ def template_sets(templates: dict[str, str]) -> dict[str, frozenset[bytes]]:
 
 
 def word_counts(df: DataFrame, templates: dict[str, str]) -> dict[bytes, int]:
-    """In how many blocks of all documents each template word stands; as many rows as there are template words."""
+    """In how many lines of all documents each template word stands; as many rows as there are template words."""
     known = frozenset().union(*template_sets(templates).values())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,78 +126,92 @@ class Matcher:
             label: math.floor((1 + SLACK) * sum(map(len, blocks_of(templates[label].encode())))) for label in sets
         }
         self.index: dict[bytes, list[tuple[str, int]]] = {}
+        self.place: dict[str, dict[bytes, int]] = {}
         for label, words in sets.items():
             ordered = sorted(words, key=self.rank.__getitem__)
             need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
             self.needed[label], self.size[label] = need, len(ordered)
+            self.place[label] = {word: at for at, word in enumerate(ordered)}
             for at, word in enumerate(ordered[: len(ordered) - need + 1]):
                 self.index.setdefault(word, []).append((label, at))
         self.prefixes = frozenset(self.index)
 
-    def match(self, block: list[bytes]) -> list[tuple[str, float]]:
-        if self.prefixes.isdisjoint(block):
-            return []
-        words = frozenset(block)
-        ranked = sorted((w for w in words if w in self.rank), key=self.rank.__getitem__)
-        tried, found = set(), []
-        for at, word in enumerate(ranked):
-            for label, place in self.index.get(word, ()):
-                if label in tried:
-                    continue
-                tried.add(label)
-                need, size = self.needed[label], self.size[label]
-                if len(words) < need or 1 + min(size - place - 1, len(ranked) - at - 1) < need:
-                    continue
-                common = len(words & self.words[label])
-                if common >= need:
-                    found.append((label, common / size))
-        return sorted(found)
-
+    def regions(self, words: list[bytes]) -> Iterator[tuple[str, list[tuple[int, bytes]]]]:
+        """(label, its words with their places) wherever a block of a template may lie; the three filters."""
+        near: dict[str, list[list[int]]] = {}
+        for at, word in enumerate(words):
+            for label, _ in self.index.get(word, ()):
+                spans = near.setdefault(label, [])
+                if spans and at - self.width[label] < spans[-1][1]:
+                    spans[-1][1] = at + self.width[label]
+                else:
+                    spans.append([at - self.width[label] + 1, at + self.width[label]])
+        for label, spans in near.items():
+            known, need, size = self.words[label], self.needed[label], self.size[label]
+            for start, stop in spans:
+                held = [(at, words[at]) for at in range(max(start, 0), min(stop, len(words))) if words[at] in known]
+                distinct = {word for _, word in held}
+                rarest = min(self.place[label][word] for word in distinct)
+                if len(distinct) >= need and size - rarest >= need:
+                    yield label, held
+
+    def windows(self, held: list[tuple[int, bytes]], label: str) -> Iterator[tuple[int, int, int]]:
+        """(start, stop, distinct words) of the block that begins at each word of the template, if it reaches the threshold."""
+        count: Counter[bytes] = Counter()
+        after = 0
+        for start, (at, word) in enumerate(held):
+            while after < len(held) and held[after][0] < at + self.width[label]:
+                count[held[after][1]] += 1
+                after += 1
+            if len(count) >= self.needed[label]:
+                stop, seen = after, set()
+                for stop, (_, other) in enumerate(held[start:after], start):  # noqa: B007
+                    seen.add(other)
+                    if len(seen) == len(count):
+                        break
+                yield at, held[stop][0] + 1, len(count)
+            count[word] -= 1
+            if not count[word]:
+                del count[word]
 
-    def find(self, words: list[bytes]) -> list[tuple[int, str, float]]:
-        """(place of the first word, label, containment) of the best blocks of a text, in the order of their places."""
+    def find(self, words: list[bytes]) -> list[tuple[int, str, float, bool]]:
+        """(place of the first word, label, containment, named) of the blocks of a text, in the order of their places."""
         if self.prefixes.isdisjoint(words):
             return []
-        places = [(at, w) for at, w in enumerate(words) if w in self.rank]
-        starts: dict[str, set[int]] = {}
-        for i, (at, word) in enumerate(places):
-            for label, _ in self.index.get(word, ()):
-                known, width, b = self.words[label], self.width[label], i
-                while b >= 0 and places[b][0] > at - width:
-                    if places[b][1] in known:
-                        starts.setdefault(label, set()).add(b)
-                    b -= 1
-        blocks = []
-        for label, firsts in starts.items():
-            known, size = self.words[label], self.size[label]
-            for b in firsts:
-                common, start, end = set(), places[b][0], 0
-                for at, word in itertools.islice(places, b, None):
-                    if at >= start + self.width[label]:
-                        break
-                    if word in known and word not in common:
-                        common.add(word)
-                        end = at + 1
-                if (
-                    len(common) >= self.needed[label] and common >= self.telling.get(label, set())
-                    and self.barred.get(label, set()).isdisjoint(words[start:end])
-                ):
-                    blocks.append((-len(common) / size, -len(common), end - start, start, label))
-        taken: list[tuple[int, int, str, float]] = []
-        for share, _, length, start, label in sorted(blocks):
-            if all(start + length <= a or b <= start for a, b, _, _ in taken):
-                taken.append((start, start + length, label, -share))
-        return [(start, label, share) for start, _, label, share in sorted(taken)]
+        found = []
+        for label, held in self.regions(words):
+            for start, stop, common in self.apart(held, label):
+                block = words[start:stop]
+                named = self.telling.get(label, set()).issubset(block) and self.barred.get(label, set()).isdisjoint(block)
+                found.append((start, label, common / self.size[label], named))
+        return sorted(found)
+
+    def apart(self, held: list[tuple[int, bytes]], label: str) -> Iterator[tuple[int, int, int]]:
+        """Blocks that do not overlap, the best first, and again between them until no block is left that overlaps none."""
+        gaps = [held]
+        while gaps:
+            gap = gaps.pop()
+            taken: list[tuple[int, int]] = []
+            for common, length, start in sorted((-c, b - a, a) for a, b, c in self.windows(gap, label)):
+                at = bisect.bisect(taken, (start, start))
+                if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < start + length):
+                    continue
+                taken.insert(at, (start, start + length))
+                yield start, start + length, -common
+            for (_, after), (before, _) in zip([(0, gap[0][0]), *taken], [*taken, (gap[-1][0] + 1, 0)], strict=True) if taken else ():
+                rest = gap[bisect.bisect_left(gap, (after,)) : bisect.bisect_left(gap, (before,))]
+                if len(rest) >= self.needed[label]:
+                    gaps.append(rest)
 
 
 def scan_licenses(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
     threshold: float = 0.8, phrases: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A row per document: its words, every place of a phrase, and every block with every template it reaches.
+    """A row per document: its words, every place of a phrase, and every block that reaches a template.
 
     ``places`` holds the word position and label of each phrase, ``blocks`` the line and the position of the block's
-    first word, the template and its containment.
+    first word, the template, its containment, and whether the block is named after it.
     """
     telling, barred = (TELLING, BARRED) if templates is None else ({}, {})
     templates = TEMPLATES if templates is None else templates
@@ -210,8 +228,8 @@ def scan_licenses(
                 lines = blocks_of(text)
                 ends = list(itertools.accumulate(map(len, lines)))
                 hits = [
-                    {"block": bisect.bisect_right(ends, at), "word": at, "label": label, "containment": share}
-                    for at, label, share in (matcher.find([w for line in lines for w in line]) if matcher else ())
+                    {"block": bisect.bisect_right(ends, at), "word": at, "label": label, "containment": share, "named": named}
+                    for at, label, share, named in (matcher.find([w for line in lines for w in line]) if matcher else ())
                 ]
                 joined = b" %s " % b" ".join([b" ".join(x) for x in lines if x])
                 found = []
@@ -229,6 +247,7 @@ def scan_licenses(
                     pa.array(places, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
                     pa.array(blocks, pa.list_(pa.struct([
                         ("block", pa.int64()), ("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64()),
+                        ("named", pa.bool_()),
                     ]))),
                 ],
                 names=["doc_id", "n_words", "places", "blocks"],

@@ -120,13 +120,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     words = F.transform("places", lambda p: p["word"])
     base = F.transform("places", lambda p: p["label"])
-    blocks = F.transform("blocks", lambda b: b["label"])
+    named = F.filter("blocks", lambda b: b["named"])
+    blocks = F.transform(named, lambda b: b["label"])
 
     def joined(labels):
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
     shares = F.concat(
-        F.transform("blocks", lambda b: b["containment"]), F.transform("places", lambda p: F.lit(1.0).cast("double"))
+        F.transform(named, lambda b: b["containment"]), F.transform("places", lambda p: F.lit(1.0).cast("double"))
     )
     return found.select(
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),

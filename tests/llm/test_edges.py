@@ -3,6 +3,7 @@
 import itertools
 import random
 import textwrap
+import time
 
 import numpy as np
 import public_tokenizers
@@ -371,24 +372,51 @@ def test_near_notices_are_told_apart(spark):
     ]
     given = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id bigint, text string")
     for r in collected(licenses.scan_licenses(given)):
-        assert [b["label"] for b in r["blocks"]] == cases[r["doc_id"]][1], cases[r["doc_id"]][0]
+        assert [b["label"] for b in r["blocks"] if b["named"]] == cases[r["doc_id"]][1], cases[r["doc_id"]][0]
+    both = licenses.TEMPLATES["gpl-notice"] + ", version 3"
+    found = collected(licenses.scan_licenses(spark.createDataFrame([(1, both)], "doc_id bigint, text string")))[0]["blocks"]
+    assert [(b["label"], b["containment"], b["named"]) for b in found] == [("gpl-notice", 1.0, True), ("gpl-version", 1.0, True)]
 
 
-def test_license_join_against_all_pairs():
-    """The filters lose no block that meets the threshold."""
-    vocabulary = [f"w{i}".encode() for i in range(30)]
-    templates = {f"t{i}": " ".join(w.decode() for w in rng.sample(vocabulary, rng.randint(1, 12))) for i in range(15)}
+def test_license_blocks_against_all_windows():
+    """A block is given for every window of a text that meets the threshold: each is one of them, and each overlaps one given."""
+    vocabulary = [f"w{i}".encode() for i in range(14)]
+    templates = {f"t{i}": " ".join(w.decode() for w in rng.choices(vocabulary, k=rng.randint(1, 9))) for i in range(12)}
     counts = {w: rng.randint(0, 9) for w in vocabulary}
     sets = licenses.template_sets(templates)
+    met = 0
     for threshold in (0.5, 0.8, 1.0):
         matcher = licenses.Matcher(templates, counts, threshold)
-        for _ in range(400):
-            block = [rng.choice(vocabulary) for _ in range(rng.randint(0, 25))]
-            want = sorted(
-                (label, len(words & set(block)) / len(words)) for label, words in sets.items()
-                if len(words & set(block)) >= threshold * len(words) - 1e-9 and words & set(block)
-            )
-            assert matcher.match(block) == want
+        for _ in range(150):
+            text = [rng.choice([*vocabulary, b"x", b"y"]) for _ in range(rng.randint(0, 40))]
+            got = {label: [] for label in sets}
+            for start, label, share, _ in matcher.find(text):
+                got[label].append((start, share))
+            for label, words in sets.items():
+                width = matcher.width[label]
+                windows = {
+                    (a, b): len(words & set(text[a:b])) / len(words) for a in range(len(text)) for b in range(a + 1, min(a + width, len(text)) + 1)
+                    if len(words & set(text[a:b])) >= threshold * len(words) - 1e-9
+                }
+                given = [min(((b, a) for (a, b), s in windows.items() if a == start and s == share), default=None) for start, share in got[label]]
+                assert None not in given
+                met += len(given)
+                for a, b in windows:
+                    assert any(a < stop and start < b for stop, start in given), (label, a, b)
+                for (stop, _), (_, start) in zip(sorted(given), sorted(given)[1:]):
+                    assert stop <= start
+    assert met > 1000
+
+
+def test_many_notices_in_one_text(spark):
+    """Fifty thousand notices are found one by one, in time that grows with the text."""
+    line = licenses.TEMPLATES["mit-notice"] + ". "
+    matcher = licenses.Matcher(licenses.TEMPLATES, {}, 0.8, licenses.TELLING, licenses.BARRED)
+    words = [w for part in licenses.blocks_of((line + "x y z ") .encode() * 50_000) for w in part]
+    started = time.time()
+    found = matcher.find(words)
+    assert sum(label == "mit-notice" and share == 1.0 for _, label, share, _ in found) == 50_000
+    assert time.time() - started < 20
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
