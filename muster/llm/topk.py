@@ -4,7 +4,9 @@ A component x becomes floor(scale * x).  A vector is cut into 1, then 4, then 16
 and the length of the deviation from it are kept.  For a segment of n components the inner product is at most
 ``n * mean * mean' + deviation * deviation'`` (Cauchy-Schwarz on the deviations), which bounds the squared distance
 from below through ``|x|² + |y|² - 2 <x, y>``.  The bounds are tried coarse to fine against the k-th best exact score
-known so far, and only what survives them all is scored exactly, in integers.
+known so far, which each level raises by scoring the k rows it puts first, and only what survives them all is scored exactly,
+in integers.  Where more than ``DENSE`` of a block's pairs are left, a level or the scores are worked out for the whole block as a
+matrix product, which is faster than picking the pairs; what has been dropped stays dropped.
 
 Queries and rows are cut into tiles by hash: a query tile meets every slice of rows, so a task holds one tile and one
 slice, whatever the sizes of the tables, and hands on k rows per query.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 LEVELS = (1, 4, 16)
 CHUNK = 256
+DENSE = 1 / 16
 
 
 def usable(vector: Column) -> Column:
@@ -62,6 +65,12 @@ def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.array(whole, dtype=np.int64)  # raises OverflowError beyond 64 bits
 
 
+def whole_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """All inner products as float64 of whole numbers; None if they might not be exact."""
+    most = left.shape[-1] * np.abs(left).max(initial=0) * np.abs(right).max(initial=0)
+    return left @ right.T if most < 2**53 else None
+
+
 def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int):
     """(query position, candidate position, score) of the k best of each query within one tile."""
     stats = [segments(c, n) for n in LEVELS]
@@ -69,39 +78,60 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, len(q), CHUNK):
         part, ids = q[start : start + CHUNK], q_ids[start : start + CHUNK]
-        own = ids[:, None] == c_ids[None, :]
-        slack = 1e-9 * (1 + np.sqrt((part**2).sum(1)))[:, None] * (1 + norms)[None, :]  # rounding of the bounds
-        bound = None
-        mine = [segments(part, n) for n in LEVELS]
-        coarse = mine[0][0] @ stats[0][0].T + mine[0][1] @ stats[0][1].T + slack
-        coarse[own] = -np.inf
-        # a first threshold: the exact scores of the k rows with the best bound of the finest level
-        bound = np.minimum(coarse, mine[-1][0] @ stats[-1][0].T + mine[-1][1] @ stats[-1][1].T + slack)
-        first = min(k, c.shape[0])
-        tried = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        rows = np.repeat(np.arange(len(part)), first)
-        scores = exact(part[rows], c[tried.ravel()]).astype(np.float64).reshape(len(part), first)
-        scores[np.take_along_axis(own, tried, 1)] = -np.inf
-        floor = scores.min(axis=1) if first == k else np.full(len(part), -np.inf)
-        alive = (coarse >= floor[:, None]) & ~own
-        left, right = np.nonzero(alive)
-        for level in range(1, len(LEVELS)):
-            upper = (
-                np.einsum("ij,ij->i", mine[level][0][left], stats[level][0][right])
-                + np.einsum("ij,ij->i", mine[level][1][left], stats[level][1][right])
-                + slack[left, right]
-            )
-            keep = upper >= floor[left]
-            left, right = left[keep], right[keep]
-        score = exact(part[left], c[right])
-        order = np.lexsort((c_ids[right], -score, left))
-        left, right, score = left[order], right[order], score[order]
-        place = np.arange(len(left)) - np.searchsorted(left, left)
-        keep = place < k
-        out.append((left[keep] + start, right[keep], score[keep]))
+        alive = ids[:, None] != c_ids[None, :]
+        length = np.sqrt((part**2).sum(1))
+        floor = np.full(len(part), -np.inf)
+        for n, (mean, spread) in zip(LEVELS, stats, strict=True):
+            my_mean, my_spread = segments(part, n)
+            if alive.mean() > DENSE:
+                upper = my_mean @ mean.T
+                upper += my_spread @ spread.T
+                upper += 1e-9 * (1 + length)[:, None] * (1 + norms)[None, :]  # rounding of the bounds
+                upper[~alive] = -np.inf
+            else:
+                left, right = np.nonzero(alive)
+                upper = np.full(alive.shape, -np.inf)
+                upper[left, right] = (
+                    np.einsum("ij,ij->i", my_mean[left], mean[right]) + np.einsum("ij,ij->i", my_spread[left], spread[right])
+                    + 1e-9 * (1 + length)[left] * (1 + norms)[right]
+                )
+            floor = np.maximum(floor, kth_of_first(part, c, upper, k))
+            alive &= upper >= floor[:, None]
+        out.append(best_alive(part, c, c_ids, alive, k, start))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def kth_of_first(part: np.ndarray, c: np.ndarray, upper: np.ndarray, k: int) -> np.ndarray:
+    """The least exact score of the k rows with the highest bounds, of each query; -inf where there are fewer."""
+    if upper.shape[1] < k:
+        return np.full(len(part), -np.inf)
+    first = np.argpartition(upper, -k, axis=1)[:, -k:]
+    rows = np.repeat(np.arange(len(part)), k)
+    scores = exact(part[rows], c[first.ravel()]).astype(np.float64).reshape(len(part), k)
+    scores[np.take_along_axis(upper, first, 1) == -np.inf] = -np.inf
+    return scores.min(axis=1)
+
+
+def best_alive(part: np.ndarray, c: np.ndarray, c_ids: np.ndarray, alive: np.ndarray, k: int, start: int):
+    """The k best of the pairs that are left, ties by id."""
+    whole = whole_scores(part, c) if alive.mean() > DENSE else None
+    if whole is not None:
+        whole[~alive] = -np.inf
+        if whole.shape[1] > k:
+            alive = alive & (whole >= np.partition(whole, -k, axis=1)[:, -k, None])
+        left, right = np.nonzero(alive)
+        score = whole[left, right].astype(np.int64)
+    else:
+        left, right = np.nonzero(alive)
+        score = np.concatenate(
+            [exact(part[left[i : i + 65536]], c[right[i : i + 65536]]) for i in range(0, len(left), 65536)] or [np.empty(0, np.int64)]
+        )
+    order = np.lexsort((c_ids[right], -score, left))
+    left, right, score = left[order], right[order], score[order]
+    keep = np.arange(len(left)) - np.searchsorted(left, left) < k
+    return left[keep] + start, right[keep], score[keep]
+
+
 def top_k(
     queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
     scale: int = 256, tile_queries: int = 2048, slice_rows: int = 8192, least_slices: int = 48,

@@ -4,6 +4,7 @@ import itertools
 import random
 import textwrap
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -266,6 +267,31 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_of_one_slice():
+    """A whole slice against a chunk of queries: the same rows as all scores sorted, in bounded memory, dense or not."""
+    made = np.random.default_rng(8)
+    c = np.floor(256 * made.normal(size=(8192, 64)))
+    c[4000:6000] = c[4000]  # a vector with many copies
+    q = np.concatenate([c[:200], c[4000:4040], np.floor(40 * made.normal(size=(16, 64)))])
+    ids, q_ids = np.arange(8192), np.concatenate([np.arange(200), np.arange(4000, 4040), np.arange(9000, 9016)])
+    scores = (q @ c.T).astype(np.int64)
+    want = []
+    for row, own in zip(scores, q_ids, strict=True):
+        order = [i for i in np.lexsort((ids, -row)) if ids[i] != own][:5]
+        want.append([(int(i), int(row[i])) for i in order])
+    for dense in (topk.DENSE, 2.0):
+        topk.DENSE, before = dense, topk.DENSE
+        try:
+            tracemalloc.start()
+            left, right, score = topk.tile_top(q_ids, q, ids, c, 5)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+        finally:
+            topk.DENSE = before
+        assert [[(int(r), int(s)) for r, s in zip(right[left == i], score[left == i], strict=True)] for i in range(len(q))] == want
+        assert dense > 1 or peak < 500 << 20
+
+
 def test_personal_data(docs):
     found = collected(pii.find_spans(docs))
     assert set(found[0]) == {*docs.columns, "base", "spans"}
