@@ -153,8 +153,8 @@ def test_dropping_near_copies(docs):
     assert kept.columns == docs.columns
     rows = text_rows()
     group = grouped_by_bits([simhash.fingerprint((r[1] or "").encode()) % (1 << 64) for r in rows])
-    want = [min(r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None) for g in set(group)]
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    want = [min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=-1) for g in set(group)]
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted(want)
     nameless = docs.where("doc_id is null and text is null")
     assert simhash.keep_one(nameless.unionByName(nameless)).count() == 1
     assert collected(simhash.keep_one(docs.limit(0))) == []
