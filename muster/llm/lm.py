@@ -2,18 +2,23 @@
 
 A window network predicts every token from the ``SIDE`` tokens on either side of it: their embeddings, one table per
 place, are added up, squashed and mapped to the vocabulary in two steps, first to one of ``GROUPS`` groups of tokens and
-then to a token of the group, so that a token costs two short softmaxes instead of a long one.  A document's score is the sum of the log-probabilities of
-its tokens, each given its window; ``mean`` is the score per token.
+then to a token of the group, so that a token costs two short softmaxes instead of a long one.  A document's score is the sum of
+the log-probabilities of its words, each given its window; ``mean`` is the score per word.
+
+The tokens of the network are the ``VOCABULARY - 1 - CLASSES`` most frequent words and ``CLASSES`` classes, to which every
+other word belongs by its length and its first and last byte.  The probability of such a word is that of its class in the
+window times its share of the class, ``(n + 1) / (N + D + 1)``: n counts the word in all documents, N the words of the
+class, D the different ones, and the last 1 is left for a word that no document holds.  So every word of the corpus has a
+probability of its own, and the table of counts grows with the corpus.  It stays distributed: ``HELD`` words travel with
+the network, the others are joined by word.
 
-The vocabulary is the most frequent words of all documents; every other word falls into one of a few
-classes by its length and its first and last byte.
 Counting reads all documents.  Training is data-parallel in numpy: in each round every partition starts from the same
-weights, learns from its own documents and hands on its weights, which Spark averages by the number of tokens; the first
-round only warms up on a sixteenth of the documents by hash of the text, the last one learns from every token of every
-document.  What comes to the driver are the vocabulary and one set of weights, whatever the corpus holds; what the
-partitions hand on grows with it.
+weights, learns from its own documents and hands on its weights, which Spark averages by the number of tokens.  The rounds
+share the documents out by hash of the text, so that each is learned from once.  What comes to the driver are the held
+words, the totals per class and one set of weights, whatever the corpus holds; what the partitions hand on grows with it.
 
-Null and empty texts have no tokens, score 0 and a null mean.  An empty table gives an empty result.
+Null and empty texts have no tokens, score 0 and a null mean.  An empty table gives an empty result.  Rows that repeat,
+in id, text or both, are scored each.
 """
 
 from __future__ import annotations
@@ -29,12 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.common import LOWER, text_batches, texts
+from muster.session import materialise
 
 SIDE = 2
 HIDDEN = 32
 #: Token 0 stands beyond either end of a text; then come the classes of other words and the vocabulary.
 CLASSES = 31
 VOCABULARY = 256
+#: Words whose counts travel with the network; the counts of all others are joined.
+HELD = 20_000
 GROUPS = 16
 MEMBERS = VOCABULARY // GROUPS
 #: Tokens scored at once, and learned from in one step.
@@ -46,13 +54,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def frequent_words(docs: DataFrame, n: int = VOCABULARY - 1 - CLASSES) -> list[bytes]:
-    """The n most frequent words of all documents, ties to the smaller word."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """``word, kind, n``: every word of all documents, the class it would belong to, and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(seen: Counter) -> pa.RecordBatch:
+            words = pa.array(seen.keys(), pa.large_binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"]
+                [words.cast(pa.binary()), pa.array(shape_class(words), pa.int32()), pa.array(seen.values(), pa.int64())],
+                names=["word", "kind", "n"],
             )
 
         total: Counter[bytes] = Counter()
@@ -64,8 +74,7 @@ def frequent_words(docs: DataFrame, n: int = VOCABULARY - 1 - CLASSES) -> list[b
                 total = Counter()
         yield rows(total)
 
-    counts = docs.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]
+    return docs.mapInArrow(run, "word binary, kind int, n bigint").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
 def shape_class(words: pa.Array) -> np.ndarray:
@@ -108,8 +117,9 @@ class Network:
             at += w.size
         return Network(self.words, *parts)
 
-    def tokens(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens with SIDE empty places around each text, the positions of the tokens, and their text."""
+    def tokens(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """All tokens with SIDE empty places around each text; the positions of the tokens, their text and their word;
+        and the different words."""
         lowered = pa.array([v.translate(LOWER) for v in values], pa.large_binary()).view(pa.large_string())
         lists = pc.ascii_split_whitespace(lowered)
         coded = lists.values.dictionary_encode()
@@ -125,7 +135,7 @@ class Network:
         at = np.arange(len(doc)) + SIDE * (doc + 1)
         flat = np.zeros(len(doc) + SIDE * (len(values) + 1), np.uint8)
         flat[at] = token[index]
-        return flat, at, doc
+        return flat, at, doc, index, words
 
     def hidden(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The squashed sums of embeddings, and a constant 1 as the last column."""
@@ -150,10 +160,9 @@ class Network:
             np.matmul(hidden[a:b], self.member[g], out=out[a:b])
         return out
 
-    def score(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log-probabilities and number of tokens of each text."""
-        flat, at, doc = self.tokens(values)
-        total = np.zeros(len(values))
+    def score(self, flat: np.ndarray, at: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+        """The sum of the log-probabilities of each text's tokens."""
+        total = np.zeros(texts)
         for start in range(0, len(at), STEP):
             order, groups = self.by_group(flat, at[start : start + STEP])
             part, of = at[start : start + STEP][order], doc[start : start + STEP][order]
@@ -167,7 +176,7 @@ class Network:
             first = doc[start]
             sums = np.bincount(of - first, log_p)
             total[first : first + len(sums)] += sums
-        return total, np.bincount(doc, minlength=len(values))
+        return total
 
 
 def softmax_error(logits: np.ndarray, target: np.ndarray, scale: np.float32) -> np.ndarray:
@@ -188,7 +197,7 @@ class Trainer:
         self.n = 0
 
     def learn(self, values: list[bytes]) -> None:
-        flat, at, _ = self.net.tokens(values)
+        flat, at, *_ = self.net.tokens(values)
         at = self.rng.permutation(at)
         self.n += len(at)
         for start in range(0, len(at), STEP):
@@ -221,9 +230,18 @@ class Trainer:
             w -= self.rate * grad / np.sqrt(seen)
 
 
-def train(docs: DataFrame, network: Network, share: int, rate: float) -> Network:
-    """One round: every partition learns from its documents (one in ``share`` by hash), and the weights are averaged."""
-    part = docs if share == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+@dataclass
+class Model:
+    network: Network
+    held: list[bytes]  # the most frequent words that are no tokens of the network, and how often each occurs
+    held_n: np.ndarray
+    sizes: np.ndarray  # by class: occurrences, different words and 1 for a word not seen
+    counts: DataFrame  # word, n of all other words
+
+
+def train(docs: DataFrame, network: Network, part: int, parts: int, rate: float) -> Network:
+    """One round: every partition learns from its documents of the part, and the weights are averaged."""
+    mine = docs if parts == 1 else docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part % parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(network.unpacked(network.pack()), rate)
@@ -235,7 +253,7 @@ def train(docs: DataFrame, network: Network, share: int, rate: float) -> Network
                 names=["n", "weights"],
             )
 
-    learned = part.mapInArrow(run, "n bigint, weights array<float>")
+    learned = mine.mapInArrow(run, "n bigint, weights array<float>")
     each = learned.select("n", F.posexplode("weights").alias("at", "w"))
     mean = each.groupBy("at").agg((F.sum(F.col("n") * F.col("w").cast("double")) / F.sum("n")).alias("w"))
     rows = mean.collect()  # as many as the network has weights
@@ -248,27 +266,72 @@ def train(docs: DataFrame, network: Network, share: int, rate: float) -> Network
 
 
 def fit(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[tuple[int, float], ...] = ((16, 0.1), (1, 0.05))
-) -> Network:
-    """The network after the rounds, each given as (one in so many documents, rate)."""
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    rounds: tuple[tuple[int, float], ...] = ((2, 0.1), (2, 0.05)), held: int = HELD,
+) -> Model:
+    """The model after the rounds, each given as (parts, rate): round i learns from part i of so many, by hash."""
     docs = texts(df, id_col, text_col)
-    network = Network.start(frequent_words(docs))
-    for share, rate in rounds:
-        network = train(docs, network, share, rate)
-    return network
-
-
-def score(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, pseudo_log_likelihood, mean`` of every row."""
+    counts = materialise(count_words(docs), "words")
+    tokens = VOCABULARY - 1 - CLASSES
+    top = counts.orderBy(F.desc("n"), "word").limit(tokens + held).collect()
+    network = Network.start([bytes(r["word"]) for r in top[:tokens]])
+    sizes = np.ones(CLASSES + 1)
+    for r in counts.groupBy("kind").agg((F.sum("n") + F.count("n")).alias("size")).collect():  # a row per class
+        sizes[r["kind"]] += r["size"]
+    for r in top[:tokens]:
+        sizes[r["kind"]] -= r["n"] + 1
+    for part, (parts, rate) in enumerate(rounds):
+        network = train(docs, network, part, parts, rate)
+    rest = counts
+    if top:  # the words after the last one held, in the same order
+        last = top[-1]
+        after = (F.col("n") == last["n"]) & (F.col("word") > F.lit(bytearray(last["word"])))
+        rest = counts.where((F.col("n") < last["n"]) | after)
+    kept = top[tokens:]
+    return Model(network, [bytes(r["word"]) for r in kept], np.array([r["n"] for r in kept], np.float64), sizes,
+                 rest.select("word", "n"))
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, pseudo_log_likelihood, mean`` of every row.
+
+    A worker adds up all but the counts of words that are not held; these words go into a written table, whose row
+    numbers bring a row's parts together after the join by word.
+    """
+    network, held, sizes = model.network, model.held, np.log(model.sizes)
+    held_logs = np.append(np.log(model.held_n + 1), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_set = pa.array(held, pa.large_binary())
         for ids, values in text_batches(batches):
-            total, n = network.score(values)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+            flat, at, doc, index, words = network.tokens(values)
+            total = network.score(flat, at, doc, len(values))
+            token = flat[at]
+            other = (token > 0) & (token <= CLASSES)
+            doc_of, word = doc[other], index[other]
+            place = pc.index_in(words, value_set=value_set).fill_null(-1).to_numpy(zero_copy_only=False)[word]
+            share = held_logs[place] - sizes[token[other]]
+            total += np.bincount(doc_of, share, minlength=len(values))
+            rare = place < 0
+            pair, times = np.unique(doc_of[rare].astype(np.int64) * max(len(words), 1) + word[rare], return_counts=True)
+            ends = np.searchsorted(pair, np.arange(len(values) + 1, dtype=np.int64) * max(len(words), 1))
+            items = pa.StructArray.from_arrays(
+                [words.take(pa.array(pair % max(len(words), 1))).cast(pa.binary()), pa.array(times, pa.int32())],
+                names=["word", "times"],
+            )
+            n = np.bincount(doc, minlength=len(values)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n.astype(np.int64)), pa.array(total), mean],
-                names=["doc_id", "n_tokens", "pseudo_log_likelihood", "mean"],
+                [ids, pa.array(n), pa.array(total), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
+                names=["doc_id", "n_tokens", "known", "rare"],
             )
 
-    schema = "doc_id bigint, n_tokens bigint, pseudo_log_likelihood double, mean double"
-    return texts(df, id_col, text_col).mapInArrow(run, schema)
+    schema = "doc_id bigint, n_tokens bigint, known double, rare array<struct<word:binary,times:int>>"
+    rows = texts(df, id_col, text_col).mapInArrow(run, schema)
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    words = rows.select("row", F.inline("rare"))
+    more = words.join(model.counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log1p("n")).alias("more"))
+    total = F.col("known") + F.coalesce("more", F.lit(0.0))
+    return rows.drop("rare").join(more, "row", "left").select(
+        "doc_id", "n_tokens", total.alias("pseudo_log_likelihood"),
+        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean"),
+    )

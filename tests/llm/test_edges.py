@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 import textwrap
 import time
 import tracemalloc
@@ -241,6 +242,62 @@ def test_language_model_uses_both_sides(spark):
     assert sum(r["pseudo_log_likelihood"] for r in rows) / sum(r["n_tokens"] for r in rows) > -0.6  # counts alone: -1.79
 
 
+def plain_log_likelihood(model, counts, text):
+    """Every word by itself: softmax over the groups, softmax over the group's tokens, share of the class."""
+    net, words = model.network, text.lower().encode().split()
+    place = {w: i + 1 + lm.CLASSES for i, w in enumerate(net.words)}
+
+    def kind(w):
+        return 1 + (len(w) * 13 + w[0] * 7 + w[-1] * 5) % lm.CLASSES
+
+    tokens = [place.get(w, kind(w)) for w in words]
+    size = [1] * (lm.CLASSES + 1)
+    for w, n in counts.items():
+        if w not in place:
+            size[kind(w)] += n + 1
+    total = 0.0
+    for at, token in enumerate(tokens):
+        hidden = net.bias.astype(float)
+        for p, offset in enumerate(lm.OFFSETS):
+            hidden = hidden + net.near[p, tokens[at + offset] if 0 <= at + offset < len(tokens) else 0]
+        hidden = np.append(np.tanh(hidden), 1.0)
+        for logits, target in ((hidden @ net.group, token // lm.MEMBERS),
+                               (hidden @ net.member[token // lm.MEMBERS], token % lm.MEMBERS)):
+            total += logits[target] - np.log(np.exp(logits).sum())
+        if words[at] not in place:
+            total += np.log((counts.get(words[at], 0) + 1) / size[token])
+    return total
+
+
+def test_language_model_against_a_plain_sum(spark):
+    """Every word of the corpus counts, whether it is a token, held, joined or unknown; rows that repeat score each."""
+    gen = random.Random(4)
+    words = [f"w{int(gen.paretovariate(0.6)) % 3000}" for _ in range(20_000)]
+    rows = [(i % 190, " ".join(words[100 * i : 100 * i + 100])) for i in range(200)] + [(None, ""), (None, None)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = Counter(w for _, t in rows for w in (t or "").encode().split())
+    model = lm.fit(df, held=100)
+    assert len(counts) > 1000 and len(model.held) == 100 and model.counts.count() == len(counts) - 100 - len(model.network.words)
+    fresh = spark.createDataFrame([*rows, (7, "W1 notseen W2 notseen")], df.schema)
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["pseudo_log_likelihood"]) for r in collected(lm.score(fresh, model)))
+    want = sorted(
+        (i or -1, len((t or "").split()), plain_log_likelihood(model, counts, t or "")) for i, t in [*rows, (7, "W1 notseen W2 notseen")]
+    )
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-4, atol=1e-3)
+
+
+def test_rare_words_of_one_class_score_apart(spark):
+    """Two words with the same length and ends stand in the same places; the one that occurs more often scores higher."""
+    common = [f"c{i:03d}" for i in range(lm.VOCABULARY)]
+    rows = [(i, f"{' '.join(common)} ruby {' '.join(common)}") for i in range(20)] + [(20, f"{' '.join(common)} rapy {' '.join(common)}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    score = {r["doc_id"]: r["pseudo_log_likelihood"] for r in collected(lm.score(df, lm.fit(df, held=0)))}
+    # ruby occurs 20 times, rapy once: (20 + 1) / (1 + 1) as often, to the rounding of a batch
+    assert abs(score[0] - score[20] - np.log(21 / 2)) < 0.05
+
+
 def plain_top(vectors, k):
     q = {(i, n): [int(np.floor(256 * float(x))) for x in v] for n, (i, v) in enumerate(vectors)
          if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
