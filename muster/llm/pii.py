@@ -2,17 +2,22 @@
 
 Rules give the base spans: emails, IPv4 addresses, card numbers with a right check digit, and international phone
 numbers.  Beyond them, high-recall generators propose spans that may overlap.  Each proposal gets format and context
-features; gradient-boosted trees learn from all proposals of the corpus, counted by their features, which of them look
-like spans that the rules (or, for secrets, a cue such as ``token =``) confirm; the threshold per kind is the lowest at
-which a held-out half reaches ``precision``.  Proposals above it are added unless they overlap a base span or a better
-proposal; base spans always stay.
+features; gradient-boosted trees learn from all proposals of the corpus, counted by their features, which are personal
+data; the threshold per kind is the lowest at which a held-out half reaches ``precision``.  Proposals above it are added
+unless they overlap a base span or a better proposal; base spans always stay.
+
+What the trees learn for emails, cards and phones: the spans that the rules confirm are rewritten in loose formats
+(``name [at] host [dot] org``, groups parted by dots, no ``+``), each where it stands, and are the right ones; what the
+rules find in its own format teaches nothing, since it is never added.  Proposals on a span of another kind and those
+that cannot be what they are proposed as (``doubtful``) are the wrong ones.  The rest is unlabelled and takes no part in
+the fit.  For secrets, a cue such as ``token =`` makes a proposal right and its absence wrong.
 
 Only DataFrame functions are used: spans are found as the lengths of matches and of what lies between them, the
 training table is an aggregate whose rows are bounded by the binned features, and the trees become column expressions,
 so scoring neither shuffles nor leaves the JVM.
 
 Null texts are empty and have no spans.  Offsets count code points, ends are exclusive.  A corpus whose proposals are
-all confirmed or all unconfirmed adds nothing.
+all right or all wrong adds nothing.
 """
 
 from __future__ import annotations
@@ -54,6 +59,8 @@ CUES = {
     "pay": r"(?i)(?:card|visa|credit|debit|account|payment)\w{0,4}\W{0,6}(?:no|number)?\W{0,4}$",
     "key": r"(?i)(?:token|secret|passw\w{2,4}|api.?key|key|auth)\W{1,6}$",
 }
+#: Dates, which look like short phone numbers.
+DATE = r"^(?:(?:19|20)[0-9]{2}[./ -][0-9]{1,2}[./ -][0-9]{1,2}|[0-9]{1,2}[./ -][0-9]{1,2}[./ -](?:19|20)[0-9]{2})(?![0-9])"
 FEATURES = ["kind", "digits", "letters", "marks", "dots", "spaces", "length", "plus", "bracket", "at", "luhn", "runs",
             "mail", "call", "pay", "glued"]
 
@@ -135,29 +142,79 @@ def features(kind: str, span: Column) -> dict[str, Column]:
     }
 
 
+def doubtful(kind: str, match: Column) -> Column:
+    """Whether a proposal cannot be what it is proposed as, or has nothing but its digits to say so."""
+    if kind == "card":
+        return ~valid("card", match)
+    if kind == "phone":
+        parts = F.size(F.split(match, "[^0-9]++"))
+        return ~valid("phone", match) | (parts < 3) | match.rlike(DATE)
+    return F.lit(False)
+
+
+def loosened(kind: str, match: Column) -> Column:
+    """A base span in a format that its rule does not take; which one is chosen by a hash of the span."""
+    if kind == "email":
+        name, host = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+        dots = F.replace(host, F.lit("."), F.lit(" [dot] ")), F.replace(host, F.lit("."), F.lit("(dot)"))
+        ways = [
+            F.concat(name, F.lit(" [at] "), dots[0]), F.concat(name, F.lit("(at)"), dots[1]),
+            F.concat(name, F.lit(" (at) "), host), F.concat(name, F.lit("[at]"), host),
+        ]
+    elif kind == "card":
+        ways = [F.regexp_replace(digits(match), "([0-9]{4})(?=[0-9])", f"$1{mark}") for mark in "./"]
+    else:
+        plain = digits(match)
+        last = F.right(plain, F.lit(10))
+        ways = [F.regexp_replace(last, "^([0-9]+)([0-9]{3})([0-9]{4})$", way)
+                for way in ("$1-$2-$3", "$1.$2.$3", "($1) $2-$3", "$1 $2 $3")]
+        ways.append(F.regexp_replace(plain, "^([0-9]+)([0-9]{3})([0-9]{3})([0-9]{4})$", "$1-$2-$3-$4"))
+        ways.append(F.substring(match, 2, 64))
+    pick = F.pmod(F.xxhash64(match), F.lit(len(ways)))
+    return reduce(lambda out, at: F.when(pick == at, ways[at]).otherwise(out), range(1, len(ways)), ways[0])
+
+
+def proposal(kind: str, span: Column, good: Column) -> Column:
+    x = features(kind, span)
+    return F.struct(
+        F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"),
+        F.array(*[x[name].cast("int") for name in FEATURES]).alias("x"), good.cast("boolean").alias("good"),
+    )
+
+
 def proposals_of(kind: str, found: Column, base: Column) -> Column:
     def one(s: Column) -> Column:
-        x = features(kind, s)
         if kind == "secret":
-            good = F.coalesce(s["before"].rlike(CUES["key"]), F.lit(False))
-        else:
-            good = F.exists(base, lambda b: (b["kind"] == kind) & overlaps(b, s))
-        return F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            F.array(*[x[name].cast("int") for name in FEATURES]).alias("x"), good.alias("good"),
-        )
+            return proposal(kind, s, F.coalesce(s["before"].rlike(CUES["key"]), F.lit(False)))
+        same = F.exists(base, lambda b: (b["kind"] == kind) & overlaps(b, s))
+        other = F.exists(base, lambda b: (b["kind"] != kind) & overlaps(b, s))
+        return proposal(kind, s, F.when(~same & (other | doubtful(kind, s["match"])), F.lit(False)))
 
     return F.transform(found, one)
 
 
 def proposals(text: Column, base: Column) -> Column:
-    """``kind, start, end, x, good``: features as an array in the order of FEATURES, and whether a rule confirms it."""
+    """``kind, start, end, x, good``: features as an array in the order of FEATURES, and what a proposal teaches."""
     return F.concat(*[
         proposals_of(kind, pieces(text, pattern, LOOSE_NEEDS[kind]), base)
         for kind, pattern in LOOSE.items()
     ])
 
 
+def rewritten(text: Column) -> Column:
+    """Base spans as proposals in loose formats, all of them right."""
+    def of(kind: str) -> Column:
+        good = F.filter(pieces(text, BASE[kind], NEEDS[kind]), lambda s: valid(kind, s["match"]))
+        # a step of its own, so that the features refer to the new span instead of making it again each time
+        loose = F.transform(good, lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), loosened(kind, s["match"]).alias("match"),
+            s["before"].alias("before"),
+        ))
+        return F.transform(loose, lambda s: proposal(kind, s, F.lit(True)))
+
+    return F.concat(*[of(kind) for kind in ("email", "card", "phone")])
+
+
 def tree_columns(model, x: Column) -> Column:
     """The sum of the trees' weighted predictions as one column expression, from the model's description."""
     total = F.lit(0.0)
@@ -180,13 +237,13 @@ def tree_columns(model, x: Column) -> Column:
 def fit(counted: DataFrame, trees: int, depth: int, precision: float):
     """The boosted trees and the threshold per kind; None if there is nothing to tell apart.
 
-    ``counted`` has a row per features and outcome with the number ``n`` of such proposals.  Half of the feature rows,
-    by hash, train; the other half sets the thresholds.
+    ``counted`` has a row per features, outcome and half with the number ``n`` of such proposals.  One half of the
+    documents, by hash of their text, trains; the other half sets the thresholds.
     """
     rows = counted.select(
         "x", F.col("good").cast("int").cast("double").alias("label"), F.col("n").cast("double").alias("weight"),
         *[F.col("x")[i].cast("double").alias(f"f{i}") for i in range(len(FEATURES))],
-        (F.pmod(F.xxhash64("x"), F.lit(2)) == 0).alias("train"),
+        "train",
     )
     shaped = VectorAssembler(inputCols=[f"f{i}" for i in range(len(FEATURES))], outputCol="features").transform(rows)
     train = shaped.where("train")
@@ -197,17 +254,22 @@ def fit(counted: DataFrame, trees: int, depth: int, precision: float):
     scored = rows.where("not train").select(
         F.col("x")[0].alias("kind"), "label", "weight", F.round(tree_columns(model, F.col("x")), 2).alias("score")
     )
-    best: dict[int, float] = {}
-    sums: dict[int, list[float]] = {}
     # one row per kind and score of two decimals
     tally = scored.groupBy("kind", "score").agg(
         F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all")
     )
+    seen: dict[int, list] = {}
     for r in sorted(tally.collect(), key=lambda r: -r["score"]):
-        good, total = sums.get(r["kind"], [0.0, 0.0])
-        sums[r["kind"]] = [good + r["good"], total + r["all"]]
-        if sums[r["kind"]][0] >= precision * sums[r["kind"]][1]:
-            best[r["kind"]] = r["score"] - 0.005
+        seen.setdefault(r["kind"], []).append(r)
+    best: dict[int, float] = {}
+    for kind, steps in seen.items():
+        good = total = 0.0
+        for at, r in enumerate(steps):
+            good, total = good + r["good"], total + r["all"]
+            if good >= precision * total:
+                # half-way to the next score seen; below the last one, to even odds
+                below = steps[at + 1]["score"] if at + 1 < len(steps) else min(0.0, r["score"] - 0.01)
+                best[kind] = (r["score"] + below) / 2
     return model, best
 
 
@@ -224,9 +286,9 @@ def find_spans(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = base_spans(text)
-    counted = materialise(
-        df.select(F.inline(proposals(text, base))).groupBy("x", "good").agg(F.count(F.lit(1)).alias("n")), "proposals"
-    )
+    half = (F.pmod(F.xxhash64(text), F.lit(2)) == 0).alias("train")
+    lessons = df.select(half, F.inline(F.concat(proposals(text, base), rewritten(text)))).where(F.col("good").isNotNull())
+    counted = materialise(lessons.groupBy("x", "good", "train").agg(F.count(F.lit(1)).alias("n")), "proposals")
     fitted = fit(counted, trees, depth, precision)
     with_base = df.withColumn("base", base)
     if fitted is None:

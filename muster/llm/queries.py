@@ -90,7 +90,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select(
         "doc_id", *[count(kind) for kind in pii.BASE], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
-        pii.written(F.col("spans")).alias("spans"),
+        pii.written(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"),
     )
 
 
