@@ -31,10 +31,17 @@ def _keyed(installs: DataFrame, path: str, version: str, edition: str) -> DataFr
     ).where(F.col("_key").isNotNull())
 
 
-def _best(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The highest version per key, the first path among equals; one row per key, so joins cannot fan out."""
-    top = rows.groupBy(*by, "_key").agg(F.min(F.struct("_path", "_version", "_edition")).alias("_hit"))
-    return top.groupBy(*by).agg(F.max_by("_hit", "_key").alias("_hit"), F.max("_key").alias("_top"))
+def _lines(versions: DataFrame) -> DataFrame:
+    """The index: a row per edition, major and minor number, with the best install and that of every version.
+
+    A row holds the versions released of one line, however many installs there are of them.
+    """
+    # numbers that the planner knows to be there: a filter of the join's own would need a scan of its own
+    numbers = [F.coalesce(F.col(f"_key.{c}"), F.lit(0)).alias(f"_{c}") for c in ("major", "minor")]
+    return versions.groupBy("_edition", *numbers).agg(
+        F.max_by("_hit", "_key").alias("_near"),
+        F.map_from_entries(F.collect_list(F.struct("_key", "_hit"))).alias("_each"),
+    )
 
 
 def match_versions(
@@ -51,54 +58,36 @@ def match_versions(
 
     Always the highest that fits.  A request without a version takes the latest stable install, or the
     latest of all where none is stable, whatever the preference.
+
+    Installs are reduced once, to one row per edition and version with the first path among equals; all that
+    a preference looks at comes from there, and requests meet it in one join at most.
     """
     found = _keyed(installs, path, installed_version, installed_edition)
-    asked = requests.withColumns(
-        {"_asked": version_key(F.col(version)), "_asked_edition": edition_of(F.col(edition))}
-    )
-    def joined(df: DataFrame, name: str, best: DataFrame, on: dict[str, Column]) -> DataFrame:
-        keys = [f"{name}{c}" for c in on]
-        renamed = best.select(*[F.col(c).alias(k) for c, k in zip(on, keys)], F.col("_hit").alias(name))
-        asked_for = df.withColumns({k: value for k, value in zip(keys, on.values())})
-        return join_per_key(asked_for, renamed, keys, "left").drop(*keys)
-
-    # best of the whole table: one row per distinct version first, then a single row
-    per_key = found.groupBy("_key").agg(F.min(F.struct("_path", "_version", "_edition")).alias("_hit"))
+    versions = found.groupBy("_edition", "_key").agg(F.min(F.struct("_path", "_version", "_edition")).alias("_hit"))
+    # best of the whole table, whatever the edition
     rank = F.struct((F.col("_key.minor") % 2 == 0).alias("stable"), F.col("_key").alias("key"))
+    per_key = versions.groupBy("_key").agg(F.min("_hit").alias("_hit"))
     overall = per_key.agg(
         F.max_by("_hit", rank).alias("_default"),
         F.max_by(F.when(F.col("_key.minor") % 2 == 0, F.col("_hit")), rank).alias("_stable"),
     ).withColumn("_any", F.lit(1))
     # a global aggregate is exactly one row, so it is safe to broadcast
+    asked = requests.withColumns(
+        {"_asked": version_key(F.col(version)), "_edition": edition_of(F.col(edition))}
+    )
     out = asked.join(F.broadcast(overall), F.col("_any") == F.lit(1), "left").drop("_any")
 
     choice: Column
-    if preference in (EXACT, EXACT_OR_MINOR):
-        exact = found.groupBy("_edition", "_key").agg(
-            F.min(F.struct("_path", "_version", "_edition")).alias("_hit")
-        )
-        out = joined(out, "_exact", exact, {"_edition": F.col("_asked_edition"), "_key": F.col("_asked")})
-    if preference in (LATEST_MINOR, EXACT_OR_MINOR):
-        minor = _best(
-            found.withColumns({"_major": F.col("_key.major"), "_minor": F.col("_key.minor")}),
-            ["_edition", "_major", "_minor"],
-        )
-        out = joined(out, "_near", minor, {
-            "_edition": F.col("_asked_edition"), "_major": F.col("_asked.major"), "_minor": F.col("_asked.minor")})
-    if preference == MAJOR_GE:
+    if preference in (EXACT, EXACT_OR_MINOR, LATEST_MINOR):
+        numbers = {"_major": F.col("_asked.major"), "_minor": F.col("_asked.minor")}
+        out = join_per_key(out.withColumns(numbers), _lines(versions), ["_edition", "_major", "_minor"], "left")
+        exact = F.try_element_at("_each", F.col("_asked"))
+        choice = {EXACT: exact, LATEST_MINOR: F.col("_near"), EXACT_OR_MINOR: F.coalesce(exact, "_near")}[preference]
+    elif preference == MAJOR_GE:
         # the highest of an edition fits exactly when any of them does
-        highest = _best(found, ["_edition"]).withColumn("_hit", F.struct("_hit.*", "_top"))
-        out = joined(out, "_high", highest, {"_edition": F.col("_asked_edition")})
-        choice = F.when(
-            F.col("_high._top.major") >= F.col("_asked.major"),
-            F.struct("_high._path", "_high._version", "_high._edition"),
-        )
-    elif preference == EXACT:
-        choice = F.col("_exact")
-    elif preference == LATEST_MINOR:
-        choice = F.col("_near")
-    elif preference == EXACT_OR_MINOR:
-        choice = F.coalesce("_exact", "_near")
+        highest = versions.groupBy("_edition").agg(F.max_by("_hit", "_key").alias("_near"), F.max("_key").alias("_top"))
+        out = join_per_key(out, highest, ["_edition"], "left")
+        choice = F.when(F.col("_top.major") >= F.col("_asked.major"), F.col("_near"))
     elif preference == LATEST_STABLE:
         choice = F.col("_stable")
     else:
@@ -113,7 +102,7 @@ def match_versions(
                 "match_edition": F.col("_picked._edition"),
             }
         )
-        .drop("_picked", "_asked", "_asked_edition", "_exact", "_near", "_high", "_default", "_stable")
+        .select(*requests.columns, "match_path", "match_version", "match_edition")
     )
 
 

@@ -124,3 +124,37 @@ def test_typed_options_keep_texts(spark):
     assert some == ["--b", "0", "--e"]
     listed = op.option_inventory(typed.where("i = 0"), "o", ["i"], ["g"]).first()
     assert (listed.arguments, listed.words) == ("--g 1.5", 2)
+
+
+def test_every_preference_against_plain_search(spark):
+    """Many installs of few versions: each request is held against all installs in plain Python."""
+    numbers = [(a, b, c) for a in (1, 2) for b in (0, 1, 2) for c in (0, 3, 11)]
+    installs = [
+        (f"/{i:03d}", "{}.{}.{}".format(*numbers[i * 7 % len(numbers)]), ver.EDITIONS[i % 3]) for i in range(120) if i % 18 != 5
+    ] + [("/0", "x", None), ("/1", None, None)]
+    asked = [(i, "{}.{}.{}".format(*n), e) for i, (n, e) in enumerate(
+        [(n, e) for n in [*numbers, (2, 7, 0), (3, 0, 0), (1, 1, 5)] for e in (*ver.EDITIONS, None)])]
+    asked += [(900, None, "enterprise"), (901, "rubbish", None)]
+    have = [(tuple(map(int, v.split("."))), p, e or "community") for p, v, e in installs if v and v != "x"]
+
+    def best(rows):
+        top = max((k for k, *_ in rows), default=None)
+        return min((p for k, p, _ in rows if k == top), default=None)
+
+    stable = best([h for h in have if h[0][1] % 2 == 0])
+
+    def expected(preference, version, edition):
+        if version is None or preference in (ver.DEFAULT, ver.LATEST_STABLE):
+            return stable
+        if version == "rubbish":
+            return None
+        key, mine = tuple(map(int, version.split("."))), [h for h in have if h[2] == (edition or "community")]
+        exact, near = best([h for h in mine if h[0] == key]), best([h for h in mine if h[0][:2] == key[:2]])
+        return {ver.EXACT: exact, ver.LATEST_MINOR: near, ver.EXACT_OR_MINOR: exact or near,
+                ver.MAJOR_GE: best([h for h in mine if h[0][0] >= key[0]])}[preference]
+
+    table = spark.createDataFrame(installs, "path string, version string, edition string")
+    requests = spark.createDataFrame(asked, "id int, version string, edition string")
+    for preference in (ver.EXACT, ver.MAJOR_GE, ver.LATEST_STABLE, ver.EXACT_OR_MINOR, ver.LATEST_MINOR, ver.DEFAULT):
+        got = {r.id: r.match_path for r in ver.match_versions(requests, table, preference).collect()}
+        assert got == {i: expected(preference, v, e) for i, v, e in asked}, preference
