@@ -2,7 +2,8 @@
 
 A line belongs to the byte range that holds its line feed, so a range can be cut anywhere: the reader of a range looks back for the
 beginning of its first line, and what follows its last line feed is left to a later range.  An unfinished last line
-is thus held back until it ends, and a long range is read by many tasks.
+is thus held back until it ends, and a long range is read by many tasks.  Short ranges, as a fleet of many small logs has them,
+are read many to a task: the number of tasks follows the bytes and the files to open, not the files alone.
 
 The offset of the stream is the size of each file.  A file that became shorter was replaced and is read from its
 start; one that is gone leaves the offset.  Names that log rotation gives to old files should not match the pattern, or
@@ -23,16 +24,25 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 SPLIT_BYTES = 64 << 20
 CHUNK_BYTES = 1 << 20
+#: What opening a file counts beside its bytes where ranges are dealt out to tasks.
+OPEN_BYTES = 64 << 10
 SCHEMA = "file string, at bigint, value string"
 
 
-class Range(InputPartition):
+class Range:
     """Bytes ``start`` up to ``stop`` of a file."""
 
     def __init__(self, file: str, start: int, stop: int):
         self.file, self.start, self.stop = file, start, stop
 
 
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 def open_file_system(path: str):
     """The file system of a path or URL, and the path within it."""
     from pyarrow import fs
@@ -64,6 +74,19 @@ def grown(start: dict[str, int], end: dict[str, int], split_bytes: int) -> list[
     return out
 
 
+def packed(ranges: Sequence[Range], split_bytes: int, open_bytes: int = OPEN_BYTES) -> list[Ranges]:
+    """The ranges in their order, as many to a task as make ``split_bytes`` with the opening of their files."""
+    out, held = [], 0
+    for r in ranges:
+        cost = r.stop - r.start + open_bytes
+        if not out or held + cost > split_bytes:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += cost
+    return out
+
+
 def line_start(source, at: int) -> int:
     """Where the line begins that the byte before ``at`` belongs to, or that begins at ``at``."""
     while at > 0:
@@ -102,6 +125,13 @@ def lines(source, start: int, stop: int) -> Iterator[list[tuple[int, bytes]]]:
         at += len(data)
 
 
+def record_batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    file, at, value = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(file, pa.string()), pa.array(at, pa.int64()), pa.array(value, pa.string())], names=["file", "at", "value"]
+    )
+
+
 class GrowingTextReader(DataSourceStreamReader):
     def __init__(self, path: str, pattern: str, split_bytes: int):
         self.path, self.pattern, self.split_bytes = path, pattern, split_bytes
@@ -113,17 +143,21 @@ class GrowingTextReader(DataSourceStreamReader):
         return sizes(self.path, self.pattern)
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return grown(start, end, self.split_bytes)
+        return packed(grown(start, end, self.split_bytes), self.split_bytes)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         system, _ = open_file_system(self.path)
-        with system.open_input_file(partition.file) as source:
-            for found in lines(source, partition.start, partition.stop):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.file] * len(found), pa.string()), pa.array([at for at, _ in found], pa.int64()),
-                     pa.array([line.decode("utf-8", "replace") for _, line in found], pa.string())],
-                    names=["file", "at", "value"],
-                )
+        rows, held = [], 0
+        for r in partition.ranges:
+            with system.open_input_file(r.file) as source:
+                for found in lines(source, r.start, r.stop):
+                    rows += [(r.file, at, line.decode("utf-8", "replace")) for at, line in found]
+                    held += sum(len(r.file) + len(line) for _, line in found)
+                    if held >= CHUNK_BYTES:
+                        yield record_batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield record_batch(rows)
 
     def commit(self, end: dict) -> None:
         """Nothing to give up: files are kept by those who write them."""

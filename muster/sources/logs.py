@@ -63,11 +63,12 @@ def parse_log(
     value: str = "value",
     piece_lines: int = 100_000,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Every line with the level, time and line number of the record it belongs to.
 
     A line that does not look like the start of a record continues the last one (a traceback, say); lines
-    before the first record have nulls.
+    before the first record have nulls.  ``hot`` may name the very long logs, from ``hot_groups``.
     """
     parsed = lines.withColumns(header_columns(F.col(value)))
     starts = F.col("level").isNotNull()
@@ -81,6 +82,7 @@ def parse_log(
         "_head",
         inclusive=True,
         hot_rows=hot_rows,
+        hot=hot,
     )
     return placed.select(
         file,

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from muster.functions.durations import micros
 from muster.operators.activity import await_outcome, lifecycle_intervals
 from muster.operators.ordered import count_pieces, with_position
-from muster.operators.skew import join_per_key
+from muster.operators.skew import hot_groups, join_per_key
 from muster.session import folder_names, remove_folder, written
 from muster.sources.growing import SPLIT_BYTES, growing_text
 from muster.sources.logs import parse_log
@@ -55,12 +55,13 @@ def follow_log(
     def step(batch: DataFrame, batch_id: int) -> None:
         heads = KeyedTable(batch.sparkSession, f"{out}/heads", ["file"], ["batch"], state)
         with written(batch, "lines") as lines:
-            numbered = with_position(lines, ["file"], ["at"], [count_pieces(F.col("at"), SPLIT_BYTES)], "line")
+            hot = hot_groups(lines, ["file"])  # counted where they lie, not behind each window again
+            numbered = with_position(lines, ["file"], ["at"], [count_pieces(F.col("at"), SPLIT_BYTES)], "line", hot=hot)
             earlier = heads.lookup(batch_id - 1, lines.select("file")).select(
                 "file", F.col("lines").alias("_lines"), F.col("record").alias("_record"), F.col("level").alias("_level"), F.col("ts").alias("_ts")
             )
             shift = F.coalesce("_lines", F.lit(0).cast("bigint"))
-            records = join_per_key(parse_log(numbered), earlier, ["file"], "left").select(
+            records = join_per_key(parse_log(numbered, hot=hot), earlier, ["file"], "left", hot).select(
                 "file", (F.col("line") + shift).alias("line"), F.coalesce(F.col("record") + shift, "_record").alias("record"),
                 F.coalesce("level", "_level").alias("level"), F.coalesce("ts", "_ts").alias("ts"), "message", "continued",
             )

@@ -45,6 +45,22 @@ def test_ranges_of_what_was_written():
     assert cut({"a": 25}, {"a": 7}) == [("a", 0, 7)]  # replaced
 
 
+def test_small_files_share_a_task(tmp_path):
+    """A thousand short logs were a thousand tasks; now the tasks follow the bytes, and every range is read once, in order."""
+    for i in range(1000):
+        (tmp_path / f"{i:04}.log").write_text(f"a{i}\nb{i}\nunfinished")
+    reader = growing.GrowingTextReader(str(tmp_path), "*.log", growing.SPLIT_BYTES)
+    end = reader.latestOffset()
+    tasks = reader.partitions({}, end)
+    assert len(tasks) <= 2
+    rows = [r for t in tasks for batch in reader.read(t) for r in batch.to_pylist()]
+    assert [r["value"] for r in rows] == [f"{x}{i}" for i in range(1000) for x in "ab"]
+    assert [r["at"] for r in rows[:4]] == [0, 3, 0, 3] and rows[0]["file"].endswith("0000.log")
+    ranges = growing.grown({}, {"a": 25, "b": 5, "c": 4}, 10)
+    assert [[(r.file, r.start, r.stop) for r in t.ranges] for t in growing.packed(ranges, 12, 1)] == [
+        [("a", 0, 10)], [("a", 10, 20)], [("a", 20, 25), ("b", 0, 5)], [("c", 0, 4)]]
+
+
 HEAD = "    INFO | 2024-01-01 00:00:0{},000 | message {}"
 
 
