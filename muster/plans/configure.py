@@ -34,10 +34,10 @@ def configuration_plan(
     members and the sound ones are each read by several steps, so they are written once.
     """
     declared = materialise(declared, "declared")
+    hot = hot if hot is not None else hot_groups(declared, [cluster_id])
     rejects = configuration_rejects(
-        declared, current, cluster_id, pos, given_id, server, host, current_address, errors, hosts
+        declared, current, cluster_id, pos, given_id, server, host, current_address, errors, hosts, hot
     ).select(cluster_id)
-    hot = hot if hot is not None else hot_groups(declared, [cluster_id])
     sound = materialise(join_per_key(declared, rejects, [cluster_id], "left_anti", hot), "sound")
     desired = build_desired(sound, current, cluster_id, pos, host, [given_id, *keep])
     plan = assign_ids(

@@ -209,3 +209,24 @@ def test_a_repeated_current_id_is_named(spark):
     again = current.unionByName(spark.createDataFrame([("c", 1, 1, "y:1")], current.schema))
     with pytest.raises(Exception, match="id 1 repeats in the current configuration of c"):
         drift(again)
+
+
+def test_conflicts_of_large_clusters(spark, hosts):
+    """Clusters above and below the limit, and members without a cluster, which clash with nothing."""
+    rows = [r for i in range(4) for r in random_members(i, 60)] + [(None, 0, 1, "s1", "a:1"), (None, 1, 1, "s1", "a:1")]
+    rows = [(c, at, i, s, a) for at, (c, _, i, s, a) in enumerate(rows)]
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def found(**how):
+        out = reconcile.find_conflicts(df, "cluster", "pos", F.col("id"), F.col("server"), F.col("address"), hosts, **how)
+        return sorted((r.cluster, r.pos, r.kind, r.first_pos) for r in out.collect())
+
+    want = {}
+    for c, pos, i, s, a in rows:
+        for before in rows[:pos]:
+            if c is not None and c == before[0]:
+                for kind, clash in (("id", i and i == before[2]), ("server", s and s == before[3]), ("address", same(a, before[4]))):
+                    if clash:
+                        want.setdefault((c, pos, kind), before[1])
+    want = sorted((*k, v) for k, v in want.items())
+    assert found() == found(hot_rows=9) == found(hot_rows=2) == want

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from muster.operators import skew
 from muster.operators.skew import hot_groups, is_broadcast, join_per_key, none_hot
 
 
@@ -82,3 +83,16 @@ def test_no_job_where_the_other_side_is_small(spark, sides):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+
+
+def test_tasks_follow_the_size_of_a_table(spark, monkeypatch):
+    """A window over a larger table takes more tasks, not larger ones; small tables and those with hot groups stay as they lie."""
+    df = spark.range(20_000)
+    none, some = skew.hot_groups(df, ["id"]), skew.hot_groups(spark.range(100).select((F.col("id") % 2).alias("id")), ["id"], 3)
+    assert skew.dealt(df, ["id"], none) is df
+    monkeypatch.setattr(skew, "TASK_BYTES", 1_000)
+    assert skew.dealt(df, ["id"], none).rdd.getNumPartitions() == 160
+    assert skew.dealt(df.limit(10), ["id"], none).rdd.getNumPartitions() <= 8
+    assert skew.dealt(df, ["id"], some) is df
+    monkeypatch.setattr(skew, "MANY_TASKS", 50)
+    assert skew.dealt(df, ["id"], none).rdd.getNumPartitions() == 50
