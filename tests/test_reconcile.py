@@ -230,3 +230,13 @@ def test_conflicts_of_large_clusters(spark, hosts):
                         want.setdefault((c, pos, kind), before[1])
     want = sorted((*k, v) for k, v in want.items())
     assert found() == found(hot_rows=9) == found(hot_rows=2) == want
+
+
+def test_members_dealt_by_cluster_are_not_shuffled_again(spark):
+    """Conflicts took two more shuffles of three rows a member, and a map of all keys in each task."""
+    df = spark.createDataFrame(random_members(1), SCHEMA).repartition(5, "cluster")
+    found = reconcile.find_conflicts(df, "cluster", "pos", F.col("id"), F.col("server"), F.col("address"))
+    firsts = reconcile.first_conflict(found, "cluster", "pos")
+    for plan in (found, firsts):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange") == 1 and "Join" not in text
