@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.lookup import document_condition
-from muster.session import folder_names, move_folder, remove_folder
+from muster.session import folder_names, move_folder, remove_folder, setting
+
+OPEN_FILES = 16
 
 
 def _condition(df: DataFrame, where: dict | Column | None) -> Column | None:
@@ -21,13 +23,15 @@ def export_snapshot(
 ) -> DataFrame:
     """Write the rows that match to ``out`` (made if missing); returns how many rows each partition got.
 
-    The counts come from what was written, so they also show that it can be read back.
+    The counts come from what was written, so they also show that it can be read back.  Rows come to the writers by partition,
+    so a task has few files open and need not sort its rows first; from ``OPEN_FILES`` on it does.
     """
     condition = _condition(df, where)
     chosen = df if condition is None else df.where(condition)
     if partition_by:
         chosen = chosen.hint("rebalance", *partition_by)
-    chosen.write.mode("errorifexists").partitionBy(*partition_by).parquet(out)
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+        chosen.write.mode("errorifexists").partitionBy(*partition_by).parquet(out)
     written = df.sparkSession.read.parquet(out)
     return written.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("rows"))
 

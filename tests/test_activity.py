@@ -146,3 +146,24 @@ def test_replay(spark):
     assert state(base, 9) == {"b": 20, "d": 40}
     assert state(base, 0) == {"a": 1, "b": 2, "c": 3}
     assert state(None, 5) == {"b": 20, "d": 40}
+
+
+@pytest.mark.parametrize("values", [3, 40])
+def test_export_does_not_sort_what_lies_by_partition(spark, tmp_path, monkeypatch, values):
+    """Each writer sorted all its rows; now files stay open side by side, and more of them than may be open lose no row."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+
+    def noted(self, *args, **how):
+        seen.append(spark.conf.get(name))
+        return write(self, *args, **how)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    before = spark.conf.get(name)
+    table = spark.range(4_000).selectExpr("id", f"id % {values} AS part", "IF(id % 7 = 0, NULL, id % 2) AS half")
+    out = snapshots.export_snapshot(table, str(tmp_path / "out"), None, ["part", "half"])
+    got = {(r.part, r.half): r.rows for r in out.collect()}
+    assert got == {(r.part, r.half): r["count"] for r in table.groupBy("part", "half").count().collect()}
+    assert seen == [str(snapshots.OPEN_FILES)] and spark.conf.get(name) == before
+    assert sorted(r.id for r in snapshots.read_snapshot(spark, str(tmp_path / "out")).collect()) == list(range(4_000))
