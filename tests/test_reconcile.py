@@ -240,3 +240,21 @@ def test_members_dealt_by_cluster_are_not_shuffled_again(spark):
     for plan in (found, firsts):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_members_meet_the_current_ones_in_one_join(spark, tmp_path):
+    """Without a host table the members are read and shuffled once for their matches, not cut in two and joined back."""
+    spark.createDataFrame([*random_members(4), ("c1", 90, None, "s1", "a"), ("c1", 91, None, "s1", None)], SCHEMA).write.parquet(
+        str(tmp_path / "declared"))
+    df = spark.read.schema(SCHEMA).parquet(str(tmp_path / "declared"))
+    cur = spark.createDataFrame([*current_rows(5), ("c1", 70, 90, "a"), ("c1", 71, 91, None)], "cluster string, id bigint, at bigint, host string")
+    no_ips = spark.createDataFrame([], "host string, ip string")
+
+    def ids(hosts):
+        return reconcile.assign_ids(
+            df, cur, "cluster", "pos", "id", F.col("address"), F.col("host"), [ordered.count_pieces(F.col("pos"), 2)], hosts)
+
+    one = ids(None)
+    assert one.columns == ids(no_ips).columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, ids(no_ips).collect()))
+    assert one._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
