@@ -13,7 +13,8 @@ left out, so "same piece, next position" is "place + 1".  A level
 * and semi-joins the occurrences with the frequent groups before the next level extends them.
 
 A part of the relation holds the occurrences in about ``PART_BYTES`` of text as they lie in a table's split, by language, in
-one row, with the part's own numbers for words and phrases.  A piece lies within a document and a document within a part, so
+one row, with the part's own numbers for words and phrases.  Rows are large, so a file has a row group for each of them: a task
+holds one part at a time, however many its split has.  A piece lies within a document and a document within a part, so
 parts join among themselves; only counts are shuffled.  They are counted in two steps.  First by a hash of the phrase, five bytes
 a phrase and part, which tells the phrases that may be frequent from the many that are not; no phrase is lost, since texts of
 one hash add up.  Then those that may be frequent by their text, which is exact.  Both the second count and the semi-join
@@ -36,6 +37,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,10 @@ BEST = 2000
 #: Bits of the table of frequent phrases: 16 for each of them, within these bounds (8 KiB and 32 MiB).
 FEWEST_BITS, MOST_BITS = 16, 28
 PART_BYTES = 8 << 20
-#: Entries counted by hash in one group, on average, and rows handed back at once.
-GROUP, ROWS = 1 << 22, 1 << 16
+#: Bytes of a row group of the relation: small parts share one, a large one is alone.
+ROW_GROUP_BYTES = 4 << 20
+#: Entries counted by hash in one group, at most on average, and rows handed back at once.
+GROUP, ROWS = 1 << 20, 1 << 16
 
 #: A-Z become a-z, all that ends a piece becomes one byte; a word cannot hold it, so it can stand between pieces.
 _BETWEEN = b"."
@@ -135,10 +139,14 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 class Frequent:
-    """A table of bits by hash that holds all of some phrases, and by chance others."""
+    """A table of bits by hash that holds all of some phrases, and by chance others.
+
+    Tasks get it by ``shared``.  Executors keep a copy until ``release``, which its last reader calls.
+    """
 
     def __init__(self, hashes: DataFrame):
         """``hashes``: a column ``h``, of which the first ``MOST_BITS`` bits at least are those of the phrases' hashes."""
+        self.context, self.sent = hashes.sparkSession.sparkContext, None
         size = max(hashes.count(), 1)
         self.bits = min(max(int(16 * size - 1).bit_length(), FEWEST_BITS), MOST_BITS)
         slots = hashes.select(F.shiftrightunsigned("h", 64 - self.bits).alias("slot"))
@@ -152,6 +160,26 @@ class Frequent:
         slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         return (self.table[slots >> 5] >> (slots & 31).astype(np.uint32) & 1).astype(bool)
 
+    def __reduce__(self):
+        return _received, (self.bits, self.table)
+
+    def shared(self) -> Broadcast:
+        if self.sent is None:
+            self.sent = self.context.broadcast(self)
+        return self.sent
+
+    def release(self) -> None:
+        if self.sent is not None:
+            self.sent.destroy()
+            self.sent = None
+
+
+def _received(bits: int, table: np.ndarray) -> Frequent:
+    """The table as a task has it."""
+    out = Frequent.__new__(Frequent)
+    out.bits, out.table = bits, table
+    return out
+
 
 def perhaps_frequent(parts: DataFrame, least: int) -> DataFrame:
     """``h``: the hashes, cut to 32 bits and a group's number, whose phrases occur ``least`` times or more together."""
@@ -192,7 +220,7 @@ def perhaps_frequent(parts: DataFrame, least: int) -> DataFrame:
 
 def counted(parts: DataFrame, perhaps: Frequent) -> DataFrame:
     """``lang, phrase, f`` of the phrases the table holds."""
-    shared = parts.sparkSession.sparkContext.broadcast(perhaps)
+    shared = perhaps.shared()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +254,7 @@ def hashed(phrases: DataFrame) -> DataFrame:
 
 def extended(parts: DataFrame, frequent: Frequent) -> DataFrame:
     """The relation one word longer: frequent occurrences only, merge-joined with those at the next place."""
-    shared = parts.sparkSession.sparkContext.broadcast(frequent)
+    shared = frequent.shared()
 
     def longer(lang: str, gaps: bytes, codes: bytes, words: bytes, tuples: bytes, counts: bytes) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(lang, words, tuples, counts)
@@ -287,11 +315,14 @@ def collocations(
     frequent = []
     for length in range(1, longest + 1):
         if length > 1:
-            longer, written = _written(extended(parts, Frequent(hashed(frequent[-1]))), "longer")
+            held = Frequent(hashed(frequent[-1]))
+            longer, written = _written(extended(parts, held), "longer")
+            held.release()
             remove_folder(spark, path)
             parts, path = longer, written
-        perhaps = Frequent(materialise(perhaps_frequent(parts, least), "perhaps"))
-        frequent.append(materialise(counted(parts, perhaps).where(F.col("f") >= least), "frequent"))
+        held = Frequent(materialise(perhaps_frequent(parts, least), "perhaps"))
+        frequent.append(materialise(counted(parts, held).where(F.col("f") >= least), "frequent"))
+        held.release()
     remove_folder(spark, path)
     candidates = reduce(DataFrame.unionByName, frequent[1:])
     chosen = scored(candidates, reduce(DataFrame.unionByName, frequent)).join(covered(candidates), ["lang", "phrase"], "left")
@@ -305,8 +336,15 @@ def collocations(
 
 
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """A written table and its folder, which goes after the last reader."""
+    """A written table and its folder, which goes after the last reader.
+
+    Without these options a writer looks at its size after a hundred rows first, that is, holds a hundred parts, and a reader
+    gets them as one batch.
+    """
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES)
+    for key, value in (("page.size.row.check.min", 1), ("page.size.row.check.max", 1), ("enable.dictionary", False), ("column.statistics.enabled", False)):
+        writer = writer.option(f"parquet.{key}", value)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

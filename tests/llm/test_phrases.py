@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from muster.llm import phrases
 
@@ -98,6 +99,45 @@ def test_parts_and_groups_of_any_size_count_alike(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0]) > 5
 
 
+def test_a_file_of_many_parts_is_not_one_batch(spark, tmp_path, monkeypatch):
+    """All parts of a task were one row group and one page, so its memory grew with its split; small parts share a row group."""
+    monkeypatch.setattr(phrases, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(phrases, "ROW_GROUP_BYTES", 4000)
+
+    def groups(name, words, part_bytes):
+        df = spark.createDataFrame([(i, text(words), "en") for i in range(40)], SCHEMA).coalesce(1)
+        parts, path = phrases._written(phrases.occurrences(df, part_bytes=part_bytes), name)
+        file, = (tmp_path / name).glob("*.parquet")
+        found = pq.ParquetFile(file).metadata
+        assert sorted(parts.collect()) == sorted(phrases.occurrences(df, part_bytes=part_bytes).collect())
+        return found.num_rows, [found.row_group(i).num_rows for i in range(found.num_row_groups)]
+
+    rows, each = groups("large", 200, 2000)
+    assert rows >= 8 and each == [1] * rows
+    rows, each = groups("small", 10, 1)
+    assert rows == 40 and 1 < len(each) < 40
+
+
+def test_tables_of_bits_do_not_pile_up(spark, monkeypatch):
+    """Executors kept the tables of all lengths, up to 32 MiB each, until the driver happened to collect its garbage."""
+    sent, gone, context = [], [], type(spark.sparkContext)
+    broadcast = context.broadcast
+
+    def noted(self, value):
+        out = broadcast(self, value)
+        if isinstance(value, phrases.Frequent):
+            assert sent == gone
+            sent.append(out._jbroadcast.id())
+            destroy = out.destroy
+            out.destroy = lambda *a: (gone.append(sent[-1]), destroy(*a))
+        return out
+
+    monkeypatch.setattr(context, "broadcast", noted)
+    rows = made_rows()[:60]
+    assert got(phrases.collocations(spark.createDataFrame(rows, SCHEMA), least=8)) == plain(rows, 8, 4, 80, 2000)
+    assert len(sent) == 7 and gone == sent
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame(made_rows()[:3], SCHEMA)
     assert got(phrases.collocations(df.limit(0))) == set()
