@@ -48,7 +48,8 @@ def follow_log(
     """Parse log files as they grow: every finished line once, with the record it belongs to.
 
     Lines are counted per file from 0 over all batches, and a line that continues a record begun in an earlier batch is given
-    to that record: of each file the lines so far and its last record are kept.  See ``growing_text`` for what is read when.
+    to that record: of each file the lines so far and its last record are kept.  See ``growing_text`` for what is read when; the
+    sizes of the files are kept in ``out`` too, which pyarrow's file systems have to open as they do ``path``.
     """
     state = StructType.fromDDL("file string, lines bigint, record bigint, level string, ts timestamp, batch bigint")
 
@@ -73,7 +74,7 @@ def follow_log(
             )
             heads.write(batch_id, newest.select("file", "lines", "_head.*", F.lit(batch_id).cast("bigint").alias("batch")))
 
-    return _run(growing_text(spark, path, pattern, split_bytes), step, checkpoint, trigger)
+    return _run(growing_text(spark, path, pattern, split_bytes, f"{out}/listings"), step, checkpoint, trigger)
 
 
 def read_records(spark: SparkSession, out: str) -> DataFrame:

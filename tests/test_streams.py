@@ -1,11 +1,13 @@
 """Growing files, event time behind a watermark, the levelled table: streams against the batch operators."""
 
 import io
+import json
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -61,6 +63,68 @@ def test_small_files_share_a_task(tmp_path):
         [("a", 0, 10)], [("a", 10, 20)], [("a", 20, 25), ("b", 0, 5)], [("c", 0, 4)]]
 
 
+def test_the_offset_of_many_files_is_a_name(tmp_path):
+    """Offsets and tasks held the paths of all files; with a folder for listings they name tables, and the rows are the same."""
+    folder, kept = tmp_path / "in", tmp_path / "kept"
+    (folder / "inner" / "deep").mkdir(parents=True)
+    for i in range(500):
+        (folder / f"{i:04}.log").write_text(f"a{i}\nb{i}\nunfinished")
+    (folder / "inner" / "deep" / "é.log").write_text("one\n")
+    (folder / "inner" / "_hidden.log").write_text("no\n")
+    plain = growing.GrowingTextReader(str(folder), "*.log", 1 << 21)
+    reader = growing.GrowingTextReader(f"file:{folder}", "*.log", 1 << 21, f"file:{kept}")
+
+    def rows(reader, tasks):
+        assert sum(len(cloudpickle.dumps(t)) for t in tasks) < 40_000 or reader is plain
+        return [r for t in tasks for batch in reader.read(t) for r in batch.to_pylist()]
+
+    first, whole = reader.latestOffset(), plain.latestOffset()
+    assert len(json.dumps(first)) < 100 and reader.latestOffset() == first
+    tasks = reader.partitions({}, first)
+    assert 10 < len(tasks) < 20
+    got = rows(reader, tasks)
+    assert len(got) == 1001 and got == rows(plain, plain.partitions({}, whole)) == rows(reader, reader.partitions({}, first))
+    with open(folder / "0003.log", "a") as file:
+        file.write(" no more\n")
+    (folder / "0005.log").write_text("new\n")
+    (folder / "0007.log").unlink()
+    second, later = reader.latestOffset(), plain.latestOffset()
+    assert second != first
+    got = rows(reader, reader.partitions(first, second))
+    assert [(r["at"], r["value"]) for r in got] == [(6, "unfinished no more"), (0, "new")]
+    assert got == rows(plain, plain.partitions(whole, later)) == rows(reader, reader.partitions(whole, second))
+    assert rows(reader, reader.partitions(whole, later)) == got  # a batch that was planned before there were listings
+    reader.commit(first)
+    assert rows(reader, reader.partitions(first, second)) == got
+    reader.commit(second)
+    assert all("1" in f.name for f in kept.iterdir()) and reader.latestOffset() == second
+
+
+def test_no_files_and_files_that_go(tmp_path):
+    reader = growing.GrowingTextReader(str(tmp_path / "in"), "*", 10, str(tmp_path / "kept"))
+    none = reader.latestOffset()
+    assert reader.partitions({}, none) == []
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("x\n")
+    one = reader.latestOffset()
+    assert len(reader.partitions(none, one)) == 1
+    (tmp_path / "in" / "a").unlink()
+    assert reader.partitions(one, reader.latestOffset()) == []
+
+
+def test_a_listing_of_many_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(growing, "LISTED_ROWS", 7)
+    for i in range(30):
+        (tmp_path / f"{i * 7919 % 97:02}.log").write_text("x\n")
+    reader = growing.GrowingTextReader(str(tmp_path), "*.log", growing.SPLIT_BYTES, str(tmp_path / "_kept"))
+    first = reader.latestOffset()
+    assert dict(reader.listed(first)) == growing.sizes(str(tmp_path), "*.log")
+    assert [f for f, _ in reader.listed(first)] == sorted(growing.sizes(str(tmp_path), "*.log"))
+    assert reader.latestOffset() == first
+    (tmp_path / "99.log").write_text("y\n")
+    assert reader.latestOffset() != first
+
+
 HEAD = "    INFO | 2024-01-01 00:00:0{},000 | message {}"
 
 
@@ -99,6 +163,19 @@ def test_a_log_that_grows(spark, tmp_path):
     assert rows.where("record is not null and ts is null").isEmpty()
 
 
+def test_the_checkpoint_of_a_followed_fleet_holds_no_files(spark, tmp_path):
+    """Every offset held the size of every file, so the driver's memory grew with the fleet."""
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), tmp_path / "cp"
+    folder.mkdir()
+    for batch in range(2):
+        for i in range(200):
+            with open(folder / f"{i:03}.log", "a") as file:
+                file.write(HEAD.format(batch, i) + "\n")
+        feeds.follow_log(spark, str(folder), out, str(checkpoint), pattern="*.log").awaitTermination()
+    assert feeds.read_records(spark, out).groupBy("file").agg(F.max("line").alias("n")).where("n = 1").count() == 200
+    assert all(f.stat().st_size < 2000 for f in (checkpoint / "offsets").glob("[0-9]"))
+
+
 # ---- the levelled table
 
 SCHEMA = StructType().add("k", "string").add("v", "long").add("batch", "long").add("gone", "boolean")
